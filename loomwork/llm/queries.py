@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
-from . import budget, encode, leakage, mixing, reservoir
+from . import budget, encode, language, leakage, mixing, mojibake, reservoir
 
 RANKS = f"{encode.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 SAMPLE = 1000
@@ -27,6 +27,15 @@ def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.rollup(budget.count_tokens(docs, "id"), {"source": F.col("source"), "lang": F.col("lang"), "field": F.col("field")})
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.corrections(language.identify(table(spark, sf_dir, "docs")))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "docs")).where("size(segments) > 1")
+    return found.select("id", F.posexplode("segments").alias("n", "s")).select("id", "n", "s.lang", "s.text", F.round("s.confidence", 4).alias("confidence"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode.encode(docs, encode.read_ranks(RANKS)).select("doc_id", "ids")
@@ -47,6 +56,14 @@ def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
