@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
-from . import budget, encode, language, leakage, mixing, mojibake, reservoir
+from . import budget, encode, language, leakage, mixing, mojibake, reservoir, toxic
 
 RANKS = f"{encode.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 SAMPLE = 1000
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.score(table(spark, sf_dir, "docs").select("id", "text")).where("toxic").select("id").distinct()
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic.score(table(spark, sf_dir, "docs").select("id", "source", "text"))
+    return scored.select("id", "source", F.round("score", 4).alias("score"), "toxic", "passages")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.rates(toxic.score(table(spark, sf_dir, "docs").select("source", "text"), key="source"))
+
+
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.reservoir_sample(table(spark, sf_dir, "docs").select("id", "text"), SAMPLE)
 
