@@ -19,11 +19,12 @@ empty table, or one without labels of two languages, gives no rows.
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,7 @@ UNKNOWN = ("", "und", "unknown", "unk", "none", "null", "n/a", "na", "xx", "zxx"
 
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _WORD = re.compile(r"[^\W\d_]+")
-_NOT_WORDS = re.compile(r"\S*[@\d/\\_=<>{}]\S*")
+_NOT_WORDS = re.compile(r"[@\d/\\_=<>{}]")
 _WRAP = re.compile(r"(?<=[^\s.!?:;])[ \t]*\n[ \t]*(?=[^\W\d_A-Z])")
 _END = re.compile(r"[.!?][\"'”’»)]*\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+|\n+")
@@ -73,8 +74,13 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(_WRAP.sub(" ", text)) if s and not s.isspace()]
 
 
+def token_words(token: str) -> list[str]:
+    """The words of a stretch without white space; none if it looks like an address, a number or code."""
+    return [] if _NOT_WORDS.search(token) else _WORD.findall(token.lower())
+
+
 def sentence_words(sentence: str) -> list[str]:
-    return _WORD.findall(_NOT_WORDS.sub(" ", sentence).lower())
+    return [w for token in sentence.split() for w in token_words(token)]
 
 
 def features(word: str) -> list[int]:
@@ -111,44 +117,61 @@ class Model:
 
     def __init__(self, languages: list[str], weights: np.ndarray, machines: list[tuple], known: set[str]):
         self.languages, self.weights, self.machines, self.known = languages, weights.astype(np.float32), machines, known
-        self.memo: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        # a word's row: its scores under the machines, its number of features, whether it is known and longer than a letter
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((4096, len(self.machines) + 3), np.float32)
+        self.tokens: dict[str, list[int]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"index": {}, "tokens": {}, "rows": self.rows[:1]}
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
+    def at(self, word: str) -> int:
+        found = self.index.get(word)
         if found is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
+            found = self.index[word] = len(self.index)
+            if found >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(4096, len(self.rows)), self.rows.shape[1]), np.float32)])
             x = features(word)
-            found = self.memo[word] = np.append(self.weights[x].sum(axis=0), len(x)).astype(np.float32)
+            self.rows[found, :-3] = self.weights[x].sum(axis=0)
+            self.rows[found, -3:] = len(x), word in self.known, len(word) > 1
         return found
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """The machines' margins for a sentence."""
-        total = np.sum([self.word(w) for w in words], axis=0)
-        # the length of a row is near the root of its number of features
-        return total[:-1] / np.sqrt(total[-1])
-
-    def predict(self, margins: np.ndarray) -> tuple[str, float]:
+    def ids(self, sentence: str) -> list[int]:
+        """The rows of the words of a sentence."""
+        out: list[int] = []
+        get = self.tokens.get
+        for token in sentence.split():
+            found = get(token)
+            if found is None:
+                found = self.tokens[token] = [self.at(w) for w in token_words(token)]
+            out += found
+        return out
+
+    def sums(self, parts: list[list[int]]) -> np.ndarray:
+        """The summed rows of each list; none may be empty."""
+        starts = list(accumulate(map(len, parts[:-1]), initial=0))
+        return np.add.reduceat(self.rows[list(chain.from_iterable(parts))], starts, axis=0)
+
+    def predict(self, margins: list[float]) -> tuple[str, float]:
         """Language and confidence: first the family, then votes within it."""
-        p = 1 / (1 + np.exp(np.clip(-2.5 * margins, -50, 50)))
-        family = {}
-        rest = 0
-        for i, (kind, a, b) in enumerate(self.machines):
+        p = [1 / (1 + math.exp(min(50.0, max(-50.0, -2.5 * m)))) for m in margins]
+        name, sure = next(f for f in FAMILIES if any(x in self.languages for x in FAMILIES[f])), 1.0
+        votes: dict[str, list] = {}
+        for q, (kind, a, b) in zip(p, self.machines):
             if kind == "family":
-                family = {a: p[i], b: 1 - p[i]}
-                rest = i + 1
-        name = max(sorted(family), key=lambda f: family[f]) if family else next(iter(f for f in FAMILIES if set(FAMILIES[f]) & set(self.languages)))
-        inside = [x for x in FAMILIES[name] if x in self.languages]
-        votes, least = Counter(), {x: 1.0 for x in inside}
-        for i, (kind, a, b) in enumerate(self.machines[rest:], rest):
-            if kind == name:
-                votes[a if p[i] >= 0.5 else b] += 1
-                least[a], least[b] = min(least[a], p[i]), min(least[b], 1 - p[i])
-        best = max(inside, key=lambda x: (votes[x], least[x]))
-        return best, float(least[best] * family.get(name, 1.0))
+                name, sure = (a, q) if q >= 0.5 else (b, 1 - q)
+            elif kind == name:
+                for x, r in ((a, q), (b, 1 - q)):
+                    v = votes.setdefault(x, [0, 1.0])
+                    v[0] += r >= 0.5
+                    v[1] = min(v[1], r)
+        if not votes:
+            return next(x for x in FAMILIES[name] if x in self.languages), sure
+        best = max(sorted(votes), key=lambda x: votes[x])
+        return best, votes[best][1] * sure
 
 
 def fit(samples: list[tuple[str, str]]) -> Model | None:
@@ -183,27 +206,36 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
             weights.append(_fit([rows[i] for i in use], np.where(side[use] == a, 1.0, -1.0)))
         model = Model(languages, np.stack(weights, axis=1), machines, known)
         if not last:
-            keep = np.array([model.predict(v @ model.weights[x])[0] == lang for (x, v), lang in zip(rows, y)])
+            keep = np.array([model.predict((v @ model.weights[x]).tolist())[0] == lang for (x, v), lang in zip(rows, y)])
     return model
 
 
 def segments(text: str, model: Model, least_words: int = LEAST_WORDS, clear: float = 0.9) -> tuple[str | None, float, list[tuple[str, str, float]]]:
     """The text's main language, its confidence, and the segments (language, text, confidence) in order."""
-    parts = [(s, sentence_words(s)) for s in sentences(text)]
-    everything = [w for _, ws in parts for w in ws]
-    familiar = [w for w in everything if w in model.known]
-    if len(set(familiar)) < 2 or len(familiar) < 0.4 * len(everything):
+    if len(model.tokens) > 300_000:
+        model.clear()
+    parts = [(s, model.ids(s)) for s in sentences(text)]
+    told = [ws for _, ws in parts if ws]
+    if not told:
+        return None, 0.0, []
+    sums = model.sums(told)
+    total = sums.sum(axis=0)
+    if total[-2] < 2 or total[-2] < 0.4 * sum(map(len, told)) or (total[-2] < 8 and len({w for ws in told for w in ws if model.rows[w, -2]}) < 2):
         return None, 0.0, []
-    main, sure = model.predict(model.scores(everything))
+    # the length of a row of the fit is near the root of its number of features
+    margins = (sums[:, :-3] / np.sqrt(sums[:, -3:-2])).tolist()
+    main, sure = model.predict((total[:-3] / np.sqrt(total[-3])).tolist())
+    counts = iter(zip(margins, sums[:, -2].tolist(), sums[:, -1].tolist()))
     out: list[tuple[str, str, float]] = []
     waiting = ""
     for s, ws in parts:
         lang, p = "", 0.0
-        if sum(len(w) > 1 for w in ws) >= least_words and sum(w in model.known for w in ws) >= 0.6 * len(ws):
-            found, q = model.predict(model.scores(ws))
-            whole = _END.search(s) is not None or len(ws) > 2 * least_words
-            if found == main or (q >= clear and whole):
-                lang, p = found, q
+        if ws:
+            margin, known, long = next(counts)
+            if long >= least_words and known >= 0.6 * len(ws):
+                found, q = model.predict(margin)
+                if found == main or (q >= clear and (_END.search(s) is not None or len(ws) > 2 * least_words)):
+                    lang, p = found, q
         # a stretch that tells no language goes with its neighbour
         if not lang and out:
             out[-1] = (out[-1][0], out[-1][1] + " " + s, out[-1][2])

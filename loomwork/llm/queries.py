@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
-from . import budget, encode, language, leakage, mixing, mojibake, reservoir, toxic
+from . import budget, encode, language, leakage, mixing, mojibake, prose, reservoir, toxic
 
 RANKS = f"{encode.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 SAMPLE = 1000
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prose.verdicts(table(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "common_words"))
+    return found.where("kind <> 'prose'").select("id", "kind").distinct()
+
+
+def p2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "docs").select("id", "text", F.col("meta.lang").alias("label"))
+    return prose.statistics(docs, table(spark, sf_dir, "common_words"), language.code_of(F.col("label"))).drop("label")
+
+
+def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prose.verdicts(table(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "common_words"))
+    return found.select("id", "kind", "lang", F.round("prose_divergence", 4).alias("prose_divergence"), F.round("kind_divergence", 4).alias("kind_divergence"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.score(table(spark, sf_dir, "docs").select("id", "text")).where("toxic").select("id").distinct()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import maximal_segments
-from .toxic_terms import CUES, MEDIUM, PHRASES, STRONG, WEAK
+from .toxic_terms import CUES, MEDIUM, PHRASES, STRONG, TRIGGERS, WEAK
 
 #: Prior mass of the abusive side for a term of each tier; the rest of its mass follows the corpus.
 TIERS = {"strong": 0.05, "medium": 0.006, "weak": 0.0015}
@@ -59,6 +59,7 @@ def _matcher(stems: list[str]) -> tuple[frozenset, re.Pattern]:
 
 _MATCH = [(tier, *_matcher(stems)) for tier, stems in (("strong", STRONG), ("medium", MEDIUM), ("weak", WEAK), ("cue", CUES))]
 _PHRASES = [(re.compile(p), tier) for p, tier in PHRASES]
+_TRIGGERS = frozenset(TRIGGERS)
 _TIER: dict[str, str | None] = {}
 
 
@@ -92,19 +93,18 @@ def _joined(match: re.Match) -> str:
     return letters
 
 
+def word_of(raw: str) -> str:
+    """The plain word that a token of a plain text stands for."""
+    if _STRANGE.search(raw) and not raw.isdigit():
+        if re.fullmatch(r"[^\W\d_]\w?\*{1,}\w*", raw) and len(raw) >= 4:
+            return MASKED
+        raw = raw.translate(_LEET).strip("*")
+    return _STRETCH.sub(r"\1", raw) if len(raw) > 3 else raw
+
+
 def tokens(text: str) -> list[str]:
     """The plain words of a text."""
-    out = []
-    for word in _TOKEN.findall(plain(text)):
-        if _STRANGE.search(word) and not word.isdigit():
-            if re.fullmatch(r"[^\W\d_]\w?\*{1,}\w*", word) and len(word) >= 4:
-                word = MASKED
-            else:
-                word = word.translate(_LEET).strip("*")
-        if len(word) > 3 and _STRETCH.search(word):
-            word = _STRETCH.sub(r"\1", word)
-        out.append(word)
-    return out
+    return [word_of(w) for w in _TOKEN.findall(plain(text))]
 
 
 def _phrase_ends(words: list[str]) -> list[tuple[int, str]]:
@@ -122,16 +122,29 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, bad, seen, total = Counter(), Counter(), set(), 0
+        known: dict[str, tuple] = {}
         for batch in batches:
             for t in batch["t"]:
-                for s in _SENTENCE.split(t):
-                    words = tokens(s)
-                    total += len(words)
-                    n.update(words)
-                    tiers = [tier(w) for w in words]
-                    if "strong" in tiers and "cue" not in tiers and len(words) < 60 and (key := hash(" ".join(words))) not in seen:
-                        seen.add(key)
-                        bad.update(set(words))
+                for s in _SENTENCE.split(plain(t)):
+                    raws = _TOKEN.findall(s)
+                    total += len(raws)
+                    n.update(raws)
+                    tiers = []
+                    for raw in raws:
+                        if raw not in known:
+                            word = word_of(raw)
+                            known[raw] = (word, tier(word))
+                        if known[raw][1]:
+                            tiers.append(known[raw][1])
+                    if "strong" in tiers and "cue" not in tiers and len(raws) < 60:
+                        words = [known[r][0] for r in raws]
+                        if (key := hash(" ".join(words))) not in seen:
+                            seen.add(key)
+                            bad.update(set(words))
+        by_word: Counter = Counter()
+        for raw, c in n.items():
+            by_word[known[raw][0]] += c
+        n = by_word
         rows = [(w, c, bad.get(w, 0)) for w, c in n.items() if w in bad or tier(w) is not None]
         yield pd.DataFrame([*rows, ("", total, sum(bad.values()))], columns=["token", "n", "abusive"])
 
@@ -159,6 +172,7 @@ class Scores:
             elif bad >= LEARN_AT:
                 self.value[word] = min(LEARN_TOP, self._odds(REST * p, p, bad * scale))
         self.neutral = math.log(REST)
+        self.cache: dict[str, tuple] = {}
         self.unseen = {k: self._odds(v, 1.0 / (total + 1e5), 0.0) for k, v in TIERS.items()} | {"cue": CUE}
         self.phrase = {"strong": 9.0, "medium": 4.5, "weak": 2.0}
         self.rate = self._rate(table, total)
@@ -189,21 +203,32 @@ class Scores:
 
     def passages(self, text: str) -> list[tuple[float, str]]:
         """(-log10 of the expected number of chance segments, words) of each segment, best first."""
-        words, scores = [], []
-        for sentence in _SENTENCE.split(text):
-            part = tokens(sentence)
-            odds = [self.of(w) for w in part]
-            if any(s > 1.5 for s in odds) or len(part) > 4:
-                for at, strength in _phrase_ends(part):
-                    odds[at] = max(odds[at], 0.0) + self.phrase[strength]
-                # a sentence with several words of reports speaks about such language
-                if sum(tier(w) == "cue" for w in part) > 1:
-                    odds = [0.4 * s if s > 0 else s for s in odds]
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        words, scores, n, get = [], [], 0, self.cache.get
+        for sentence in _SENTENCE.split(plain(text)):
+            found = []
+            for raw in _TOKEN.findall(sentence):
+                x = get(raw)
+                if x is None:
+                    word = word_of(raw)
+                    x = self.cache[raw] = (word, self.of(word), word in _TRIGGERS)
+                found.append(x)
+            n += len(found)
+            if not any(x[2] or x[1] > 1.5 for x in found):
+                continue
+            part, odds = [x[0] for x in found], [x[1] for x in found]
+            for at, strength in _phrase_ends(part):
+                odds[at] = max(odds[at], 0.0) + self.phrase[strength]
+            # a sentence with several words of reports speaks about such language
+            if sum(tier(w) == "cue" for w in part) > 1:
+                odds = [0.4 * s if s > 0 else s for s in odds]
+            # sentences without any evidence only separate
             words += [*part, "."]
             scores += [*odds, BARRIER]
         if not any(s > 1.5 for s in scores):
             return []
-        base = math.log10(_K * len(words))
+        base = math.log10(_K * n)
         found = [(self.rate * s / math.log(10) - base, " ".join(words[a:b]).replace(MASKED, "***")) for a, b, s in maximal_segments(scores)]
         return sorted(found, reverse=True)
 

@@ -74,3 +74,11 @@ PHRASES = [
     (r"\bvai (?:para o inferno|te foder|à merda)\b|\bcala (?:essa|a) boca\b|\bvou te (?:matar|partir|rebentar)\b|\b(?:deviam|devem) ser (?:expulsos|eliminados|exterminados)\b", "strong"),
     (r"\bhou je (?:\w+ )?(?:bek|mond|smoel)\b|\bik (?:maak|sla|breek|vermoord) (?:je|jou)\b|\bmoeten (?:\w+ ){0,3}(?:verjaagd|uitgeroeid|weggejaagd)\b|\brot op\b|\brot in hell\b", "strong"),
 ]
+
+#: Words of which a phrase holds at least one; only sentences with one of them are searched for phrases.
+TRIGGERS = """
+you your yours yourself die choke drown hell dead lost up back shut born better pity shame sad belong belongs kind them right deserve deserves out
+vermin animal animals rats disease plague parasite parasites subhuman subhumans cockroaches scum filth waste away where
+adults erwachsene adultes adultos adulti volwassenen schlag schlage dich euch sterben fresse maul schnauze klappe faire ferme vais faut
+infierno boca voy echarlos eliminarlos exterminarlos sirves inferno chiudi ammazzo spacco rompo vanno foder merda cala vou ser hou ik moeten op
+""".split()
