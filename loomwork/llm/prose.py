@@ -32,7 +32,7 @@ _ROW_TAG = re.compile(r"</?(?:tr|p|br|li|ul|ol|div|table|h\d)\b[^<>]*>", re.I)
 _CELL_TAG = re.compile(r"</t[dh]>\s*<t[dh][^<>]*>", re.I)
 _TAG = re.compile(r"<[/a-zA-Z!][^<>]{0,200}>")
 _WORD = re.compile(r"[^\W\d_]+")
-_STOP = re.compile(r"[.!?][\"'”’»)]*(?=\s|$)")
+_STOP = re.compile(r"(?<!\s[A-Z])(?<!^[A-Z])[.!?][\"'”’»)]*(?=\s|$)")
 _MARK = re.compile(r"\s*(?:[-*•–·▪►+]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\(?[A-Z]\))\s+")
 _BEYOND = re.compile("[^" + re.escape("".join(bytes([i]).decode("cp1252", "ignore") for i in range(256))) + "]")
 _GAP = re.compile(r"\s{3,}")

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
-from . import budget, encode, language, leakage, mixing, mojibake, prose, reservoir, toxic
+from . import budget, encode, language, leakage, mixing, mojibake, pii, prose, reservoir, toxic
 
 RANKS = f"{encode.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 SAMPLE = 1000
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_spans(table(spark, sf_dir, "docs").select("id", "text")).select("id", "kind", "pii_text").distinct()
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "docs").select("id", "text"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prose.verdicts(table(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "common_words"))
     return found.where("kind <> 'prose'").select("id", "kind").distinct()
