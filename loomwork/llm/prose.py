@@ -117,8 +117,7 @@ def shape(text: str) -> np.ndarray:
         sentences.append(body[last : m.end()])
         last = m.end()
     tail = body[last:]
-    repeats = Counter(" ".join(s.split()).lower() for s in sentences)
-    dull = len(sentences) >= 5 and len(repeats) * 3 < len(sentences)
+    dull = len(sentences) >= 5 and len({s.strip() for s in sentences}) * 3 < len(sentences)
     for s in sentences:
         words = _WORD.findall(s)
         n, size = len(words), len(s)
@@ -166,15 +165,20 @@ def profile_counts(docs: DataFrame, common: dict[str, set[str]], text: str = "te
         for batch in batches:
             for t in batch["t"]:
                 words = _WORD.findall(t.lower())
-                used = [w for w in words if w in langs]
-                if len(used) * 6 < len(words) or len(words) < 20:
+                used = Counter(filter(langs.__contains__, words))
+                if used.total() * 6 < len(words) or len(words) < 20:
                     continue
-                shares = Counter(lang for w in used for lang in langs[w])
+                shares: Counter = Counter()
+                for w, n in used.items():
+                    for lang in langs[w]:
+                        shares[lang] += n
                 lang = max(sorted(shares), key=lambda x: shares[x])
-                hits = Counter(w for w in used if lang in langs[w])
-                for w, n in hits.items():
-                    total[lang, w] += n
-                total[lang, ""] += len(words) - hits.total()
+                rest = len(words)
+                for w, n in used.items():
+                    if lang in langs[w]:
+                        total[lang, w] += n
+                        rest -= n
+                total[lang, ""] += rest
                 for k, share in zip(CLASSES, char_classes(t).tolist()):
                     total[lang, "#" + k] += round(share * len(t))
         yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["lang", "item", "n"])
@@ -210,8 +214,11 @@ class Profiles:
         if not text or text.isspace():
             return None, None, 0.0, 0.0
         words = _WORD.findall(text.lower())
-        used = [w for w in words if w in self.langs]
-        shares = Counter(lang for w in used for lang in self.langs[w])
+        used = Counter(filter(self.langs.__contains__, words))
+        shares: Counter = Counter()
+        for w, n in used.items():
+            for lang in self.langs[w]:
+                shares[lang] += n
         lang = max(sorted(shares), key=lambda x: shares[x]) if shares else None
         apart, chars = 1.0, char_classes(text)
         by_class = divergence(chars, self.classes).tolist()
@@ -219,9 +226,12 @@ class Profiles:
         if lang:
             index = self.words[lang]
             f = np.zeros(len(index))
-            hits = [index[w] for w in used if w in index]
-            np.add.at(f, hits, 1.0)
-            f[index[""]] += len(words) - len(hits)
+            hits = 0
+            for w, n in used.items():
+                if w in index:
+                    f[index[w]] += n
+                    hits += n
+            f[index[""]] += len(words) - hits
             apart = float(divergence(f / len(words), self.prose[lang]))
             best["prose"] = float(divergence(chars, self.chars[lang]))
         else:
