@@ -81,7 +81,7 @@ def cutter(size: int):
 def count_tokens(docs: DataFrame, key: str, text: str = "text", path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", out: str = "tokens", chunk: int = CHUNK) -> DataFrame:
     """`docs` without its text, with a column `out` of exact token counts. Rows with the same key and other values stay apart."""
     count = token_counter(path)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, out)]
     long = F.length(text) > chunk
     short = docs.where(F.col(text).isNull() | ~long).withColumn(out, count(F.col(text))).select(*rest, out)
     pieces = docs.where(long).withColumn("__row", F.monotonically_increasing_id()).select(*rest, "__row", F.posexplode(cutter(chunk)(F.col(text))).alias("__n", "__chunk"))

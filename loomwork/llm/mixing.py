@@ -65,7 +65,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, tokens: str = "tokens", w
     edge = edge.withColumn("__in", (F.col("__sum") - F.col(tokens) / 2.0 <= F.col("__rest"))).drop("__sum")
     others = cut.where(F.col("__cut").isNull() | (F.col("__bin") != F.col("__cut"))).withColumn("__in", F.coalesce(F.col("__bin") < F.col("__cut"), F.col("__rest") > 0))
     chosen = others.unionByName(edge).withColumn("copies", F.col("__copies") + F.col("__in").cast("long"))
-    return chosen.where("copies > 0").select(*docs.columns, "copies")
+    return chosen.where("copies > 0").select(*[c for c in docs.columns if c != "copies"], "copies")
 
 
 def report(mixed: DataFrame, targets: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -191,7 +191,10 @@ def repair_run(run: str, probable: Probable, garbled: bool = False) -> tuple[str
     for inverse in inverses():
         text = inverse.apply(run)
         if text != run and (now := probable.of(text)) > score:
-            best, name, score = text, inverse.encoding, now
+            # what comes out must be known to the corpus, unless many sequences fit
+            pairs = sum(not text[i : i + 2].isascii() for i in range(len(text) - 1))
+            if now > pairs * (UNSEEN + 1.5) or len(run) - len(text) >= 6:
+                best, name, score = text, inverse.encoding, now
     if sum(c > "\x7f" for c in run) >= 4:
         for read, real in SWAPPED:
             text = _swap(run, read, real)

@@ -11,7 +11,8 @@ line breaks inside of it; sentences that mostly repeat each other count as loose
 separator as its neighbours; an item is short, marked or one of several that are cut by commas.
 
 Defined cases: null, empty and blank texts have zero counts and no kind; a text too short to tell is prose if it is words
-and junk otherwise; a null label takes the nearest language; repeated rows have the same verdict.
+and junk otherwise; a null label takes the nearest language; repeated rows have the same verdict; columns of `docs` with the names of results are replaced; an empty
+table gives no rows, and without any prose profile every kind is told by shape and character classes.
 """
 
 from __future__ import annotations
@@ -258,22 +259,22 @@ def verdicts(docs: DataFrame, common_words: DataFrame, key: str = "id", text: st
         for texts in batches:
             yield pd.DataFrame([profiles.of(t) for t in texts], columns=["kind", "lang", "prose_divergence", "kind_divergence"])
 
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "kind", "lang", "prose_divergence", "kind_divergence")]
     return docs.withColumn("__v", scan(F.col(text))).select(*rest, "__v.*")
 
 
 def statistics(docs: DataFrame, common_words: DataFrame, code, text: str = "text") -> DataFrame:
     """Counts by built-in expressions: words, mean word length, symbol ratio, share of lines ending in punctuation and
     share of common words of the language `code` (all languages where it is null). Words are runs of letters."""
-    common = common_words.groupBy("lang").agg(F.collect_set("word").alias("__common"))
+    common = common_words.where("lang IS NOT NULL").groupBy(F.col("lang").alias("__of")).agg(F.collect_set("word").alias("__common"))
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), 0)
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words")]
     made = docs.withColumn("__lang", code).withColumn("__w", words).withColumn("__l", lines).withColumn("__n", F.length(t)).withColumn("__letters", F.length(F.regexp_replace(t, r"\P{L}", ""))).withColumn("__symbols", F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s.,;:!?'\"()\-]", "")))
     ends = F.size(F.filter("__l", lambda x: F.rtrim(x).rlike(r"[.!?:;,]$")))
     # as many rows as languages
-    joined = made.join(F.broadcast(common), made["__lang"] == common["lang"], "left")
+    joined = made.join(F.broadcast(common), made["__lang"] == common["__of"], "left")
     hits = F.size(F.filter("__w", lambda w: F.array_contains("__common", w)))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
     return joined.select(

@@ -12,7 +12,8 @@ Disguises are undone before scoring: look-alike letters and digits, letters pull
 Words of reports and rules about such language count against a segment.
 
 Scale. One pass counts tokens with map-side sums (only tokens of the lexicon or of abusive sentences leave it), one pass
-scores. Defined cases: null, empty and blank texts score 0; repeated rows score alike; a null source is its own slice.
+scores. Defined cases: null, empty and blank texts score 0; repeated rows score alike; a null source is its own slice;
+columns with the names of results are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -245,7 +246,7 @@ def score(docs: DataFrame, key: str = "id", text: str = "text", significant: flo
             out = [scores.passages(t) if t else [] for t in texts]
             yield pd.DataFrame({"score": [max(0.0, p[0][0]) if p else 0.0 for p in out], "passages": [[w for s, w in p if s >= significant] for p in out]})
 
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "score", "toxic", "passages")]
     return docs.withColumn("__s", scan(F.col(text))).select(*rest, F.col("__s.score").alias("score"), (F.col("__s.score") >= significant).alias("toxic"), F.col("__s.passages").alias("passages"))
 
 
