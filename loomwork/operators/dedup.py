@@ -8,6 +8,7 @@ dropped. Only representatives of exact copies take part, so large groups of copi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -55,28 +56,26 @@ def permutations(count: int = 128, seed: int = 1234) -> tuple[np.ndarray, np.nda
     return rng.randint(1, (1 << 31) - 1, count).astype(np.uint64), rng.randint(0, (1 << 31) - 1, count).astype(np.uint64)
 
 
-def signer(a: np.ndarray, b: np.ndarray):
-    """A pandas UDF: the least hash of an array under each function. Products stay under 2^63."""
-
-    @F.pandas_udf("array<bigint>")
-    def sign(arrays: pd.Series) -> pd.Series:
-        out = []
-        for hashes in arrays:
-            x = np.asarray(hashes, np.uint64)
-            best = np.full(len(a), MASK, np.uint64)
-            for start in range(0, len(x), 4096):  # long texts in slices
-                part = x[start : start + 4096, None]
-                best = np.minimum(best, (((part * a + b) % np.uint64(PRIME)) & np.uint64(MASK)).min(axis=0))
-            out.append(best.astype(np.int64))
-        return pd.Series(out)
-
-    return sign
+def least_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least hash of an array under each function. Products stay under 2^63; long texts go in slices."""
+    best = np.full(len(a), MASK, np.uint64)
+    for start in range(0, len(hashes), 4096):
+        part = hashes[start : start + 4096, None]
+        best = np.minimum(best, (((part * a + b) % np.uint64(PRIME)) & np.uint64(MASK)).min(axis=0))
+    return best.astype(np.int64)
 
 
 def signatures(docs: DataFrame, order: str, text: str = "text", count: int = 128, size: int = 5, seed: int = 1234) -> DataFrame:
     """(order, sig) of the texts with at least one word."""
+    a, b = permutations(count, seed)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({order: batch[order], "sig": [least_hashes(np.asarray(h, np.uint64), a, b) for h in batch["h"]]})
+
     key = docs.select(order, text_key(F.col(text)).alias("k")).where(F.length("k") > 0)
-    return key.select(order, signer(*permutations(count, seed))(shingle_hashes(F.col("k"), size)).alias("sig"))
+    kind = docs.schema[order].dataType.simpleString()
+    return key.select(order, shingle_hashes(F.col("k"), size).alias("h")).mapInPandas(sign, f"{order} {kind}, sig array<bigint>")
 
 
 def near_pairs(signed: DataFrame, order: str, bands: int = 32, threshold: float = 0.8) -> DataFrame:

@@ -19,12 +19,12 @@ def cleaned(stream: DataFrame, key: str, c: Curation = Curation()) -> DataFrame:
 
 def first_seen(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """Rows whose text key was not seen within the watermark; state is kept no longer than `delay` after the newest row."""
-    return stream.withColumn("__key", F.md5(dedup.text_key(F.col("text")))).withWatermark(time, delay).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
+    return stream.withColumn("__key", F.md5(dedup.text_key(F.col("text")))).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
 def event_counts(stream: DataFrame, time: str = "logged_at", delay: str = "2 hours", size: str = "1 hour") -> DataFrame:
     """Rows for each window and status; late rows beyond `delay` are left out."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, size), F.lower("status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, size), F.lower("status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def near_duplicates(batch: DataFrame, index_path: str, order: str, threshold: float = 0.8) -> DataFrame:
