@@ -26,7 +26,9 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str, query_key: str, k: i
     words = content(F.col(text))
     terms = queries.select(query_key, F.explode(content(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
     sizes = passages.select(F.size(words).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    index = passages.select(key, F.size(words).alias("len"), F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the length is taken before the words are spread: behind that it would be computed for each of them
+    spread = passages.select(key, words.alias("w")).select(key, "w", F.size("w").alias("len")).select(key, "len", F.explode("w").alias("term"))
+    index = spread.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of corpus statistics
     weighted = index.join(df, "term").crossJoin(F.broadcast(sizes))
