@@ -6,7 +6,7 @@ from ..functions import text as T
 from ..operators import curate as C
 from ..plans import funnel
 from ..registry import query
-from ..session import table
+from ..session import spread, table
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 BAD = ", ".join(f"'{w}'" for w in C.ABUSIVE)
@@ -108,17 +108,17 @@ def quality_measures(spark, sf_dir):
 
 @query(_REASON + "SELECT doc_id, reason FROM reasons")
 def quality_rule(spark, sf_dir):
-    return C.quality_reason(table(spark, sf_dir, "documents"), "doc_id")
+    return C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query(_REASON + "SELECT reason, count(*) AS docs FROM reasons GROUP BY reason")
 def quality_reason(spark, sf_dir):
-    return C.quality_reason(table(spark, sf_dir, "documents"), "doc_id").groupBy("reason").agg(F.count(F.lit(1)).alias("docs"))
+    return C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").groupBy("reason").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"WITH m AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id, words, max(n) AS top FROM (SELECT doc_id, len(w) AS words, w[i]||' '||w[i+1] AS g, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM m) GROUP BY doc_id, len(w), g) GROUP BY doc_id, words HAVING max(n) > 2")
 def top_ngram_count(spark, sf_dir):
-    return C.top_ngrams(table(spark, sf_dir, "documents"), "doc_id", 2).select("doc_id", F.col("words").cast("long").alias("words"), "top")
+    return C.top_ngrams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", 2).select("doc_id", F.col("words").cast("long").alias("words"), "top")
 
 
 def _masking(kind: str) -> str:
@@ -173,7 +173,7 @@ def mask_phone(spark, sf_dir):
 
 @query()
 def mask_all(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.masked(F.col("text")).alias("text")).withColumn("counts", C.mask_counts(F.col("text")))
+    return spread(table(spark, sf_dir, "docs").select("id", "text")).select("id", C.masked(F.col("text")).alias("text")).withColumn("counts", C.mask_counts(F.col("text")))
 
 
 @query(f"WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+', 0) AS w FROM documents) SELECT doc_id, round(CASE WHEN w IS NULL OR len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: x IN ({BAD}))) / len(w) END, 6) AS share FROM w")
@@ -189,15 +189,15 @@ def hash_split(spark, sf_dir):
 @query(_REASON + """, f AS (SELECT 'quality' AS stage, source, reason, chars FROM reasons)
 SELECT stage, source, count(*) AS docs_in, count(*) FILTER (reason = 'kept') AS docs_out, sum(chars)::BIGINT AS chars_in, coalesce(sum(chars) FILTER (reason = 'kept'), 0)::BIGINT AS chars_out FROM f GROUP BY stage, source""")
 def stage_report(spark, sf_dir):
-    return funnel.report(funnel.tagged(table(spark, sf_dir, "documents"), "quality", C.quality_reason(table(spark, sf_dir, "documents"), "doc_id"), "doc_id"))
+    return funnel.report(funnel.tagged(table(spark, sf_dir, "documents"), "quality", C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"), "doc_id"))
 
 
 @query(_REASON + "SELECT doc_id, reason FROM reasons QUALIFY row_number() OVER (PARTITION BY reason = 'kept' ORDER BY md5('1234:'||doc_id::VARCHAR)) <= 100")
 def review_sample(spark, sf_dir):
-    reasons = C.quality_reason(table(spark, sf_dir, "documents"), "doc_id")
+    reasons = C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     return funnel.review(reasons, "doc_id", k=100, seed=1234)
 
 
 @query()
 def curation_funnel(spark, sf_dir):
-    return funnel.curate_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).report()
+    return funnel.curate_all(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).report()

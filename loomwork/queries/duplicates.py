@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import decontam, dedup
 from ..registry import query
-from ..session import table
+from ..session import spread, table
 
 _KEY = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"
 _EXACT = rf"""keyed AS (SELECT id, source, text, md5({_KEY}) AS key FROM docs),
@@ -39,7 +39,7 @@ sig AS (SELECT id, i, min((x * a + b) % {dedup.PRIME} & {dedup.MASK}) AS v FROM
 
 @query(f"WITH {_SIGNED.replace('KEPT', 'docs')} SELECT id, sum(v)::BIGINT AS sig_sum, min(v) AS sig_min, sum(v * (i + 1) % 1000003)::BIGINT AS sig_check FROM sig GROUP BY id")
 def minhash_signature(spark, sf_dir):
-    s = dedup.signatures(table(spark, sf_dir, "docs"), "id")
+    s = dedup.signatures(spread(table(spark, sf_dir, "docs").select("id", "text")), "id")
     total = lambda f: F.aggregate(F.transform("sig", f), F.lit(0).cast("long"), lambda a, x: a + x)
     return s.select("id", total(lambda x, i: x).alias("sig_sum"), F.array_min("sig").alias("sig_min"), total(lambda x, i: x * (i + 1) % 1000003).alias("sig_check"))
 
@@ -51,7 +51,7 @@ pairs AS (SELECT a, b, count(*) FILTER (s.v = t.v) / 128 AS similarity FROM cand
 
 
 def _pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "docs")
+    docs = spread(table(spark, sf_dir, "docs").select("id", "text", "source"))
     firsts = docs.join(dedup.exact(docs, "id").where("label = 'kept'").select("id"), "id", "left_semi")
     return dedup.near_pairs(dedup.signatures(firsts, "id"), "id")
 
@@ -73,7 +73,7 @@ def near_dup_dropped(spark, sf_dir):
 
 @query()
 def near_dedup(spark, sf_dir):
-    return dedup.near(table(spark, sf_dir, "docs"), "id")
+    return dedup.near(spread(table(spark, sf_dir, "docs").select("id", "text", "source")), "id")
 
 
 _GRAMS = """iw AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+', 0) AS w FROM benchmark),
@@ -86,7 +86,7 @@ hits AS (SELECT id, count(*) AS shared_grams FROM dg SEMI JOIN ig ON dg.g = ig.g
 
 @query(f"WITH {_GRAMS} SELECT id, shared_grams FROM hits")
 def decontam_hits(spark, sf_dir):
-    return decontam.hits(table(spark, sf_dir, "docs"), table(spark, sf_dir, "benchmark"), "id")
+    return decontam.hits(spread(table(spark, sf_dir, "docs").select("id", "text")), table(spark, sf_dir, "benchmark"), "id")
 
 
 @query(f"WITH {_GRAMS} SELECT id, source FROM docs ANTI JOIN hits USING (id)")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ngram_models as M
 from ..registry import query
-from ..session import table
+from ..session import spread, table
 
 # half of the rows, by hash of their id, are for training: that is the feature, not a saving
 _HALF = "('0x'||substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < 2147483648"
@@ -17,7 +17,7 @@ model AS (SELECT lang, gram, count(*) AS n FROM grams WHERE lang IS NOT NULL AND
 def _train(spark, sf_dir):
     from ..functions.text import hash32
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return M.train_languages(docs.where(hash32(F.col("doc_id").cast("string")) < 2147483648))
 
 
@@ -36,20 +36,20 @@ predicted AS (SELECT s.doc_id, b.lang, 1 / sum(exp(greatest(-50, s.score - b.top
 
 @query(f"WITH {_SCORED} SELECT doc_id, lang, round(p, 3) AS p FROM predicted")
 def langid_predict(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return M.predict_languages(M.score_languages(docs, _train(spark, sf_dir), "doc_id"), "doc_id").withColumn("p", F.round("p", 3))
 
 
 @query(f"WITH {_SCORED} SELECT d.lang AS label, p.lang AS predicted, count(*) AS docs FROM documents d JOIN predicted p ON p.doc_id = d.doc_id GROUP BY ALL")
 def langid_confusion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     p = M.predict_languages(M.score_languages(docs, _train(spark, sf_dir), "doc_id"), "doc_id").select("doc_id", F.col("lang").alias("predicted"))
     return docs.select("doc_id", F.col("lang").alias("label")).join(p, "doc_id").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"WITH {_SCORED} SELECT p.doc_id, CASE WHEN p.lang = 'en' THEN 'kept' ELSE 'lang_'||p.lang END AS reason FROM predicted p")
 def lang_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     p = M.predict_languages(M.score_languages(docs, _train(spark, sf_dir), "doc_id"), "doc_id")
     return p.select("doc_id", F.when(F.col("lang") == "en", "kept").otherwise(F.concat(F.lit("lang_"), "lang")).alias("reason"))
 

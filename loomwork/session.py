@@ -64,3 +64,12 @@ def ship(spark: SparkSession) -> None:
 
         sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "loomwork"), "zip", root, "loomwork"))
     sc._loomwork_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, a plain scan, over as many partitions as there are cores if its files give fewer; larger scans stay as they are.
+
+    For steps with much work on each row: a small file of one row group would be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
