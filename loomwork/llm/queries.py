@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, table
+from ..session import checkpointed, spread, table
 from . import budget, encode, language, leakage, mixing, mojibake, pii, prose, reservoir, toxic
 
 RANKS = f"{encode.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
@@ -15,15 +15,15 @@ SAMPLE = 1000
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found_spans(table(spark, sf_dir, "docs").select("id", "text")).select("id", "kind", "pii_text").distinct()
+    return pii.found_spans(spread(table(spark, sf_dir, "docs").select("id", "text"))).select("id", "kind", "pii_text").distinct()
 
 
 def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.masked(table(spark, sf_dir, "docs").select("id", "text"))
+    return pii.masked(spread(table(spark, sf_dir, "docs").select("id", "text")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prose.verdicts(table(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "common_words"))
+    found = prose.verdicts(spread(table(spark, sf_dir, "docs").select("id", "text")), table(spark, sf_dir, "common_words"))
     return found.where("kind <> 'prose'").select("id", "kind").distinct()
 
 
@@ -33,21 +33,21 @@ def p2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prose.verdicts(table(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "common_words"))
+    found = prose.verdicts(spread(table(spark, sf_dir, "docs").select("id", "text")), table(spark, sf_dir, "common_words"))
     return found.select("id", "kind", "lang", F.round("prose_divergence", 4).alias("prose_divergence"), F.round("kind_divergence", 4).alias("kind_divergence"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxic.score(table(spark, sf_dir, "docs").select("id", "text")).where("toxic").select("id").distinct()
+    return toxic.score(spread(table(spark, sf_dir, "docs").select("id", "text"))).where("toxic").select("id").distinct()
 
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxic.score(table(spark, sf_dir, "docs").select("id", "source", "text"))
+    scored = toxic.score(spread(table(spark, sf_dir, "docs").select("id", "source", "text")))
     return scored.select("id", "source", F.round("score", 4).alias("score"), "toxic", "passages")
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxic.rates(toxic.score(table(spark, sf_dir, "docs").select("source", "text"), key="source"))
+    return toxic.rates(toxic.score(spread(table(spark, sf_dir, "docs").select("source", "text")), key="source"))
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,16 +64,16 @@ def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.corrections(language.identify(table(spark, sf_dir, "docs")))
+    return language.corrections(language.identify(spread(table(spark, sf_dir, "docs").select("id", "text", "meta"))))
 
 
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.identify(table(spark, sf_dir, "docs")).where("size(segments) > 1")
+    found = language.identify(spread(table(spark, sf_dir, "docs").select("id", "text", "meta"))).where("size(segments) > 1")
     return found.select("id", F.posexplode("segments").alias("n", "s")).select("id", "n", "s.lang", "s.text", F.round("s.confidence", 4).alias("confidence"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encode.encode(docs, encode.read_ranks(RANKS)).select("doc_id", "ids")
 
 
@@ -93,11 +93,11 @@ def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.repaired(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return mojibake.repaired(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id").distinct()
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.repaired(table(spark, sf_dir, "documents"))
+    return mojibake.repaired(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
