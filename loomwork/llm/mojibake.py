@@ -181,6 +181,22 @@ def _swap(run: str, read: str, real: str) -> str:
         return run
 
 
+def _unwound(run: str, inverse: Inverse) -> Iterator[str]:
+    """The run after one inverse step, and after more of them: what was garbled twice is unknown to the corpus in between."""
+    text = inverse.apply(run)
+    if text == run:
+        return
+    yield text
+    for again in (inverse, *inverses()[:2]):
+        deeper = text
+        for _ in range(3):
+            further = again.apply(deeper)
+            if further == deeper:
+                break
+            deeper = further
+            yield deeper
+
+
 def repair_run(run: str, probable: Probable, garbled: bool = False) -> tuple[str, str]:
     """The most probable text that an inverse mapping gives for the run, and the encoding; the run and "" if none is taken.
 
@@ -189,12 +205,12 @@ def repair_run(run: str, probable: Probable, garbled: bool = False) -> tuple[str
     base = probable.of(run)
     best, name, score = run, "", base + GAIN
     for inverse in inverses():
-        text = inverse.apply(run)
-        if text != run and (now := probable.of(text)) > score:
-            # what comes out must be known to the corpus, unless many sequences fit
-            pairs = sum(not text[i : i + 2].isascii() for i in range(len(text) - 1))
-            if now > pairs * (UNSEEN + 1.5) or len(run) - len(text) >= 6:
-                best, name, score = text, inverse.encoding, now
+        for text in _unwound(run, inverse):
+            if (now := probable.of(text)) > score:
+                # what comes out must be known to the corpus, unless many sequences fit
+                pairs = sum(not text[i : i + 2].isascii() for i in range(len(text) - 1))
+                if now > pairs * (UNSEEN + 1.5) or len(run) - len(text) >= 6:
+                    best, name, score = text, inverse.encoding, now
     if sum(c > "\x7f" for c in run) >= 4:
         for read, real in SWAPPED:
             text = _swap(run, read, real)
