@@ -104,5 +104,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+def _stats_sql() -> str:
+    names = ", ".join(f"('{n}', '{code}')" for code, ns in language.LABELS.items() for n in ns)
+    return rf"""WITH names(name, code) AS (VALUES {names}), common AS (SELECT lang, list(DISTINCT word) AS cw FROM common_words GROUP BY lang),
+    d AS (SELECT id, coalesce(text, '') AS t, regexp_replace(lower(trim(meta.lang, ' ')), '[-_].*$', '') AS plain FROM docs),
+    w AS (SELECT d.id, t, regexp_extract_all(lower(t), '\p{{L}}+', 0) AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS l, cw FROM d LEFT JOIN names n ON n.name = d.plain LEFT JOIN common c ON c.lang = n.code)
+    SELECT id, len(w)::BIGINT AS words, round(CASE WHEN len(w) = 0 THEN 0 ELSE length(regexp_replace(t, '\P{{L}}', '', 'g')) / len(w) END, 6) AS mean_word_length,
+    round(CASE WHEN t = '' THEN 0 ELSE length(regexp_replace(t, '[\p{{L}}\p{{N}}\s.,;:!?''"()\-]', '', 'g')) / length(t) END, 6) AS symbol_ratio,
+    round(CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;,]$'))) / len(l) END, 6) AS ended_lines,
+    round(CASE WHEN len(w) = 0 OR cw IS NULL THEN 0 ELSE len(list_filter(w, lambda x: list_contains(cw, x))) / len(w) END, 6) AS common_words FROM w"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_stats": _stats_sql()}
