@@ -15,9 +15,9 @@ ALPHA = 0.5
 DISCOUNT = 0.75
 
 
-def trigrams(text: Column, chars: int = 3000) -> Column:
-    """Character trigrams of the words (letters only) of the first `chars` characters, padded with a space on each side."""
-    ws = F.regexp_extract_all(F.lower(F.substring(text, 1, chars)), F.lit(r"\p{L}+"), 0)
+def trigrams(text: Column) -> Column:
+    """Character trigrams of all words (letters only) of the text, padded with a space on each side."""
+    ws = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
     return F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3)))))
 
 
@@ -63,12 +63,9 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = 50_000) -> DataF
     return counts.orderBy(F.desc("n"), "w").limit(size).select("w")
 
 
-def windows(docs: DataFrame, vocab: DataFrame, key: str, text: str = "text", most: int | None = None) -> DataFrame:
+def windows(docs: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, u, v, w): every token with the two before it; words outside of the vocabulary are <unk>."""
-    t = model_tokens(F.col(text))
-    if most:
-        t = F.slice(t, 1, most)
-    toks = docs.where(F.length(text) > 0).select(key, F.posexplode(F.concat(t, F.array(F.lit("</s>")))).alias("i", "raw"))
+    toks = docs.where(F.length(text) > 0).select(key, F.posexplode(F.concat(model_tokens(F.col(text)), F.array(F.lit("</s>")))).alias("i", "raw"))
     known = toks.join(vocab.select(F.col("w").alias("raw"), F.lit(True).alias("in")), "raw", "left").select(key, "i", F.when(F.col("in") | (F.col("raw") == "</s>"), F.col("raw")).otherwise("<unk>").alias("w"))
     order = W.partitionBy(key).orderBy("i")
     return known.select(key, F.coalesce(F.lag("w", 2).over(order), F.lit("<s>")).alias("u"), F.coalesce(F.lag("w", 1).over(order), F.lit("<s>")).alias("v"), "w")
@@ -85,9 +82,9 @@ class Trigrams:
         self.middle = self.pair.groupBy("v").agg(F.sum("cont_vw").alias("cont_v"), F.count(F.lit(1)).alias("foll_v"))
         self.single = self.pair.groupBy("w").agg(F.count(F.lit(1)).alias("cont_w"))
 
-    def perplexity(self, docs: DataFrame, key: str, text: str = "text", most: int = 1000) -> DataFrame:
-        """(key, tokens, perplexity) over the first `most` tokens and the end."""
-        grams = windows(docs, self.vocab, key, text, most).groupBy(key, "u", "v", "w").agg(F.count(F.lit(1)).alias("k"))
+    def perplexity(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """(key, tokens, perplexity) over all tokens of the text and the end."""
+        grams = windows(docs, self.vocab, key, text).groupBy(key, "u", "v", "w").agg(F.count(F.lit(1)).alias("k"))
         sizes = self.single.agg(F.sum("cont_w").alias("total")).crossJoin(self.vocab.agg((F.count(F.lit(1)) + 2).alias("vsize")))
         joined = grams.join(self.tri, ["u", "v", "w"], "left").join(self.context, ["u", "v"], "left").join(self.pair, ["v", "w"], "left").join(self.middle, "v", "left").join(self.single, "w", "left").crossJoin(F.broadcast(sizes))
         z = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwork import config
 from loomwork.functions import text as T
-from loomwork.operators import agree, curate, decontam, dedup, evaluate, logs, retrieve, training, web
+from loomwork.operators import agree, curate, decontam, dedup, evaluate, logs, ngram_models, retrieve, training, web
 from loomwork.plans import funnel
 from loomwork.queries import oracle_sql, queries
 from loomwork.sources import readers, sinks
@@ -219,3 +219,14 @@ def test_near_duplicate_batches(spark, tmp_path):
 def test_text_functions(spark):
     assert _one(spark, "a b c", T.ngrams(T.tokens(F.col("text")), 2)) == ["a b", "b c"]
     assert _one(spark, "a", T.ngrams(T.tokens(F.col("text")), 2)) == []
+
+
+def test_language_models_take_whole_texts(spark):
+    docs = spark.createDataFrame([("x", "abc " * 1000 + "xyz " * 3000, None), ("a", "abc", "aa"), ("b", "xyz", "bb")], "doc_id string, text string, lang string")
+    model = ngram_models.train_languages(docs.where("lang IS NOT NULL"))
+    told = {r.doc_id: r.lang for r in ngram_models.predict_languages(ngram_models.score_languages(docs, model, "doc_id"), "doc_id").collect()}
+    assert told == {"x": "bb", "a": "aa", "b": "bb"}
+    counted = ngram_models.train_languages(docs.where("doc_id = 'x'").withColumn("lang", F.lit("cc")))
+    assert {r.gram: r.n for r in counted.collect()}["xyz"] == 3000
+    scored = {r.doc_id: r for r in ngram_models.Trigrams(docs, "doc_id").perplexity(docs, "doc_id").collect()}
+    assert scored["x"].tokens == 4001 and scored["a"].tokens == 2
