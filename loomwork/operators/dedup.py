@@ -3,13 +3,14 @@
 The keep rule follows input order: a text is dropped if it is near an earlier text that was kept. That is the first
 maximal independent set of the similarity graph in that order, not its connected components, and it is found in rounds:
 every undecided text without an undecided or kept earlier neighbour is kept, every one with a kept earlier neighbour is
-dropped. Only representatives of exact copies take part, so large groups of copies never meet in a band.
+dropped, until none is undecided. Only representatives of exact copies take part, so large groups of copies never meet in a band.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from ..session import checkpointed
 
 PRIME = (1 << 61) - 1
 MASK = (1 << 32) - 1
+#: Open edges that the driver walks in order instead of further rounds.
+WALKED = 100_000
 
 
 def text_key(text: Column) -> Column:
@@ -95,18 +98,37 @@ def near_pairs(signed: DataFrame, order: str, bands: int = 32, threshold: float
     return both.select("a", "b", (same / F.size("sa")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def keep_first(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(d, near): the dropped side of the ordered keep rule over pairs a < b, with its smallest kept neighbour."""
+def _walk(open_edges: DataFrame) -> list:
+    """The texts with later neighbours that the ordered keep rule keeps, by a walk in key order on the driver."""
+    rows = open_edges.orderBy("b").collect()
+    dropped = set()
+    # all edges to earlier texts of a text come before any edge from it counts
+    for b, edges in groupby(rows, lambda r: r.b):
+        if any(r.a not in dropped for r in edges):
+            dropped.add(b)
+    return sorted({r.a for r in rows} - dropped)
+
+
+def keep_first(pairs: DataFrame, walked: int = WALKED) -> DataFrame:
+    """(d, near): the dropped side of the ordered keep rule over pairs a < b, with its smallest kept neighbour.
+
+    Rounds go on until no edge is open; each decides at least the first open text. Once at most `walked` edges are open
+    the driver walks them in order, with the same result: a chain would take a round for every two of its texts.
+    """
     edges = checkpointed(pairs.select("a", "b"))
+    spark, key = edges.sparkSession, edges.select(F.col("a").alias("d"))
     open_edges = edges
     kept: list[DataFrame] = []
-    for _ in range(most_rounds):
+    while (size := open_edges.count()) > 0:
+        if size <= walked:
+            kept.append(spark.createDataFrame([(d,) for d in _walk(open_edges)], key.schema))
+            break
         # texts that have no open earlier neighbour are kept; their later neighbours go
         later = open_edges.select(F.col("b").alias("d")).distinct()
         heads = checkpointed(open_edges.select(F.col("a").alias("d")).distinct().join(later, "d", "left_anti"))
-        if heads.isEmpty():
-            break
         kept.append(heads)
+        if len(kept) == 20:
+            kept = [checkpointed(reduce(DataFrame.unionByName, kept))]
         gone = open_edges.join(heads.withColumnRenamed("d", "a"), "a", "left_semi").select(F.col("b").alias("d")).distinct()
         # edges of dropped texts do not count any more; a text left without edges is kept by having no drop
         left = open_edges.join(heads.withColumnRenamed("d", "a"), "a", "left_anti").join(gone.withColumnRenamed("d", "a"), "a", "left_anti").join(gone.withColumnRenamed("d", "b"), "b", "left_anti")

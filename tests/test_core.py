@@ -230,3 +230,19 @@ def test_language_models_take_whole_texts(spark):
     assert {r.gram: r.n for r in counted.collect()}["xyz"] == 3000
     scored = {r.doc_id: r for r in ngram_models.Trigrams(docs, "doc_id").perplexity(docs, "doc_id").collect()}
     assert scored["x"].tokens == 4001 and scored["a"].tokens == 2
+
+
+def test_keep_rule_reaches_the_end_of_a_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 241)], "a long, b long").coalesce(1)
+    assert sorted(map(tuple, dedup.keep_first(chain).collect())) == [(i, i - 1) for i in range(2, 242, 2)]
+
+
+def test_keep_rule_by_rounds_like_by_walk(spark):
+    pairs = [(f"{a:03d}", f"{b:03d}") for a in range(60) for b in range(a + 1, 60) if (a * 7 + b * 13) % 17 == 0]
+    edges = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    dropped = {}
+    for b in sorted({b for _, b in pairs}):
+        if near := [a for a, y in pairs if y == b and a not in dropped]:
+            dropped[b] = min(near)
+    for walked in (0, 100_000):
+        assert sorted(map(tuple, dedup.keep_first(edges, walked).collect())) == sorted(dropped.items())
