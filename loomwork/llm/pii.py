@@ -299,9 +299,18 @@ def found_spans(docs: DataFrame, key: str = "id", text: str = "text", least_evid
 
 def _joined_spans(docs: DataFrame, parts: DataFrame, key: str, text: str) -> DataFrame:
     """As found_spans, for more evidence than is sent to workers: each text's capitalized words are joined to it."""
+
+    @F.pandas_udf("array<struct<raw:string,part:string>>")
+    def capitals(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [(w, folded(w)) for w in sorted(set(_CAPITAL.findall(t)))] if t else [])
+
+    @F.pandas_udf("string")
+    def fold(words: pd.Series) -> pd.Series:
+        return words.map(folded)
+
     # a text's words with evidence come back as one small list for each text
-    words = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\p{Lu}[\p{L}'’]+"), 0))).alias("raw")).withColumn("part", F.lower("raw"))
-    mine = words.join(parts, "part", "left_semi").groupBy("k", "h").agg(F.collect_set("raw").alias("words"))
+    words = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.explode(capitals(F.col(text))).alias("w")).select("k", "h", "w.*")
+    mine = words.join(parts.select(fold(F.col("part")).alias("part")).distinct(), "part", "left_semi").groupBy("k", "h").agg(F.collect_set("raw").alias("words"))
     both = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.length("t") > 0).join(mine, ["k", "h"], "left")
     kind = docs.schema[key].dataType.simpleString()
 

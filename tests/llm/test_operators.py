@@ -71,6 +71,18 @@ def test_pii_joined_form_agrees(spark, monkeypatch):
     assert masked["b"] == "Dr <NAME> met <NAME>; <EMAIL>, <EMAIL>."
 
 
+def test_pii_joined_form_folds_names(spark, monkeypatch):
+    mails = "jose.garcia@a.example, uwe.gross@a.example, sean.neil@a.example, mary.d'arcy@a.example"
+    rows = [("a", mails), ("b", mails.replace("@a.", "@b.")), ("c", "José García met Uwe Groß, Sean O'Neil, Sean Neil and Mary D'Arcy."), ("d", None)]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    one = sorted(map(tuple, pii.found_spans(docs).select("id", "kind", "pii_text").collect()))
+    masked = {r.id: r.text for r in pii.masked(docs).collect()}
+    monkeypatch.setattr(pii, "BROADCAST_PARTS", 0)
+    assert sorted(map(tuple, pii.found_spans(docs).select("id", "kind", "pii_text").collect())) == one
+    assert {r.id: r.text for r in pii.masked(docs).collect()} == masked
+    assert {("c", "name", "José García"), ("c", "name", "Uwe Groß")} <= set(one)
+
+
 def test_validators():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.dni("12345678Z") and not pii.dni("12345678A")
