@@ -4,6 +4,7 @@ smoothing. Training and scoring are joins and aggregations, so models of any siz
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,11 +73,11 @@ def windows(docs: DataFrame, vocab: DataFrame, key: str, text: str = "text") ->
 
 
 class Trigrams:
-    """The count tables of the model."""
+    """The count tables of the model. `hold` may store the two that all others come from."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str = "text", size: int = 50_000):
-        self.vocab = vocabulary(docs, text, size)
-        self.tri = windows(docs, self.vocab, key, text).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c"))
+    def __init__(self, docs: DataFrame, key: str, text: str = "text", size: int = 50_000, hold: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.vocab = hold(vocabulary(docs, text, size))
+        self.tri = hold(windows(docs, self.vocab, key, text).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
         self.context = self.tri.groupBy("u", "v").agg(F.sum("c").alias("ctx"), F.count(F.lit(1)).alias("fol"))
         self.pair = self.tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("cont_vw"))
         self.middle = self.pair.groupBy("v").agg(F.sum("cont_vw").alias("cont_v"), F.count(F.lit(1)).alias("foll_v"))

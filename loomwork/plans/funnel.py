@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Curation
 from ..functions import text as T
-from ..operators import curate, decontam, dedup
+from ..operators import curate, decontam, dedup, ngram_models
 from ..session import checkpointed
 
 
@@ -53,11 +53,27 @@ class Result:
         return report(self.rows)
 
 
+def language_step(docs: DataFrame, c: Curation) -> DataFrame:
+    """Languages by the count model of all labelled texts, labels only as its evidence; without any label all is kept."""
+    scores = checkpointed(ngram_models.score_languages(docs, ngram_models.train_languages(docs), "doc_id"))
+    told = ngram_models.predict_languages(scores, "doc_id").select("doc_id", F.col("lang").alias("__told"))
+    known = docs.join(told, "doc_id", "left").withColumn("lang", F.coalesce("__told", "lang")).drop("__told")
+    return known.withColumn("reason", F.when(F.col("lang").isNull() | F.col("lang").isin(*c.languages), "kept").otherwise(F.concat(F.lit("lang_"), "lang")))
+
+
+def quality_step(docs: DataFrame, c: Curation) -> DataFrame:
+    """The quality rules, and the perplexity of what passes them under a model of the same texts."""
+    ruled = checkpointed(docs.join(curate.quality_reason(docs, "doc_id", c=c), "doc_id"))
+    good = ruled.where("reason = 'kept'").select("doc_id", "text")
+    odd = ngram_models.Trigrams(good, "doc_id", hold=checkpointed).perplexity(good, "doc_id").where(F.col("perplexity") > c.max_perplexity).select("doc_id", F.lit("perplexity").alias("__odd"))
+    return ruled.join(odd, "doc_id", "left").withColumn("reason", F.coalesce("__odd", "reason")).drop("__odd")
+
+
 def curate_steps(docs: DataFrame, items: DataFrame, c: Curation):
     """(stage, function from documents to (documents with `reason`)) in order."""
-    yield "normalize", lambda d: d.withColumn("text", curate.normalized(F.col("text"))).withColumn("reason", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty_after_normalize").otherwise("kept"))
-    yield "language", lambda d: d.withColumn("reason", F.when(F.col("lang").isNull() | F.col("lang").isin(*c.languages), "kept").otherwise(F.concat(F.lit("lang_"), "lang")))
-    yield "quality", lambda d: d.join(curate.quality_reason(d, "doc_id", c=c), "doc_id")
+    yield "normalize", lambda d: d.withColumn("text", curate.reread("text")).withColumn("text", curate.compatible("text")).withColumn("text", curate.normalized(F.col("text"))).withColumn("reason", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty_after_normalize").otherwise("kept"))
+    yield "language", lambda d: language_step(d, c)
+    yield "quality", lambda d: quality_step(d, c)
     yield "dedup", lambda d: d.join(dedup.near(d, "doc_id", count=c.permutations, bands=c.bands, threshold=c.near_dup, size=c.shingle, seed=c.seed).select("doc_id", F.col("label").alias("reason")), "doc_id")
     bad = curate.abusive_share(F.col("text")) > c.max_toxic_share
     yield "mask", lambda d: d.withColumn("reason", F.when(bad, "toxic").when(curate.masked(F.col("text")) != F.col("text"), "kept_scrubbed").otherwise("kept")).withColumn("text", curate.masked(F.col("text")))

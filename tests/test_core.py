@@ -246,3 +246,21 @@ def test_keep_rule_by_rounds_like_by_walk(spark):
             dropped[b] = min(near)
     for walked in (0, 100_000):
         assert sorted(map(tuple, dedup.keep_first(edges, walked).collect())) == sorted(dropped.items())
+
+
+def test_funnel_repairs_tells_languages_and_rates_perplexity(spark):
+    en, ru = "The report was sent to all of the members in the town. ", "Отчёт был отправлен всем жителям этого города вчера. "
+    rows = [("a", "s", en, "en"), ("b", "s", ru * 3, "ru"), ("c", "s", en * 3, "en"), ("d", "s", ru * 3, "ru"), ("e", "s", ru, None), ("f", "s", en, "ru"), ("g", "s", "The cafÃ© of ﬁve members", "en")]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string, lang string")
+    steps = dict(funnel.curate_steps(docs, docs.limit(0), config.Curation()))
+    assert {r.doc_id: r.text for r in steps["normalize"](docs).collect()}["g"] == "The café of five members"
+    told = {r.doc_id: r.reason for r in steps["language"](docs).collect()}
+    assert told["e"] == "lang_ru" and told["f"] == told["a"] == "kept"
+    assert {r.reason for r in steps["language"](docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"kept"}
+    good = "The committee has seen that the report is good and it was sent to all of the members in the town. "
+    other = " ".join(f"the {''.join(chr(97 + (i * k + k) % 26) for k in range(1, 8))} of" for i in range(40))
+    texts = spark.createDataFrame([(f"k{i}", "s", good + good.replace("report", "paper of the year") + "Another thing was said by them about this one.", "en") for i in range(20)] + [("odd", "s", other, "en")], docs.schema)
+    for most, reason in ((2.0, "perplexity"), (1e9, "kept")):
+        step = dict(funnel.curate_steps(texts, texts.limit(0), config.Curation(max_perplexity=most, max_ngram_ratio=1.0)))["quality"]
+        out = {r.doc_id: r.reason for r in step(texts).collect()}
+        assert out["odd"] == reason and out["k1"] == "kept"
