@@ -263,19 +263,23 @@ def verdicts(docs: DataFrame, common_words: DataFrame, key: str = "id", text: st
     return docs.withColumn("__v", scan(F.col(text))).select(*rest, "__v.*")
 
 
-def statistics(docs: DataFrame, common_words: DataFrame, code, text: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, common_words: DataFrame, code=None, text: str = "text") -> DataFrame:
     """Counts by built-in expressions: words, mean word length, symbol ratio, share of lines ending in punctuation and
-    share of common words of the language `code` (all languages where it is null). Words are runs of letters."""
-    common = common_words.where("lang IS NOT NULL").groupBy(F.col("lang").alias("__of")).agg(F.collect_set("word").alias("__common"))
+    share of common words of the text's own language: the one with the most of them, or `code` where that is given and
+    has a list. Words are runs of letters."""
+    # one row with one list for each language
+    lists = common_words.where("lang IS NOT NULL").groupBy("lang").agg(F.collect_set("word").alias("words"))
+    common = lists.agg(F.collect_list(F.struct("lang", "words")).alias("__common"))
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), 0)
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     rest = [c for c in docs.columns if c not in (text, "words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words")]
-    made = docs.withColumn("__lang", code).withColumn("__w", words).withColumn("__l", lines).withColumn("__n", F.length(t)).withColumn("__letters", F.length(F.regexp_replace(t, r"\P{L}", ""))).withColumn("__symbols", F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s.,;:!?'\"()\-]", "")))
+    made = docs.withColumn("__lang", F.lit(None).cast("string") if code is None else code).withColumn("__w", words).withColumn("__l", lines).withColumn("__n", F.length(t)).withColumn("__letters", F.length(F.regexp_replace(t, r"\P{L}", ""))).withColumn("__symbols", F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s.,;:!?'\"()\-]", "")))
     ends = F.size(F.filter("__l", lambda x: F.rtrim(x).rlike(r"[.!?:;,]$")))
-    # as many rows as languages
-    joined = made.join(F.broadcast(common), made["__lang"] == common["__of"], "left")
-    hits = F.size(F.filter("__w", lambda w: F.array_contains("__common", w)))
+    joined = made.crossJoin(F.broadcast(common))
+    given = F.filter("__common", lambda c: c["lang"] == F.col("__lang"))
+    counts = F.transform(F.when(F.size(given) > 0, given).otherwise(F.col("__common")), lambda c: F.size(F.filter("__w", lambda w: F.array_contains(c["words"], w))))
+    hits = F.coalesce(F.array_max(counts), F.lit(0))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
     return joined.select(
         *rest,
@@ -283,5 +287,5 @@ def statistics(docs: DataFrame, common_words: DataFrame, code, text: str = "text
         share(F.col("__letters"), F.size("__w")).alias("mean_word_length"),
         share(F.col("__symbols"), F.col("__n")).alias("symbol_ratio"),
         share(ends, F.size("__l")).alias("ended_lines"),
-        share(F.when(F.col("__common").isNull(), 0).otherwise(hits), F.size("__w")).alias("common_words"),
+        share(hits, F.size("__w")).alias("common_words"),
     )

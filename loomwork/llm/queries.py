@@ -28,8 +28,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "docs").select("id", "text", F.col("meta.lang").alias("label"))
-    return prose.statistics(docs, table(spark, sf_dir, "common_words"), language.code_of(F.col("label"))).drop("label")
+    return prose.statistics(table(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "common_words"))
 
 
 def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,14 @@ TOXIC = ["You are a worthless idiot, shut up.", "What a br41nl3ss m0r0n you are.
 CLEAN = ["The operator had to kill the stuck process.", "Naked DNA was used in the study.", "The forum rules list words such as idiot and moron that lead to a warning.", "Zinc die casting needs a clean die.", "Les retards de livraison sont rares."]
 
 
+def test_common_words_need_no_label(spark):
+    lists = spark.createDataFrame([("en", "the"), ("en", "of"), ("de", "der"), ("de", "und")], "lang string, word string")
+    docs = spark.createDataFrame([("a", "the end of it"), ("b", "der Anfang und das Ende"), ("c", None)], "id string, text string")
+    shares = {r.id: r.common_words for r in prose.statistics(docs, lists).collect()}
+    assert shares == {"a": 0.5, "b": 0.4, "c": 0.0}
+    assert {r.common_words for r in prose.statistics(docs, lists.limit(0)).collect()} == {0.0}
+
+
 def test_toxic(spark):
     filler = ["The committee compared the plan with the older report and the second copy of it."] * 400
     # other uses of a word lower its score, so the corpus has them
