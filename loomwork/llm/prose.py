@@ -1,22 +1,27 @@
 """Text quality statistics of each document and its structural kind: prose, list, table or junk (problem 2).
 
-Method. Basic counts are built-in expressions. For the verdict a text gives three distributions: how its characters lie
-in sentences, rows, items and loose stretches; its character classes; and its function words (the common words of its
-language, or rest). Each is compared by Jensen-Shannon divergence with structural profiles. The function-word and
-character-class profiles of prose are those of each language, summed over the corpus; the language is the one whose
-function words come nearest. The kind is that of the nearest profile.
-
-A sentence is a stretch of at least three and at most MOST_WORDS words that ends in sentence punctuation, whatever the
-line breaks inside of it; sentences that mostly repeat each other count as loose. A row has fields cut by the same
-separator as its neighbours; an item is short, marked or one of several that are cut by commas.
-
-Defined cases: null, empty and blank texts have zero counts and no kind; a text too short to tell is prose if it is words
-and junk otherwise; a null label takes the nearest language; repeated rows have the same verdict; columns of `docs` with the names of results are replaced; an empty
-table gives no rows, and without any prose profile every kind is told by shape and character classes.
+Method. A text gives four distributions: its function words (the common words of its nearest language, or rest), its
+character classes, the units that runs of these classes make (words, numbers, ended sentences, commas, field separators,
+line breaks, item marks, ...), and how much of it is new (its bytes after compression, against the rest). Each is
+compared by Jensen-Shannon divergence with structural profiles; the kind is that of the profile with the least sum.
+
+Profiles are learnt from the corpus. Basic counts (SEEDS) name the plain cases of each profile; the means of their
+distributions are the first profiles, and ROUNDS times every text goes to its nearest profile and the profiles become
+the means of what came to them. Prose has a profile for each language. PRIOR typical texts a profile stand in for a
+corpus that has few or none of its kind.
+
+Scale. One pass over the texts writes a vector of counts for each document (about 0.3 KB) to the checkpoint folder; all
+else works on vectors in numpy. Sums are of whole numbers, so they do not depend on partitions; a partition sends a sum
+for each profile and dimension only.
+
+Defined cases: null, empty and blank texts have zero counts and no kind; short texts have less weight on their function
+words, and so have texts in other alphabets none; a null label takes the nearest language; repeated rows have the same
+verdict; columns of `docs` with the names of results are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 from collections import Counter
@@ -24,51 +29,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_WORDS = 90
-KINDS = ("prose", "list", "table", "junk")
+from ..session import checkpointed
+
+ROUNDS = 3
+#: Typical texts that each profile starts with.
+PRIOR = 10
+#: Pseudo-words against which a text's words count for the weight of its function words.
+FEW_WORDS = 40
+#: Bytes that are compressed at a time, so that the share of new text does not fall with its length.
+PIECE = 1500
+#: Millionths, for sums of whole numbers.
+UNIT = 1_000_000
+
 _ROW_TAG = re.compile(r"</?(?:tr|p|br|li|ul|ol|div|table|h\d)\b[^<>]*>", re.I)
 _CELL_TAG = re.compile(r"</t[dh]>\s*<t[dh][^<>]*>", re.I)
 _TAG = re.compile(r"<[/a-zA-Z!][^<>]{0,200}>")
-_WORD = re.compile(r"[^\W\d_]+")
-_STOP = re.compile(r"(?<!\s[A-Z])(?<!^[A-Z])[.!?][\"'”’»)]*(?=\s|$)")
-_MARK = re.compile(r"\s*(?:[-*•–·▪►+]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\(?[A-Z]\))\s+")
-_BEYOND = re.compile("[^" + re.escape("".join(bytes([i]).decode("cp1252", "ignore") for i in range(256))) + "]")
-_GAP = re.compile(r"\s{3,}")
-CLASSES = ("letter", "digit", "space", "mark", "symbol", "other")
-
-#: Characters in sentences, rows, items and loose stretches.
-SHAPES = {"prose": (0.91, 0.02, 0.05, 0.02), "list": (0.04, 0.04, 0.88, 0.04), "table": (0.04, 0.88, 0.04, 0.04), "junk": (0.04, 0.04, 0.04, 0.88)}
-#: Character classes of what is no prose; each kind may have several.
-CHARACTERS = {
-    "list": [(0.78, 0.02, 0.16, 0.03, 0.01, 0.0)],
-    "table": [(0.45, 0.25, 0.15, 0.08, 0.07, 0.0), (0.40, 0.20, 0.35, 0.03, 0.02, 0.0)],
-    "junk": [(0.02, 0.80, 0.17, 0.005, 0.005, 0.0), (0.05, 0.02, 0.2, 0.23, 0.5, 0.0), (0.45, 0.17, 0.06, 0.16, 0.16, 0.0), (0.87, 0.01, 0.12, 0.0, 0.0, 0.0), (0.55, 0.43, 0.02, 0.0, 0.0, 0.0), (0.1, 0.0, 0.25, 0.15, 0.1, 0.4)],
-}
-WEIGHTS = (1.0, 0.35, 0.15)
 
+#: Character classes: vowel, other small letter, capital, digit, space, line break, field separator, stop, comma, mark,
+#: bracket or code sign, symbol, other.
+CLASSES = "vcUd nfskmbyo"
+UNITS = ("words", "numbers", "ended", "commas", "separators", "breaks after a stop", "breaks", "item marks", "marks", "code signs", "symbols")
+_VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"
+_OTHER_VOWEL, _OTHER_LETTER, _OTHER = b"\x81", b"\x8d", b"\x8f"  # bytes that the Windows alphabet leaves free
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of a distribution and each row of others."""
-    m = (p + q) / 2 + 1e-300
-    return ((p * np.log2(p / m + 1e-300)).sum(axis=-1) + (q * np.log2(q / m + 1e-300)).sum(axis=-1)) / 2
+
+def _class_of(byte: int) -> str:
+    raw = bytes([byte])
+    if raw in (_OTHER_VOWEL, _OTHER_LETTER, _OTHER):
+        return {_OTHER_VOWEL: "v", _OTHER_LETTER: "c", _OTHER: "o"}[raw]
+    c = raw.decode("cp1252", "replace")
+    if c.isalpha():
+        return "v" if c in _VOWELS else "U" if c.isupper() else "c"
+    groups = (("n", "\n\r"), ("f", "|\t;"), ("s", ".!?…"), ("k", ","), ("b", "{}=<>[]/\\_#"), ("m", ":'\"()-–—“”‘’„«»¿¡"))
+    return "d" if c.isdigit() else next((k for k, members in groups if c in members), " " if c.isspace() else "y")
+
+
+_CLASS = bytes(ord(_class_of(i)) for i in range(256))
+_LETTERS = bytes(i if chr(i) in "vcU" else 32 for i in range(256))
+_DIGITS = bytes(i if chr(i) == "d" else 32 for i in range(256))
+_ORDS = np.frombuffer(CLASSES.encode(), np.uint8)
+_GAP = re.compile(rb" {3,}")
+#: A mark at the start of a line: a sign, a number or a letter with a stop or bracket, an empty box.
+_ITEM = re.compile(rb"(?:\A|n) *(?:[myo] |d{1,3}[sm] |[cvU]m |m[cvd]{1,2}m |b ?b )")
 
 
-#: The class of each byte of the Windows alphabet, which has the typographic marks.
-_CLASS = bytes(48 + (0 if (c := bytes([i]).decode("cp1252", "replace")).isalpha() else 1 if c.isdigit() else 2 if c.isspace() else 3 if c in ".,;:!?'\"()-–—“”‘’„«»…¿¡•" else 4) for i in range(256))
+def _beyond(error: UnicodeEncodeError) -> tuple[bytes, int]:
+    """Letters of other alphabets are letters, two of five of them vowels."""
+    part = error.object[error.start : error.end]
+    return b"".join((_OTHER_VOWEL if ord(c) * 7 % 5 < 2 else _OTHER_LETTER) if c.isalpha() else _OTHER for c in part), error.end
 
 
-def char_classes(text: str) -> np.ndarray:
-    """Shares of CLASSES; letters of other alphabets are letters, the rest beyond the Windows alphabet is other."""
-    raw = text.encode("cp1252", "replace").translate(_CLASS)
-    counts = [float(raw.count(b"%d" % k)) for k in range(5)] + [0.0]
-    if not text.isascii():
-        for c in _BEYOND.findall(text):
-            counts[3] -= 1  # it was replaced by a question mark
-            counts[0 if c.isalpha() else 5] += 1
-    return np.array(counts) / max(1.0, sum(counts))
+codecs.register_error("loomwork-classes", _beyond)
+
+
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of the rows of p and q (or of each row and one distribution)."""
+    m = (p + q) / 2
+    h = lambda x: (x * np.log2(np.maximum(x, 1e-30))).sum(axis=-1)
+    return np.maximum(0.0, (h(p) + h(q)) / 2 - h(m))
 
 
 def visible(text: str) -> str:
@@ -78,189 +100,255 @@ def visible(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def _separator(line: str) -> tuple[str, int]:
-    """The separator that cuts a line into fields, and how often it stands there; "" if none does."""
-    for sep in ("|", "\t", ";"):
-        if (n := line.count(sep)) >= 2:
-            return sep, n
-    if (n := len(_GAP.findall(line.strip()))) >= 1:
-        return " ", n
-    if (n := line.count(",")) >= 2 and ", " not in line:
-        return ",", n
-    return "", 0
-
-
-def _code(s: str) -> int:
-    return s.count("{") + s.count("}") + s.count("=")
+def counts_of(text: str) -> list[int]:
+    """Counts of CLASSES, of UNITS, letters beyond the Windows alphabet, and the share of new bytes in UNITs."""
+    text = visible(text)
+    raw = text.encode("cp1252", "loomwork-classes")
+    c = raw.translate(_CLASS)
+    other = 0 if text.isascii() else raw.count(_OTHER_VOWEL) + raw.count(_OTHER_LETTER)
+    if b"   " in c:
+        c = _GAP.sub(b"f", c)
+    items = 0
+    if b"n" in c:
+        c, items = _ITEM.subn(b"n", c)
+    by = np.bincount(np.frombuffer(c, np.uint8), minlength=128)[_ORDS].tolist()
+    n = dict(zip(CLASSES, by))
+    after, commas = c.count(b"sn") + c.count(b"nn"), c.count(b"k ") + c.count(b"kn")
+    units = [
+        len(c.translate(_LETTERS).split()),
+        len(c.translate(_DIGITS).split()) if n["d"] else 0,
+        c.count(b"s ") + c.count(b"sn") + c.endswith(b"s"),
+        commas,
+        n["f"] + n["k"] - commas,
+        after,
+        max(0, n["n"] - after),
+        items,
+        n["m"],
+        n["b"],
+        n["y"] + n["o"],
+    ]
+    plain = text.encode("utf-8", "replace")
+    packer = zstandard.ZstdCompressor(level=1)
+    # 9 bytes are the frame's own
+    size = sum(len(packer.compress(plain[i : i + PIECE])) - 9 for i in range(0, len(plain), PIECE))
+    return [*by, *units, other, min(UNIT, size * UNIT // max(1, len(plain)))]
+
+
+N_CLASS, N_UNIT = len(CLASSES), len(UNITS)
+N_COUNTS = N_CLASS + N_UNIT + 2
+
+
+class Words:
+    """Function words by language."""
+
+    def __init__(self, common: dict[str, set[str]]):
+        self.langs = sorted(common)
+        self.index = [{w: k for k, w in enumerate(sorted(common[x]))} for x in self.langs]
+        self.size = max(map(len, self.index), default=0) + 1
+        self.of: dict[str, list[int]] = {}
+        for i, words in enumerate(self.index):
+            for w in words:
+                self.of.setdefault(w, []).append(i)
+
+    def counts(self, text: str) -> list[int]:
+        """The nearest language (-1 for none), counts of its words, and of other words at the end."""
+        words = text.lower().split()
+        used = Counter(filter(self.of.__contains__, words))
+        out = [0] * (self.size + 1)
+        shares = [0] * len(self.langs)
+        for w, n in used.items():
+            for i in self.of[w]:
+                shares[i] += n
+        # ties go to the first language by name
+        best = max(range(len(shares)), key=shares.__getitem__) if used else -1
+        hits = 0
+        if used:
+            for w, n in used.items():
+                if (k := self.index[best].get(w)) is not None:
+                    out[1 + k] = n
+                    hits += n
+        out[0], out[-1] = best, len(words) - hits
+        return out
+
+
+class Table:
+    """The vectors of a batch of documents as distributions."""
+
+    def __init__(self, vectors: list[bytes], size: int):
+        rows = np.frombuffer(b"".join(vectors), np.int32).reshape(len(vectors), N_COUNTS + size + 1).astype(float)
+        share = lambda x: x / np.maximum(x.sum(axis=1, keepdims=True), 1)
+        self.classes, self.units = rows[:, :N_CLASS], rows[:, N_CLASS : N_CLASS + N_UNIT]
+        self.lang, self.counted = rows[:, N_COUNTS].astype(int), rows[:, N_COUNTS + 1 :]
+        new = rows[:, N_COUNTS - 1] / UNIT
+        self.new = np.stack([new, 1 - new], axis=1)
+        self.words, self.chars, self.parts = share(self.counted), share(self.classes), share(self.units)
+        letters = np.maximum(self.classes[:, :3].sum(axis=1), 1)
+        total = self.counted.sum(axis=1)
+        self.weight = np.where(rows[:, N_COUNTS - 2] * 2 > letters, 0.0, total / (total + FEW_WORDS))
+
+    def seeds(self) -> np.ndarray:
+        """The profile of each plain case by basic counts; "" for the others."""
+        by = {k: self.classes[:, i] / np.maximum(self.classes.sum(axis=1), 1) for i, k in enumerate(CLASSES)}
+        u = dict(zip(UNITS, self.units.T))
+        words, lines, ended = u["words"], u["breaks"] + 1, u["ended"]
+        length = self.classes[:, :3].sum(axis=1) / np.maximum(words, 1)
+        function = 1 - self.words[:, -1]
+        vowels = self.classes[:, 0] / np.maximum(self.classes[:, :3].sum(axis=1), 1)
+        rules = (
+            ("junk: repeated", (self.new[:, 0] < 0.15) & (words > 20) & (u["separators"] < 0.1 * words)),
+            ("table", (u["separators"] >= 1.4 * lines) & (lines >= 2) & (words < 8 * lines) & (words > 0.5 * lines) & (length < 15)),
+            ("junk: digits", by["d"] > 0.6),
+            ("junk: symbols", by["b"] + by["y"] > 0.4),
+            ("junk: signs", by["o"] > 0.15),
+            ("junk: code", (by["b"] > 0.05) & (by[" "] < 0.08)),
+            ("junk: blob", (by[" "] < 0.05) & ((by["d"] > 0.3) | ((length > 9) & (by["U"] > 0.2)))),
+            ("junk: random", (function < 0.02) & (vowels < 0.33) & (words > 10) & (lines < 3)),
+            ("list: marked", (lines >= 3) & (u["item marks"] >= 0.5 * lines) & (words < 10 * lines)),
+            ("list: lines", (lines >= 3) & (words < 8 * lines) & (ended < 0.3 * lines) & (length < 12)),
+            ("list: commas", (u["commas"] > 0.2 * words) & (ended <= 2) & (lines < 3)),
+            ("prose", (function > 0.2) & (words < 40 * ended) & (words >= 12) & (ended > 0.2 * lines)),
+        )
+        return np.select([m for _, m in rules], [k for k, _ in rules], "").astype(object)
+
+
+#: Where a profile starts: shares of CLASSES and UNITS in percent, of function words and of new bytes.
+START = {
+    "prose": ((31, 46, 2, 1, 15, 1, 0, 1, 1, 2, 0, 0, 0), (84, 2, 4, 4, 0, 1, 1, 0, 4, 0, 0), 0.35, 0.5),
+    "list: marked": ((30, 45, 3, 3, 12, 5, 0, 0, 0, 2, 0, 0, 0), (66, 5, 0, 0, 0, 1, 12, 12, 4, 0, 0), 0.1, 0.4),
+    "list: lines": ((31, 47, 3, 2, 11, 4, 0, 0, 0, 2, 0, 0, 0), (75, 4, 0, 0, 0, 1, 14, 0, 6, 0, 0), 0.1, 0.4),
+    "list: commas": ((31, 46, 3, 2, 13, 0, 0, 0, 4, 1, 0, 0, 0), (71, 4, 1, 22, 0, 0, 0, 0, 2, 0, 0), 0.1, 0.5),
+    "table": ((16, 24, 4, 26, 6, 3, 10, 3, 3, 4, 0, 1, 0), (28, 28, 0, 0, 27, 1, 6, 0, 8, 0, 2), 0.05, 0.5),
+    "junk: digits": ((0, 0, 0, 80, 20, 0, 0, 0, 0, 0, 0, 0, 0), (0, 100, 0, 0, 0, 0, 0, 0, 0, 0, 0), 0.0, 0.6),
+    "junk: symbols": ((1, 1, 0, 0, 18, 0, 4, 4, 0, 6, 40, 26, 0), (1, 0, 3, 0, 6, 0, 0, 0, 8, 48, 34), 0.0, 0.7),
+    "junk: signs": ((5, 9, 0, 0, 18, 0, 0, 11, 0, 0, 0, 12, 45), (8, 0, 5, 0, 0, 0, 0, 0, 0, 0, 87), 0.0, 0.25),
+    "junk: code": ((18, 32, 0, 17, 2, 0, 8, 2, 0, 9, 12, 0, 0), (34, 16, 0, 0, 13, 0, 0, 0, 16, 20, 1), 0.0, 0.5),
+    "junk: blob": ((10, 35, 18, 35, 0, 2, 0, 0, 0, 0, 0, 0, 0), (48, 48, 0, 0, 0, 0, 3, 0, 0, 1, 0), 0.0, 0.75),
+    "junk: random": ((20, 67, 0, 0, 13, 0, 0, 0, 0, 0, 0, 0, 0), (100, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), 0.0, 0.75),
+    "junk: repeated": ((30, 50, 2, 0, 15, 1, 0, 1, 1, 0, 0, 0, 0), (86, 0, 4, 3, 0, 1, 6, 0, 0, 0, 0), 0.2, 0.05),
+}
 
 
-def shape(text: str) -> np.ndarray:
-    """Shares of characters in sentences, rows, items and loose stretches."""
-    text = visible(text)
-    out = np.zeros(4)
-    # rows are looked for first, so that a wrapped sentence cannot hold them
-    lines = [x for x in text.split("\n") if not x.isspace() and x]
-    found = [_separator(x) for x in lines]
-    uses = Counter(sep for sep, _ in found if sep)
-    rest: list[str] = []
-    for line, (sep, n) in zip(lines, found):
-        # rows come in groups; text between gaps must not be sentences
-        if sep and uses[sep] >= 2 and uses[sep] * 3 >= len(lines) and not (sep in ", ;" and len(_STOP.findall(line)) > 1) and _code(line) * 20 < len(line):
-            out[1] += len(line)
-        elif _MARK.match(line) and sum(map(str.isalpha, line)) * 5 > 2 * (len(line) - line.count(" ")):
-            out[2] += len(line)
-            rest.append("\n")
-        else:
-            rest.append(line)
-    body = "\n".join(rest)
-    sentences, last = [], 0
-    for m in _STOP.finditer(body):
-        sentences.append(body[last : m.end()])
-        last = m.end()
-    tail = body[last:]
-    dull = len(sentences) >= 5 and len({s.strip() for s in sentences}) * 3 < len(sentences)
-    for s in sentences:
-        words = _WORD.findall(s)
-        n, size = len(words), len(s)
-        if sum(map(len, words)) * 2 < size - s.count(" "):
-            out[3] += size
-            continue
-        if dull:
-            out[3] += size
-        elif 3 <= n <= MOST_WORDS and (_code(s) + s.count(";")) * 20 < size:
-            # short lines in front of the sentence's own line are items
-            parts = re.split(r"\n(?=\n)|\n{2,}", s)
-            out[0] += len(parts[-1])
-            _loose(parts[:-1], out)
-        else:
-            _loose([s], out)
-    _loose([tail], out)
-    return out / max(1.0, out.sum())
-
-
-def _loose(parts: list[str], out: np.ndarray) -> None:
-    lines = [x for p in parts for x in p.split("\n") if x.strip()]
-    same = Counter(x.strip().lower() for x in lines)
-    dull = len(lines) >= 5 and len(same) * 3 < len(lines)
-    for line in lines:
-        words = _WORD.findall(line)
-        letters = sum(map(len, words))
-        fields = line.split(", ")
-        if dull or letters * 2 < len(line.strip()) - line.count(" ") or max(map(len, line.split())) > 34 or (_code(line) + line.count(";")) * 20 > len(line):
-            out[3] += len(line)
-        elif (len(words) <= 12 and len(line) < 110) or (len(fields) >= 4 and max(len(f) for f in fields) < 60):
-            out[2] += len(line)
-        else:
-            out[3] += len(line)
-
-
-def profile_counts(docs: DataFrame, common: dict[str, set[str]], text: str = "text") -> DataFrame:
-    """(lang, item, n) over the corpus: common words of each text's nearest language, the rest and character classes."""
+class Profiles:
+    """Means of distributions by profile; those of prose by language."""
+
+    def __init__(self, sums: dict[tuple[str, int], np.ndarray], words: Words):
+        self.names: list[tuple[str, int]] = [("prose", i) for i in range(len(words.langs))] + [(k, -1) for k in START if k != "prose"]
+        if not words.langs:
+            self.names.append(("prose", -1))
+        width = N_CLASS + N_UNIT + 2
+        prose = np.zeros((len(words.langs) + 1, words.size))
+        prose[-1, -1] = 1.0
+        self.mean, self.function = {}, {}
+        for name, lang in self.names:
+            classes, units, function, new = START[name]
+            start = np.array([*np.array(classes) / sum(classes), *np.array(units) / sum(units), new, function]) * PRIOR
+            total = sums.get((name, lang))
+            got = start if total is None else start + total[1 : 1 + width] / UNIT
+            self.mean[name, lang] = got[:-1] / (PRIOR + (0 if total is None else total[0]))
+            self.function[name, lang] = got[-1] / (PRIOR + (0 if total is None else total[0]))
+            if name == "prose" and lang >= 0:
+                # function words of a language: the corpus's counts behind a flat start of PRIOR words
+                known = len(words.index[lang])
+                flat = np.zeros(words.size)
+                flat[:known], flat[-1] = function / max(1, known), 1 - function
+                counted = flat * PRIOR + (0 if total is None else total[1 + width :])
+                prose[lang] = counted / counted.sum()
+        self.prose = prose
+
+    def of(self, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the nearest profile, its divergence, divergence from the language's prose in function words)."""
+        base = self.prose[t.lang]
+        n = len(t.lang)
+        apart = divergence(t.words, base)
+        sums = np.empty((n, len(self.names)))
+        for k, (name, lang) in enumerate(self.names):
+            mean = self.mean[name, lang]
+            chars, parts, new = mean[:N_CLASS], mean[N_CLASS : N_CLASS + N_UNIT], np.array([mean[-1], 1 - mean[-1]])
+            if name == "prose":
+                words = np.where((t.lang == lang) | ((t.lang < 0) & (lang <= 0)), apart, 1e6)
+                words = np.where(words < 1e6, words * t.weight, words)
+            else:
+                # the language's words in the share that the profile has of them
+                share = self.function[name, lang]
+                scaled = base.copy()
+                inside = np.maximum(scaled[:, :-1].sum(axis=1, keepdims=True), 1e-9)
+                scaled[:, :-1] *= share / inside
+                scaled[:, -1] = np.where(inside[:, 0] > 1e-6, 1 - share, 1.0)
+                words = divergence(t.words, scaled) * t.weight
+            sums[:, k] = words + divergence(t.chars, chars) + divergence(t.parts, parts) + divergence(t.new, new)
+        best = sums.argmin(axis=1)
+        return best, sums[np.arange(n), best], apart
+
+
+def _summed(vectors: DataFrame, words: Words, profiles: Profiles | None) -> dict[tuple[str, int], np.ndarray]:
+    """Sums by profile over the corpus: documents, then classes, units, new bytes and function share in UNITs, then words."""
+    shared = vectors.sparkSession.sparkContext.broadcast((words, profiles))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        langs: dict[str, list[str]] = {}
-        for lang, ws in common.items():
-            for w in ws:
-                langs.setdefault(w, []).append(lang)
+        words, profiles = shared.value
+        total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for t in batch["t"]:
-                words = _WORD.findall(t.lower())
-                used = Counter(filter(langs.__contains__, words))
-                if used.total() * 6 < len(words) or len(words) < 20:
-                    continue
-                shares: Counter = Counter()
-                for w, n in used.items():
-                    for lang in langs[w]:
-                        shares[lang] += n
-                lang = max(sorted(shares), key=lambda x: shares[x])
-                rest = len(words)
-                for w, n in used.items():
-                    if lang in langs[w]:
-                        total[lang, w] += n
-                        rest -= n
-                total[lang, ""] += rest
-                for k, share in zip(CLASSES, char_classes(t).tolist()):
-                    total[lang, "#" + k] += round(share * len(t))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["lang", "item", "n"])
-
-    rows = docs.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInPandas(scan, "lang string, item string, n long")
-    return rows.groupBy("lang", "item").agg(F.sum("n").alias("n"))
-
-
-class Profiles:
-    def __init__(self, rows: list, common: dict[str, set[str]]):
-        by: dict[str, dict[str, int]] = {}
-        for lang, item, n in rows:
-            by.setdefault(lang, {})[item] = n
-        self.common, self.words, self.prose, self.chars = common, {}, {}, {}
-        for lang, items in by.items():
-            names = [w for w in sorted(items) if not w.startswith("#")]
-            p = np.array([items[w] for w in names], float)
-            c = np.array([items.get("#" + k, 0) for k in CLASSES], float)
-            self.words[lang] = {w: i for i, w in enumerate(names)}
-            self.prose[lang] = p / p.sum()
-            self.chars[lang] = c / max(1.0, c.sum())
-        self.langs: dict[str, list[str]] = {}
-        for lang, words in common.items():
-            if lang in self.prose:
-                for w in words:
-                    self.langs.setdefault(w, []).append(lang)
-        self.kinds = [k for k, vs in CHARACTERS.items() for _ in vs]
-        self.classes = np.array([np.array(v) / sum(v) for vs in CHARACTERS.values() for v in vs])
-        self.shapes = np.array([SHAPES[k] for k in KINDS])
-
-    def of(self, text: str) -> tuple[str | None, str | None, float, float]:
-        """(kind, language, divergence from the language's prose in function words, divergence from the kind)."""
-        if not text or text.isspace():
-            return None, None, 0.0, 0.0
-        words = _WORD.findall(text.lower())
-        used = Counter(filter(self.langs.__contains__, words))
-        shares: Counter = Counter()
-        for w, n in used.items():
-            for lang in self.langs[w]:
-                shares[lang] += n
-        lang = max(sorted(shares), key=lambda x: shares[x]) if shares else None
-        apart, chars = 1.0, char_classes(text)
-        by_class = divergence(chars, self.classes).tolist()
-        best = {k: min(d for d, kind in zip(by_class, self.kinds) if kind == k) for k in CHARACTERS}
-        if lang:
-            index = self.words[lang]
-            f = np.zeros(len(index))
-            hits = 0
-            for w, n in used.items():
-                if w in index:
-                    f[index[w]] += n
-                    hits += n
-            f[index[""]] += len(words) - hits
-            apart = float(divergence(f / len(words), self.prose[lang]))
-            best["prose"] = float(divergence(chars, self.chars[lang]))
-        else:
-            best["prose"] = best["list"]
-        by_shape = divergence(shape(text), self.shapes).tolist()
-        totals = {k: WEIGHTS[0] * by_shape[i] + WEIGHTS[1] * best[k] + WEIGHTS[2] * (apart if k == "prose" else 1 - apart) for i, k in enumerate(KINDS)}
-        kind = min(KINDS, key=lambda k: totals[k])
-        return kind, lang, apart, totals[kind]
-
-
-def verdicts(docs: DataFrame, common_words: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+            if not len(batch):
+                continue
+            t = Table(list(batch["v"]), words.size)
+            names = t.seeds() if profiles is None else np.array([profiles.names[k][0] for k in profiles.of(t)[0]], object)
+            each = np.rint(np.concatenate([t.chars, t.parts, t.new[:, :1], 1 - t.words[:, -1:]], axis=1) * UNIT)
+            each = np.concatenate([np.ones((len(names), 1)), each, t.counted], axis=1).astype(np.int64)
+            langs = np.where(names == "prose", t.lang, -1)
+            for name, lang in set(zip(names.tolist(), langs.tolist())):
+                if name:
+                    mine = each[(names == name) & (langs == lang)].sum(axis=0)
+                    total[name, lang] = total.get((name, lang), 0) + mine
+        rows = [(name, lang, i, int(x)) for (name, lang), sums in total.items() for i, x in enumerate(sums) if x]
+        yield pd.DataFrame(rows, columns=["name", "lang", "item", "n"])
+
+    rows = vectors.mapInPandas(scan, "name string, lang int, item int, n long").groupBy("name", "lang", "item").agg(F.sum("n").alias("n"))
+    width = 1 + N_CLASS + N_UNIT + 2 + words.size
+    out: dict[tuple[str, int], np.ndarray] = {}
+    # a number for each profile and dimension
+    for r in rows.collect():
+        out.setdefault((r.name, r.lang), np.zeros(width))[r.item] = r.n
+    return out
+
+
+def verdicts(docs: DataFrame, common_words: DataFrame, key: str = "id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """`docs` without its text, with kind, lang, prose_divergence and kind_divergence."""
     common: dict[str, set[str]] = {}
     # a list of the commonest words of each language: a table of settings
     for r in common_words.select("lang", "word").distinct().collect():
         if r.lang and r.word:
             common.setdefault(r.lang, set()).add(r.word.lower())
-    rows = [tuple(r) for r in profile_counts(docs, common, text).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(Profiles(rows, common))
+    words = Words(common)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("struct<kind:string,lang:string,prose_divergence:double,kind_divergence:double>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        profiles = shared.value
+    @F.pandas_udf("binary")
+    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = shared.value
         for texts in batches:
-            yield pd.DataFrame([profiles.of(t) for t in texts], columns=["kind", "lang", "prose_divergence", "kind_divergence"])
+            yield pd.Series([None if not t or t.isspace() else np.array(counts_of(t) + words.counts(t), np.int32).tobytes() for t in texts], dtype=object)
 
     rest = [c for c in docs.columns if c not in (text, "kind", "lang", "prose_divergence", "kind_divergence")]
-    return docs.withColumn("__v", scan(F.col(text))).select(*rest, "__v.*")
+    vectors = checkpointed(docs.select(*rest, vector(F.col(text)).alias("__v")))
+    told = vectors.where(F.col("__v").isNotNull()).select(F.col("__v").alias("v"))
+    profiles = Profiles(_summed(told, words, None), words)
+    for _ in range(rounds):
+        profiles = Profiles(_summed(told, words, profiles), words)
+    learnt = docs.sparkSession.sparkContext.broadcast((words, profiles))
+
+    @F.pandas_udf("struct<kind:string,lang:string,prose_divergence:double,kind_divergence:double>")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words, profiles = learnt.value
+        kinds = [name.split(":")[0] for name, _ in profiles.names]
+        for vs in batches:
+            out: list[tuple] = [(None, None, 0.0, 0.0)] * len(vs)
+            at = np.flatnonzero(vs.notna())
+            if len(at):
+                t = Table([vs.iloc[i] for i in at], words.size)
+                for i, k, d, apart, lang in zip(at, *profiles.of(t), t.lang):
+                    out[i] = (kinds[k], words.langs[lang] if lang >= 0 else None, float(apart), float(d))
+            yield pd.DataFrame(out, columns=["kind", "lang", "prose_divergence", "kind_divergence"])
+
+    return vectors.withColumn("__j", judge(F.col("__v"))).select(*rest, "__j.*")
 
 
 def statistics(docs: DataFrame, common_words: DataFrame, code=None, text: str = "text") -> DataFrame:

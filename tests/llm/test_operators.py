@@ -91,12 +91,50 @@ def test_validators():
 # ---- structure
 
 
-def test_shapes():
-    assert prose.shape("A first sentence stands here. A second one\nis wrapped in the middle.")[0] > 0.9
-    assert prose.shape("\n".join(f"- item {w}" for w in ("one", "two", "three", "four")))[2] > 0.9
-    assert prose.shape("a;b;c\nd;1;2\ne;3;4")[1] > 0.9
-    assert prose.shape("qxwv " * 60)[3] > 0.9
-    assert prose.shape("Same line again and again.\n" * 9)[3] > 0.9
+PLAIN = {
+    "prose": "The committee compared the plan with the older report. It was found in the archive of the town, and the members asked for a copy of it. In the end they agreed to the terms.",
+    "list": "\n".join(f"- {w} valve x{i}" for i, w in enumerate(("old", "spare", "new", "second", "short", "long"))),
+    "table": "\n".join(f"valve {i};{i * 37};12.5;2019-04-0{i}" for i in range(1, 9)),
+    "junk": "qxwv kdfjg zzrt plmk wrtgh bncx qwrt ghjkl mnbv sdfgh rtyp lkjh zxcv bnmq wrtp",
+}
+MORE_JUNK = ["4711 8823 19 277310 5 88120 347 12 99 31415 2718 16180 33988", "Sign in to read more.\n" * 20, "#$ %{ <> ][ ~^ *& @! +_ =| \\/ <{ }> $# %^ &* @@ ~~ []", "if(a>3){b()};.c{margin:3px;color:#fff};function d(e){return e[3]};var f=461;;" * 4]
+
+
+def _kinds(spark, texts):
+    common = spark.createDataFrame([("en", w) for w in "the of and that is all a to in with it was for they".split()] + [("de", w) for w in "der die das und in von ist".split()], "lang string, word string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return [r.kind for r in prose.verdicts(docs, common).orderBy("id").collect()]
+
+
+def test_kinds(spark):
+    assert _kinds(spark, [*PLAIN.values(), *MORE_JUNK]) == [*PLAIN, *["junk"] * len(MORE_JUNK)]
+
+
+def test_profiles_are_learnt(spark):
+    # texts of one kind in a form that no profile starts with move it
+    odd = ["\n".join(f"{i}/{j}::{i * j}::a" for j in range(12)) for i in range(60)]
+    first = prose.Profiles({}, prose.Words({"en": {"the"}}))
+    words = prose.Words({"en": {"the"}})
+    vectors = [np.array(prose.counts_of(t) + words.counts(t), np.int32).tobytes() for t in odd]
+    best = first.of(prose.Table(vectors, words.size))
+    assert best[1].mean() > 0.1
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    docs = spark.createDataFrame(list(enumerate(odd)), "id long, text string")
+    learnt = prose.verdicts(docs, common).agg(F.avg("kind_divergence")).first()[0]
+    assert learnt < best[1].mean() / 3
+
+
+def test_verdicts_do_not_depend_on_partitions(spark):
+    common = spark.createDataFrame([("en", "the"), ("en", "of")], "lang string, word string")
+    docs = spark.createDataFrame(list(enumerate([*PLAIN.values(), *MORE_JUNK] * 8)), "id long, text string")
+    one, many = (prose.verdicts(docs.repartition(n), common).orderBy("id").collect() for n in (1, 16))
+    assert one == many
+
+
+def test_counts_of():
+    n = dict(zip([*prose.CLASSES, *prose.UNITS], prose.counts_of("<p>A big cat, 3 dogs.</p>")))
+    assert (n["words"], n["numbers"], n["commas"], n["d"], n["U"]) == (4, 1, 1, 1, 1)
+    assert dict(zip([*prose.CLASSES, *prose.UNITS], prose.counts_of("- a\n- b\n- c")))["item marks"] == 3
 
 
 def test_divergence():
