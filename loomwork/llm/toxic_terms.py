@@ -1,84 +1,28 @@
-"""Word stems and phrases of abusive, hateful and sexually explicit language, for classifying it.
+"""A short list of words to start from when abusive language is learnt from a corpus.
 
-A stem ends in * where endings of up to four letters may follow. Tiers are prior strengths of evidence: strong terms are
-hardly used otherwise, medium ones often are, weak ones say little by themselves.
+SEEDS are insults, obscenities and words that deny people their humanity; an ending in * may be up to three letters
+more. PAIRS are two words in a row. CUES are words of reports on such language and of rules about it: a sentence with one
+of them is no evidence.
 """
 
-STRONG = """
-idiot* moron* imbecil* retarded bitch* whore* slut* bastards fuck* motherfuck* shit* bullshit asshole* arsehole* dickhead* cunt* wanker* scum
-scumbag* vermin subhuman* braindead brainless spineless dumbass dipshit jerk* jackass twat* prick cretin* porn* blowjob* horny xxx milf* uncensored
-cumshot* handjob* masturbat* orgasm* erotic* raunchy nympho* faggot* tranny
-vollidiot* arschloch* arschlöcher scheiß* scheiss* wichser* hurensohn* hure huren schlampe* fotze* missgeburt* mistkerl* drecksau* abschaum ungeziefer
-fresse verpiss* penner* trottel* hirnlos* schwachkopf* dummkopf* depp deppen untermensch* ficken fick* pornos geile geil
-connard* connasse* salope* putain* pute putes merde* enculé* encule* foutre crétin* cretin* gueule* abruti* débile* vermine racaille bâtard* salaud* ordure* dégage
-imbécil* gilipollas cabrón* cabron* puta putas mierda* hijoputa pendejo* capullo* malnacid* muérete lárgate cállate escoria asqueros* zorra
-stronz* coglion* puttan* troia merda* cazzo vaffanculo bastardo bastardi feccia cretin* deficient* schifos* imbecill* crepa sparisci boccaccia
-idiota* imbecil* cabrão* cabrao* vadia* puta caralho foder fodas desgraçado* nojent* cretino* estúpid* lixo
-klootzak* hoer hoeren kutwijf kut* eikel* lul mongool* tering* kanker* uitschot ongedierte achterlijk* sukkel* smerige trut* neuken geile opgerot*
+SEEDS = """
+idiot* moron* imbecil* asshole* arsehole* bastards bitch* whore* slut* fuck* motherfuck* shit* cunt* dickhead* scum scumbag* vermin subhuman* porn* faggot*
+vollidiot* arschloch* arschlöcher wichser* hurensohn* schlampe* fotze* missgeburt* scheiß* scheiss* abschaum ungeziefer
+connard* salope* putain* pute enculé* merde* abruti* vermine* bâtard*
+imbécil* gilipollas cabrón* puta putas mierda* pendejo* escoria
+stronz* coglion* puttan* merda* cazzo vaffanculo feccia bastardi
+idiota* cabrão* vadia* caralho foder* escória
+klootzak* hoer hoeren kut* eikel* uitschot ongedierte mongool*
 """.split()
 
-MEDIUM = """
-stupid* dumb* bastard pathetic worthless useless filthy disgust* loser* clown pig pigs cow animals disease* plague parasite* filth garbage rubbish trash gutless
-thief* thieves liar* hateful despise* loathe* choke hell nude* naked stripp* thighs moaned moan* grinding robe kissed undress* lust* sexy sex cage singles
-coward* weasel* dirtbag* sewer* exterminat* lazy
-dumm* widerlich* erbärmlich* nutzlos* feige* dreck schwein* sau ratten pack nackt* models gejagt zähne sterben verdammt*
-inutile dégoûtant* répugnant* cochon* porc* rats chasser nues modèles crève pourri*
-idiota* asco repugnant* inútil* cerdo* rata* plaga echarlos desnud* modelos infierno boca
-idiota* inutil* maial* porc* ratti cacciati nude modelle inferno chiudi
-nojo repugnant* inútil* porco* rato* praga expulsos nuas boca inferno cala desaparece
-idioot* nutteloz* walgelijk* varken* ratten verjaagd naakt* modellen bek dicht lafaard*
-""".split()
-
-WEAK = """
-you your yours yourself shut kill die dead hate stupidity opinion nobody filthy face kick teeth arms adults adult free tonight pics clips cams
-du dich dir dein* ihr euch halt maul erwachsene
-toi tes ton ta vous adultes gratuites gratuits
-eres tu tú te adultos gratis
-sei tu ti tuo tua adulti gratis
-és tu você teu tua adultos grátis
-jij jou jullie volwassenen gratis
-""".split()
+PAIRS = [("kill", "yourself"), ("hang", "yourself"), ("drop", "dead"), ("geh", "sterben"), ("crève", "donc"), ("muérete", "ya")]
 
-#: Words of reports on such language and of rules against it.
 CUES = """
-words moderator moderators warning warnings removed member members forbid* forbidden banned ban lexicon
-complain* complaint complaints apolog* guideline* prohibit* screening mouse mice strain
-regeln wörter verboten verbot moderator* warnung entfernt* règles mots interdit* modérateur* supprimé* avertissement reglas palabras prohibid* moderador*
-eliminó advertencia regole parole vietat* moderatore rimosso avviso regras palavras proibid* removeu aviso regels woorden verboden verwijderd* waarschuwing
-""".split()
-
-#: (pattern over plain words with single spaces, prior strength): threats, wishes of harm, dehumanizing and expelling.
-PHRASES = [
-    (r"\b(?:i|we) (?:will|shall|am going to|ll|are going to) (?:\w+ ){0,2}(?:break|smash|cut|burn|hurt|kill|beat|find|crush|shoot|stab|get)\w* (?:\w+ ){0,3}(?:you|your|yours|yourself)\b", "strong"),
-    (r"\b(?:go|just|please) (?:and )?(?:die|kill yourself|choke|hang yourself|drown)\b", "strong"),
-    (r"\b(?:go to hell|drop dead|get lost|rot in hell|shut up|crawl back)\b", "medium"),
-    (r"\bshut your (?:\w+ )?(?:mouth|face|trap)\b", "strong"),
-    (r"\bnever been born\b", "strong"),
-    (r"\b(?:better (?:place|off|world)) (?:\w+ ){0,3}(?:without|if) (?:\w+ ){0,2}(?:you|them|these)\b", "strong"),
-    (r"\b(?:pity|shame|sad) (?:that )?(?:\w+ ){0,6}(?:alive|survived?|still here)\b", "strong"),
-    (r"\bbelongs? (?:in|behind|on) (?:a |the |an )?(?:cage|zoo|jail|bars|gutter|asylum|prison|chain|leash)\b", "strong"),
-    (r"\b(?:your|their|that) kind(?: of)?\b", "weak"),
-    (r"\b(?:every|each) one of them\b|\ball of them are\b", "medium"),
-    (r"\bborn (?:thief|thieves|liars?|criminals?|killers?)\b", "strong"),
-    (r"\bno right to (?:live|exist|be here|breathe)\b", "strong"),
-    (r"\bdeserves? (?:no mercy|to die|a (?:kick|beating|bullet|slap|punch)|to be (?:shot|beaten|hanged|wiped))\b", "strong"),
-    (r"\b(?:driven|wiped|thrown|chased|kicked) out\b", "medium"),
-    (r"\b(?:are|is) (?:a |an |all |nothing but )?(?:vermin|animals?|rats|disease|plague|parasites?|subhumans?|cockroaches|scum|filth)\b", "strong"),
-    (r"\bwaste of (?:oxygen|space|air|skin)\b", "strong"),
-    (r"\b(?:lock\w*|send|shipp?\w*|drive\w*) (?:\w+ ){0,2}(?:away|back where)\b", "weak"),
-    (r"\badults only\b|\bnur für erwachsene\b|\brien que pour adultes\b|\bsolo para adultos\b|\bsolo per adulti\b|\bsó para adultos\b|\balleen voor volwassenen\b", "medium"),
-    (r"\bschlage? ich (?:dir|dich|euch)\b|\bich (?:bring|mach)\w* (?:dich|euch) (?:um|fertig|kalt)\b|\bgeh sterben\b|\bhalt (?:\w+ ){0,2}(?:fresse|maul|schnauze|klappe)\b", "strong"),
-    (r"\bva te faire\b|\bferme ta (?:\w+ )?(?:gueule|bouche)\b|\bje vais te (?:tuer|casser|frapper|crever)\b|\bil faut les (?:chasser|éliminer|exterminer|virer)\b", "strong"),
-    (r"\bvete al infierno\b|\bcierra la boca\b|\bte voy a (?:matar|partir|romper)\b|\bhay que (?:echarlos|eliminarlos|exterminarlos)\b|\bno sirves para nada\b", "strong"),
-    (r"\bvai all inferno\b|\bchiudi (?:quella |la |il )?(?:bocca|boccaccia|becco)\b|\bti (?:ammazzo|spacco|rompo)\b|\bvanno (?:cacciati|eliminati|espulsi)\b", "strong"),
-    (r"\bvai (?:para o inferno|te foder|à merda)\b|\bcala (?:essa|a) boca\b|\bvou te (?:matar|partir|rebentar)\b|\b(?:deviam|devem) ser (?:expulsos|eliminados|exterminados)\b", "strong"),
-    (r"\bhou je (?:\w+ )?(?:bek|mond|smoel)\b|\bik (?:maak|sla|breek|vermoord) (?:je|jou)\b|\bmoeten (?:\w+ ){0,3}(?:verjaagd|uitgeroeid|weggejaagd)\b|\brot op\b|\brot in hell\b", "strong"),
-]
-
-#: Words of which a phrase holds at least one; only sentences with one of them are searched for phrases.
-TRIGGERS = """
-you your yours yourself die choke drown hell dead lost up back shut born better pity shame sad belong belongs kind them right deserve deserves out
-vermin animal animals rats disease plague parasite parasites subhuman subhumans cockroaches scum filth waste away where
-adults erwachsene adultes adultos adulti volwassenen schlag schlage dich euch sterben fresse maul schnauze klappe faire ferme vais faut
-infierno boca voy echarlos eliminarlos exterminarlos sirves inferno chiudi ammazzo spacco rompo vanno foder merda cala vou ser hou ik moeten op
+word words term terms rule rules list listed warning moderator moderators removed forbidden banned prohibited reported complaint lexicon
+wort wörter regel regeln verboten warnung entfernt moderatoren
+mot mots règle règles interdit interdits avertissement modérateur
+palabra palabras regla reglas prohibido prohibidas advertencia moderador
+parola parole regola regole vietato vietate avviso moderatore
+palavra palavras regra regras proibido proibidas aviso
+woord woorden regels waarschuwing verwijderd
 """.split()

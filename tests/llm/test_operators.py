@@ -164,6 +164,33 @@ def test_toxic(spark):
     assert [k for k, r in sorted(out.items()) if r.toxic] == [f"t{i}" for i in range(len(TOXIC))]
 
 
+def _forum(n):
+    """Documents with abuse that has no seed word of its own but stands with some, and reports with seeds."""
+    filler = ["The committee compared the plan with the older report.", "A second copy of it went to the archive of the town.", "The members asked for a shorter version in spring."]
+    rows = [(i, f"{filler[i % 3]} {filler[(i + 1) % 3]} The {i}th page follows.") for i in range(40 * n)]
+    rows += [(100_000 + i, f"{filler[i % 3]} You people breed like locusts, go back under your rock. You {w}, nobody wants you here.") for i, w in enumerate(["idiot", "moron", "scum", "bitch"] * n)]
+    rows += [(200_000 + i, f"{filler[i % 3]} The rules list words such as idiot and moron that lead to a warning.") for i in range(4 * n)]
+    return rows + [(300_000, f"{filler[0]} You people breed like locusts, go back under your rock. {filler[1]}")]
+
+
+def test_toxic_is_learnt(spark):
+    docs = spark.createDataFrame(_forum(12), "id long, text string")
+    found = {r.id for r in toxic.score(docs).where("toxic").collect()}
+    assert found == {i for i, _ in _forum(12) if 100_000 <= i < 200_000 or i == 300_000}
+
+
+def test_toxic_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(_forum(12), "id long, text string")
+    one, *others = (toxic.score(docs.repartition(n)).orderBy("id").collect() for n in (1, 4, 64))
+    assert all(o == one for o in others)
+
+
+def test_plain_undoes_disguises():
+    assert toxic.tokens("you i.d.i.o.t and m o r o n, br41nl3ss") == ["you", "idiot", "and", "moron", "brainless"]
+    assert toxic.tokens("such an i  d  i o t") == ["such", "an", "idiot"]
+    assert toxic.tokens("U.S. law of the E.U.") == ["u", "s", "law", "of", "the", "e", "u"]
+
+
 # ---- samples and mixtures
 
 
