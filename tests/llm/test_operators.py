@@ -88,6 +88,47 @@ def test_validators():
     assert pii.dni("12345678Z") and not pii.dni("12345678A")
 
 
+CHECKED = [
+    ("DNI 12345678Z", "DNI 12345678A"),
+    ("BSN 111222333", "BSN 111222334"),
+    ("NIR 2 55 08 14 168 025 38", "NIR 2 55 08 14 168 025 39"),
+    ("Steuer-ID 86095742719", "Steuer-ID 86095742710"),
+    ("social insurance number 046 454 286", "social insurance number 046 454 287"),
+    ("NIF 123456789", "NIF 123456780"),
+]
+
+
+@pytest.mark.parametrize(("right", "wrong"), CHECKED)
+def test_checksums_count(right, wrong):
+    scores = [max(x[3] for x in pii._numbers(f"The form holds {t}.") if x[0] == "idno") for t in (right, wrong)]
+    assert scores[0] > scores[1] >= pii.ACCEPT  # a label outweighs a wrong digit
+
+
+def test_checksums_without_label():
+    assert ("idno", "12345678Z") in _found("It says 12345678Z here.") and not _found("It says 12345678A here.")
+    assert pii.fiscale("RSSMRA85T10A562S") and not pii.fiscale("RSSMRA85T10A562T")
+    assert pii.account("GB82WEST12345698765432") and not pii.account("GB82WEST12345698765433")
+    assert not pii.luhn("not a number")
+    # a card number in groups is no phone number
+    assert pii.luhn("0453957876007") and not _found("It says 0453-957876007 here.") and ("phone", "0453-957876008") in _found("It says 0453-957876008 here.")
+
+
+def test_typographic_spaces():
+    assert ("phone", "+49\u00a0221\u00a04710\u00a0788") in _found("Tel. +49\u00a0221\u00a04710\u00a0788 oder per Post")
+
+
+def test_bracketed_number():
+    assert ("idno", "936 34 2310") in _found("A copy (936 34 2310) was left.") and not _found("Then 41 936 34 2310 77 came 12.")
+
+
+def test_pii_joined_form_agrees_on_all_docs(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/docs.parquet").select("id", "text")
+    one = sorted(map(tuple, pii.found_spans(docs).select("id", "kind", "pii_text").collect()))
+    monkeypatch.setattr(pii, "BROADCAST_PARTS", 0)
+    assert sorted(map(tuple, pii.found_spans(docs).select("id", "kind", "pii_text").collect())) == one
+    assert any(not v.isascii() for _, k, v in one if k == "name")
+
+
 # ---- structure
 
 
