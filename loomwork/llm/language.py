@@ -1,18 +1,22 @@
 """Missing or wrong language labels, and the languages of mixed texts (problem 7).
 
-Method. Hierarchical discrimination with linear support vector machines: one machine tells the language family, then
-one-versus-one machines tell the languages of a family apart and vote. Features of a sentence are its words and their
+Method. Hierarchical discrimination with linear support vector machines: one-versus-one machines tell the language
+family, then one-versus-one machines tell the languages of the family apart and vote. Families and languages are those
+that have labels. Features of a sentence are its words and their
 character n-grams up to three, hashed and averaged over its words. As everything is linear, a word's scores under all
 machines are the sum of its features' weights and are kept by word, so that scoring a text costs one look-up for each
-word. The machines are fitted by averaged stochastic subgradient steps on sentences of at most `per_language` labelled
-rows of each language (chosen by hash), a documented bound; labels are partly wrong, so the machines are fitted twice,
-the second time without the sentences that the first fit contradicts. Every row is then classified, over its whole text.
+word. The machines are fitted by coordinate descent in the dual on sentences of at most `per_language` labelled rows of each
+language (those of the least hashes), a documented bound; labels are partly wrong, so the machines are fitted twice, the
+second time without the sentences that the first fit contradicts. Every row is then classified, over its whole text.
+
+A word is taken for one of a language if most of its character trigrams stood in the fit's words, which hardly depends on
+the size of the fit. A sentence that a text repeats counts once.
 
 A text's sentences are classified one by one; neighbours of one language are a segment. The main language is that of
 the summed scores; another language counts if it has a whole sentence of `least_words` words with a clear margin.
 
-Defined cases: null, empty and blank texts, and texts without enough known words (symbols, digits, random characters,
-code), have no language and give no rows; ties go to the first language by name; repeated rows are classified alike; an
+Defined cases: null, empty and blank texts, and texts without at least DISTINCT_WORDS different words of a language
+(symbols, digits, random characters, code), have no language and give no rows; languages without labels are not told; ties go to the first language by name; repeated rows are classified alike; an
 empty table, or one without labels of two languages, gives no rows.
 """
 
@@ -32,11 +36,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "it", "pt")}
+FAMILIES = {
+    "germanic": ("da", "de", "en", "nl", "no", "sv"),
+    "romance": ("ca", "es", "fr", "it", "pt", "ro"),
+    "slavic": ("bg", "cs", "hr", "pl", "ru", "sk", "sl", "uk"),
+    "finnic": ("et", "fi"),
+    "baltic": ("lt", "lv"),
+    "hungarian": ("hu",),
+    "greek": ("el",),
+    "turkic": ("tr",),
+}
+FAMILY = {x: f for f, members in FAMILIES.items() for x in members}
 #: Labelled rows of each language that the machines are fitted on, at most.
 PER_LANGUAGE = 250
 DIMENSIONS = 1 << 16
 LEAST_WORDS = 4
+#: Different words of a language that a text needs.
+DISTINCT_WORDS = 3
+#: Share of a word's trigrams that must be known.
+KNOWN_TRIGRAMS = 0.75
 #: Codes and names of the languages as they are written in labels; a region after - or _ is cut off first.
 LABELS = {
     "en": ("en", "eng", "english"),
@@ -46,6 +64,26 @@ LABELS = {
     "it": ("it", "ita", "italian", "italiano"),
     "pt": ("pt", "por", "portuguese", "português", "portugues"),
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"),
+    "da": ("da", "dan", "danish", "dansk"),
+    "no": ("no", "nor", "nb", "nob", "nn", "nno", "norwegian", "norsk"),
+    "sv": ("sv", "swe", "swedish", "svenska"),
+    "ca": ("ca", "cat", "catalan", "català"),
+    "ro": ("ro", "ron", "rum", "romanian", "română"),
+    "bg": ("bg", "bul", "bulgarian"),
+    "cs": ("cs", "ces", "cze", "czech", "čeština"),
+    "hr": ("hr", "hrv", "croatian", "hrvatski"),
+    "pl": ("pl", "pol", "polish", "polski"),
+    "ru": ("ru", "rus", "russian", "русский"),
+    "sk": ("sk", "slk", "slo", "slovak", "slovenčina"),
+    "sl": ("sl", "slv", "slovenian", "slovenščina"),
+    "uk": ("uk", "ukr", "ukrainian", "українська"),
+    "et": ("et", "est", "estonian", "eesti"),
+    "fi": ("fi", "fin", "finnish", "suomi"),
+    "lt": ("lt", "lit", "lithuanian", "lietuvių"),
+    "lv": ("lv", "lav", "latvian", "latviešu"),
+    "hu": ("hu", "hun", "hungarian", "magyar"),
+    "el": ("el", "ell", "gre", "greek", "ελληνικά"),
+    "tr": ("tr", "tur", "turkish", "türkçe"),
 }
 #: What stands in labels for no language.
 UNKNOWN = ("", "und", "unknown", "unk", "none", "null", "n/a", "na", "xx", "zxx", "mul", "mis", "?", "-", "other", "undefined", "undetermined")
@@ -89,6 +127,11 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % DIMENSIONS for g in grams]
 
 
+def trigrams(word: str) -> list[str]:
+    padded = f"<{word}>"
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
 Row = tuple[np.ndarray, np.ndarray]
 
 
@@ -113,7 +156,7 @@ def _fit(rows: list[Row], y: np.ndarray, epochs: int = 5, c: float = 1.0, seed:
 
 
 class Model:
-    """The machines' weights as columns, and the words known from the fit."""
+    """The machines' weights as columns, and the trigrams of the fit's words."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, machines: list[tuple], known: set[str]):
         self.languages, self.weights, self.machines, self.known = languages, weights.astype(np.float32), machines, known
@@ -136,7 +179,8 @@ class Model:
                 self.rows = np.concatenate([self.rows, np.zeros((max(4096, len(self.rows)), self.rows.shape[1]), np.float32)])
             x = features(word)
             self.rows[found, :-3] = self.weights[x].sum(axis=0)
-            self.rows[found, -3:] = len(x), word in self.known, len(word) > 1
+            grams = trigrams(word)
+            self.rows[found, -3:] = len(x), sum(g in self.known for g in grams) >= KNOWN_TRIGRAMS * len(grams), len(word) > 1
         return found
 
     def ids(self, sentence: str) -> list[int]:
@@ -156,22 +200,25 @@ class Model:
         return np.add.reduceat(self.rows[list(chain.from_iterable(parts))], starts, axis=0)
 
     def predict(self, margins: list[float]) -> tuple[str, float]:
-        """Language and confidence: first the family, then votes within it."""
+        """Language and confidence: votes of families first, then of the family's languages."""
         p = [1 / (1 + math.exp(min(50.0, max(-50.0, -2.5 * m)))) for m in margins]
-        name, sure = next(f for f in FAMILIES if any(x in self.languages for x in FAMILIES[f])), 1.0
+        family, sure = self._voted("", p) or (FAMILY[self.languages[0]], 1.0)
+        lang, surer = self._voted(family, p) or (next(x for x in FAMILIES[family] if x in self.languages), 1.0)
+        return lang, sure * surer
+
+    def _voted(self, group: str, p: list[float]) -> tuple[str, float] | None:
+        """The member of a group with most votes (ties: the least doubtful, then by name), and its least probability."""
         votes: dict[str, list] = {}
         for q, (kind, a, b) in zip(p, self.machines):
-            if kind == "family":
-                name, sure = (a, q) if q >= 0.5 else (b, 1 - q)
-            elif kind == name:
+            if kind == group:
                 for x, r in ((a, q), (b, 1 - q)):
                     v = votes.setdefault(x, [0, 1.0])
                     v[0] += r >= 0.5
                     v[1] = min(v[1], r)
         if not votes:
-            return next(x for x in FAMILIES[name] if x in self.languages), sure
+            return None
         best = max(sorted(votes), key=lambda x: votes[x])
-        return best, votes[best][1] * sure
+        return best, votes[best][1]
 
 
 def fit(samples: list[tuple[str, str]]) -> Model | None:
@@ -180,7 +227,7 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
     for text, lang in samples:
         parts = [sentence_words(s) for s in sentences(text)]
         everything = [w for words in parts for w in words]
-        seen.update({(w, lang) for w in everything})
+        seen.update({g for w in set(everything) for g in trigrams(w)})
         # lists have few sentences: the whole text is a row, too
         for words in (*parts, everything[:200]):
             if sum(len(w) > 1 for w in words) >= LEAST_WORDS:
@@ -190,18 +237,16 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
     languages = sorted(set(langs))
     if len(languages) < 2:
         return None
-    family = {x: f for f, members in FAMILIES.items() for x in members}
-    machines: list[tuple] = []
-    names = [f for f in FAMILIES if any(family[x] == f for x in languages)]
-    if len(names) == 2:
-        machines.append(("family", names[0], names[1]))
+    names = [f for f in FAMILIES if any(FAMILY[x] == f for x in languages)]
+    # the machines of group "" tell families
+    machines: list[tuple] = [("", a, b) for a, b in combinations(names, 2)]
     machines += [(f, a, b) for f in names for a, b in combinations([x for x in FAMILIES[f] if x in languages], 2)]
-    known = {w for (w, _), n in seen.items() if n >= 2}
+    known = {g for g, n in seen.items() if n >= 2}
     keep = np.ones(len(y), bool)
     for last in (False, True):
         weights = []
         for kind, a, b in machines:
-            side = np.array([family[x] for x in y]) if kind == "family" else y
+            side = np.array([FAMILY[x] for x in y]) if kind == "" else y
             use = np.flatnonzero(keep & ((side == a) | (side == b)))
             weights.append(_fit([rows[i] for i in use], np.where(side[use] == a, 1.0, -1.0)))
         model = Model(languages, np.stack(weights, axis=1), machines, known)
@@ -214,13 +259,20 @@ def segments(text: str, model: Model, least_words: int = LEAST_WORDS, clear: flo
     """The text's main language, its confidence, and the segments (language, text, confidence) in order."""
     if len(model.tokens) > 300_000:
         model.clear()
-    parts = [(s, model.ids(s)) for s in sentences(text)]
+    parts = [(s, model.ids(s)) for s in dict.fromkeys(sentences(text))]
     told = [ws for _, ws in parts if ws]
     if not told:
         return None, 0.0, []
     sums = model.sums(told)
     total = sums.sum(axis=0)
-    if total[-2] < 2 or total[-2] < 0.4 * sum(map(len, told)) or (total[-2] < 8 and len({w for ws in told for w in ws if model.rows[w, -2]}) < 2):
+    if total[-2] < 2 or total[-2] < 0.4 * sum(map(len, told)):
+        return None, 0.0, []
+    different: set[int] = set()
+    for ws in told:
+        different.update(w for w in set(ws) if model.rows[w, -2] and model.rows[w, -1])
+        if len(different) >= DISTINCT_WORDS:
+            break
+    else:
         return None, 0.0, []
     # the length of a row of the fit is near the root of its number of features
     margins = (sums[:, :-3] / np.sqrt(sums[:, -3:-2])).tolist()
@@ -257,9 +309,15 @@ def segments(text: str, model: Model, least_words: int = LEAST_WORDS, clear: flo
 
 
 def model_for(docs: DataFrame, text: str, label: Column, key: str, per_language: int = PER_LANGUAGE) -> Model | None:
-    languages = [x for f in FAMILIES.values() for x in f]
-    labelled = docs.select(F.col(text).alias("text"), code_of(label).alias("code"), F.xxhash64(F.col(key)).alias("h")).where(F.col("code").isin(*languages) & (F.length("text") > 80))
-    picked = labelled.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("h", "text"))).where(F.col("r") <= per_language)
+    labelled = docs.select(F.col(text).alias("text"), code_of(label).alias("code"), F.xxhash64(F.col(key)).alias("h")).where(F.col("code").isin(*FAMILY))
+    # few rows of each language are ranked, however many have its label: first a threshold on the hash (at least 8 times
+    # as many as are wanted are expected below it), then the least hashes
+    sizes = labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
+    if len(sizes) < 2:
+        return None
+    below = F.create_map(*[F.lit(x) for r in sizes for x in (r.code, min(1.0, 8.0 * per_language / r.n))])
+    near = labelled.where((F.col("h") / float(1 << 64) + 0.5 <= F.element_at(below, F.col("code"))) & (F.length("text") > 80))
+    picked = near.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("h", "text"))).where(F.col("r") <= per_language)
     return fit([(r.text, r.code) for r in picked.select("text", "code").orderBy("code", "text").collect()])
 
 
@@ -290,7 +348,7 @@ def identify(docs: DataFrame, key: str = "id", text: str = "text", label: Column
     return named.where(F.col("t").rlike(r"\p{L}{2}")).mapInPandas(scan, schema)
 
 
-def corrections(identified: DataFrame, key: str = "id", clear: float = 0.6) -> DataFrame:
+def corrections(identified: DataFrame, key: str = "id", clear: float = 0.85) -> DataFrame:
     """(key, lang): every language of the rows whose label is missing or wrong or whose text mixes languages."""
     langs = F.array_distinct(F.concat(F.array("lang"), F.transform("segments", lambda s: s["lang"])))
     rows = identified.select(key, "code", "confidence", langs.alias("langs"))

@@ -356,6 +356,29 @@ def test_languages(spark):
     assert found == {("wrong", "de"), ("missing", "fr"), ("mixed", "en"), ("mixed", "es")}
 
 
+MORE = {
+    "sv": "Kommunen har kontrollerat {} under {} och skrivit en kort rapport om det för medlemmarna i rådet.",
+    "pl": "Gmina sprawdziła {} w roku {} i napisała krótki raport dla członków rady miasta oraz mieszkańców.",
+    "ro": "Comuna a verificat {} în anul {} și a scris un scurt raport pentru membrii consiliului orașului.",
+}
+
+
+def test_languages_beyond_seven(spark):
+    words = ["museum", "hotel", "garage", "radio", "port", "bus"]
+    rows = [(f"{x}{i}", " ".join(say.format(w, 1950 + i) for w in words[i % 3 :]), x) for x, say in (SAY | MORE).items() for i in range(25)]
+    held_out = [(f"?{x}{i}", f"{say.format('kino', 1900 + i)} {say.format('park', 1800 + i)}", None) for x, say in MORE.items() for i in range(10)]
+    found = language.corrections(language.identify(spark.createDataFrame(rows + held_out, "id string, text string, lang string"), label=F.col("lang"))).collect()
+    assert sum((f"?{r.lang}{i}" == r.id) for r in found for i in range(10)) >= 0.9 * len(held_out)
+    assert all(r.id[0] == "?" for r in found)
+
+
+def test_no_language(spark):
+    rows = [(f"{x}{i}", " ".join(say.format(w, 1950 + i) for w in ("museum", "hotel")), x) for x, say in SAY.items() for i in range(20)]
+    odd = ["win 🔥 win $$$ " * 20, "vgawfuszqt himr irpp rhnrwqo bt ud qcfsekwd acbwezrf", "if(a>3){b()};var c=461;" * 9, "0xff 12 99 -- ##"]
+    docs = spark.createDataFrame(rows + [(f"?{i}", t, None) for i, t in enumerate(odd)], "id string, text string, lang string")
+    assert language.corrections(language.identify(docs, label=F.col("lang"))).count() == 0
+
+
 def test_labels(spark):
     rows = [("en-GB", "en"), ("ENG", "en"), ("Deutsch", "de"), ("pt_BR", "pt"), ("und", None), (" ", None), (None, None), ("klingon", "klingon")]
     out = spark.createDataFrame(rows, "a string, b string").select(language.code_of(F.col("a")).alias("c"), "b").collect()
