@@ -57,9 +57,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "docs"), table(spark, sf_dir, "benchmark"))
 
 
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "docs").select("id", "text"))
+    return budget.count_tokens(docs, "id")
+
+
 def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "docs").select("id", "text", "source", F.col("meta.lang").alias("lang"), F.col("meta.field").alias("field"))
-    return budget.rollup(budget.count_tokens(docs, "id"), {"source": F.col("source"), "lang": F.col("lang"), "field": F.col("field")})
+    docs = spread(table(spark, sf_dir, "docs").select("id", "text", "source", language.code_of(F.col("meta.lang")).alias("lang"), F.col("meta.field").alias("field")))
+    return budget.totals(budget.count_tokens(docs, "id"), {"source": F.col("source"), "lang": F.col("lang"), "field": F.col("field")})
+
+
+def p6_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals over characters, which SQL can count."""
+    docs = table(spark, sf_dir, "docs").select("source", language.code_of(F.col("meta.lang")).alias("lang"), F.col("meta.field").alias("field"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("tokens"))
+    return budget.totals(docs, {"source": F.col("source"), "lang": F.col("lang"), "field": F.col("field")})
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +115,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _stats_sql() -> str:
-    names = ", ".join(f"('{n}', '{code}')" for code, ns in language.LABELS.items() for n in ns)
-    return rf"""WITH names(name, code) AS (VALUES {names}), common AS (SELECT lang, list(DISTINCT word) AS cw FROM common_words GROUP BY lang),
-    d AS (SELECT id, coalesce(text, '') AS t, regexp_replace(lower(trim(meta.lang, ' ')), '[-_].*$', '') AS plain FROM docs),
-    w AS (SELECT d.id, t, regexp_extract_all(lower(t), '\p{{L}}+', 0) AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS l, cw FROM d LEFT JOIN names n ON n.name = d.plain LEFT JOIN common c ON c.lang = n.code)
-    SELECT id, len(w)::BIGINT AS words, round(CASE WHEN len(w) = 0 THEN 0 ELSE length(regexp_replace(t, '\P{{L}}', '', 'g')) / len(w) END, 6) AS mean_word_length,
-    round(CASE WHEN t = '' THEN 0 ELSE length(regexp_replace(t, '[\p{{L}}\p{{N}}\s.,;:!?''"()\-]', '', 'g')) / length(t) END, 6) AS symbol_ratio,
+    return r"""WITH lists AS (SELECT lang, list(DISTINCT word) AS cw FROM common_words WHERE lang IS NOT NULL GROUP BY lang),
+    d AS (SELECT id, coalesce(text, '') AS t FROM docs),
+    w AS (SELECT id, t, regexp_extract_all(lower(t), '\p{L}+', 0) AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM d),
+    hits AS (SELECT w.id, max(len(list_filter(w, lambda x: list_contains(cw, x)))) AS hit FROM w CROSS JOIN lists GROUP BY w.id)
+    SELECT id, len(w)::BIGINT AS words, round(CASE WHEN len(w) = 0 THEN 0 ELSE length(regexp_replace(t, '\P{L}', '', 'g')) / len(w) END, 6) AS mean_word_length,
+    round(CASE WHEN t = '' THEN 0 ELSE length(regexp_replace(t, '[\p{L}\p{N}\s.,;:!?''"()\-]', '', 'g')) / length(t) END, 6) AS symbol_ratio,
     round(CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;,]$'))) / len(l) END, 6) AS ended_lines,
-    round(CASE WHEN len(w) = 0 OR cw IS NULL THEN 0 ELSE len(list_filter(w, lambda x: list_contains(cw, x))) / len(w) END, 6) AS common_words FROM w"""
+    round(CASE WHEN len(w) = 0 THEN 0 ELSE coalesce(hit, 0) / len(w) END, 6) AS common_words FROM w LEFT JOIN hits USING (id)"""
+
+
+def _code_sql(label: str) -> str:
+    """The code of a label as language.code_of has it."""
+    plain = f"regexp_replace(lower(trim({label}, ' ')), '[-_].*$', '')"
+    names = " ".join(f"WHEN {plain} IN ({', '.join(repr(n) for n in ns)}) THEN '{code}'" for code, ns in language.LABELS.items())
+    unknown = ", ".join(repr(u) for u in language.UNKNOWN)
+    return f"CASE WHEN {label} IS NULL OR {plain} IN ({unknown}) THEN NULL {names} ELSE {plain} END"
+
+
+def _chars_sql() -> str:
+    names = ("source", "lang", "field")
+    sets = [[n for i, n in enumerate(names) if k >> i & 1] for k in range(7, -1, -1)]
+    parts = [f"""SELECT {', '.join(n if n in s else f'NULL AS {n}' for n in names)}, '{' x '.join(s) or 'all'}' AS slice, count(*) AS docs, sum(n)::BIGINT AS tokens FROM d{' GROUP BY ' + ', '.join(s) if s else ''}""" for s in sets]
+    return f"WITH d AS (SELECT source, {_code_sql('meta.lang')} AS lang, meta.field AS field, coalesce(length(text), 0) AS n FROM docs) " + " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_stats": _stats_sql()}
+    return {"p2_stats": _stats_sql(), "p6_chars": _chars_sql()}

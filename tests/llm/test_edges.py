@@ -78,8 +78,9 @@ def test_tokens(docs, none):
     enc = budget.encoder(queries.RANKS)
     assert sorted(r.tokens for r in out) == sorted(len(enc.encode_ordinary(t)) if t else 0 for _, t in ROWS)
     assert budget.count_tokens(none, "id").count() == 0
-    total = budget.rollup(budget.count_tokens(docs, "id"), {"source": F.col("source")}).where("level = 0").collect()
-    assert total[0].docs == len(ROWS)
+    total = budget.totals(budget.count_tokens(docs, "id"), {"source": F.col("source")}).where("slice = 'all'").collect()
+    assert total[0].docs == len(ROWS) and total[0].tokens == sum(r.tokens for r in out)
+    assert budget.totals(budget.count_tokens(none, "id"), {"source": F.col("source")}).count() == 0
 
 
 def test_language(docs, none):

@@ -321,6 +321,28 @@ def test_cut_keeps_counts(text, size):
     assert sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
 
 
+def test_cut_at_line_ends():
+    assert budget.cut("ab\ncd\tef gh", 1) == ["ab", "\ncd", "\tef", " gh"]
+    assert budget.cut("ab \n cd\n\nef", 1) == ["ab", " \n cd\n\nef"]
+
+
+@given(st.text(alphabet="ab1!é\u4e00 \n\t\r\u00a0\u2003'", max_size=120), st.integers(1, 12))
+@settings(max_examples=400, deadline=None)
+def test_cut_keeps_counts_at_white_space(text, size):
+    enc = budget.encoder(queries.RANKS)
+    assert [x for p in budget.cut(text, size) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
+def test_token_totals(spark):
+    rows = [("a", "en", "x", 3), ("a", "en", None, 4), ("b", "de", "x", 5), (None, "en", "y", 6)]
+    counts = spark.createDataFrame(rows, "source string, lang string, field string, tokens long")
+    out = {(r.slice, r.source, r.lang, r.field): (r.docs, r.tokens) for r in budget.totals(counts, {k: F.col(k) for k in ("source", "lang", "field")}).collect()}
+    assert out["all", None, None, None] == (4, 18)
+    assert out["lang", None, "en", None] == (3, 13) and out["field", None, None, None] == (1, 4) and out["field", None, None, "x"] == (2, 8)
+    assert out["source x lang", "a", "en", None] == (2, 7) and out["source", None, None, None] == (1, 6)
+    assert sum(n for (s, *_), (n, _) in out.items() if s == "source x lang x field") == 4
+
+
 def test_encode_and_decode(spark):
     random.seed(7)
     odd = ["<|endoftext|>", "naïve café — 東京 😀🏽", "a" * 3000, " \t\n  x y z", "I'll we've it's", "12345 678,9", "́combining", "=" * 500 + "!?" * 300]
