@@ -10,9 +10,13 @@ window; what is left is verified exactly, word by word, over the window-sized st
 Words are runs of letters and digits after tags and entities are removed, in compatibility form and without case, so
 case, punctuation, spacing, markup and line breaks do not matter.
 
+A first sentence that SHARED items begin with is an instruction and is left out. Items of fewer than `size` words are
+shingles by themselves.
+
 Scale. One pass over the documents gives their shingles that some item has, each with its surroundings; the corpus is
 not shuffled, only those rows are. The filter is a set of hashes of the items' shingles. It is sent to the workers only
-up to `broadcast_shingles`; beyond that all shingles of the documents are joined by hash.
+up to `broadcast_shingles`; beyond that the hashes of the documents' shingles are joined to those of the items, and only
+documents with a hit are read again, with their own few hashes. Both ways give the same rows.
 
 Defined cases: null, empty and blank texts leak nothing; an item without words is never found; repeated items each have
 their rows; repeated documents each have their rows if their ids differ; an empty table on either side gives no rows.
@@ -36,7 +40,7 @@ SHINGLE = 5
 #: Hashes of item shingles that are sent to the workers at most, 8 bytes each.
 BROADCAST_SHINGLES = 2_000_000
 #: A first sentence that as many items share is an instruction.
-SHARED = 3
+SHARED = 10
 
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -87,50 +91,81 @@ def item_windows(items: DataFrame, key: str, text: str, run: int = RUN, size: in
     return cut.mapInPandas(windows, f"item {kind}, window int, offset int, shingle long, body string, first string, last string")
 
 
-def doc_shingles(docs: DataFrame, key: str, text: str, known, run: int = RUN, size: int = SHINGLE) -> DataFrame:
-    """(doc, at, n, shingle, near, near_at): the shingles of each document, with up to run - 1 words on each side.
+def _grams(tokens: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """(place, hash) of each shingle."""
+    return ((at, _hash(tokens[at : at + size])) for at in range(len(tokens) - size + 1))
+
+
+def _near(tokens: list[str], at: int, size: int, run: int) -> tuple[str, int]:
+    """The words around a shingle, up to run - 1 on each side, and its place among them."""
+    lo = max(0, at - run + 1)
+    return " ".join(tokens[lo : at + size + run - 1]), at - lo
+
 
-    `known` is a broadcast of (hashes, first words, last words) to keep, or None for all.
+def doc_shingles(docs: DataFrame, key: str, text: str, known, sizes: list[int], run: int = RUN) -> DataFrame:
+    """(doc, at, n, shingle, near, near_at): the shingles of each document that are in `known`, with the words around.
+
+    `known` is a broadcast of (hashes, first words, last words), or None if each row of `docs` has its own `hashes`.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, firsts, lasts = known.value if known is not None else (None, None, None)
+        if known is not None:
+            hashes, firsts, lasts = known.value
         for batch in batches:
             rows = []
-            for doc, body in zip(batch["doc"], batch["text"]):
+            own = batch["hashes"] if known is None else [None] * len(batch)
+            for doc, body, mine in zip(batch["doc"], batch["text"], own):
                 tokens = words(body)
                 n = len(tokens)
-                for at in range(n - size + 1):
-                    if firsts is not None and (tokens[at] not in firsts or tokens[at + size - 1] not in lasts):
-                        continue
-                    h = _hash(tokens[at : at + size])
-                    if hashes is None or h in hashes:
-                        lo = max(0, at - run + 1)
-                        rows.append((doc, at, n, h, " ".join(tokens[lo : at + size + run - 1]), at - lo))
+                if known is None:
+                    mine = set(mine)
+                    rows += [(doc, at, n, h, *_near(tokens, at, size, run)) for size in sizes for at, h in _grams(tokens, size) if h in mine]
+                    continue
+                for size in sizes:
+                    for at in range(n - size + 1):
+                        if tokens[at] in firsts and tokens[at + size - 1] in lasts and (h := _hash(tokens[at : at + size])) in hashes:
+                            rows.append((doc, at, n, h, *_near(tokens, at, size, run)))
             yield pd.DataFrame(rows, columns=["doc", "at", "n", "shingle", "near", "near_at"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0).mapInPandas(scan, f"doc {kind}, at int, n int, shingle long, near string, near_at int")
+    own = ["hashes"] if known is None else []
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), *own).where(F.length("text") > 0).mapInPandas(scan, f"doc {kind}, at int, n int, shingle long, near string, near_at int")
+
+
+def doc_hashes(docs: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """(doc, shingle): the distinct hashes of each document."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc, h) for doc, body in zip(batch["doc"], batch["text"]) for tokens in [words(body)] for h in {h for size in sizes for _, h in _grams(tokens, size)}]
+            yield pd.DataFrame(rows, columns=["doc", "shingle"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0).mapInPandas(scan, f"doc {kind}, shingle long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "id", item_key: str = "item_id", text: str = "text", run: int = RUN, size: int = SHINGLE, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """Distinct (doc_key, item_key) of the documents that hold a window of an item. Items need at least `size` words."""
+    """Distinct (doc_key, item_key) of the documents that hold a window of an item."""
     spark = docs.sparkSession
-    windows = item_windows(items, item_key, text, run, size).persist()
-    whole = windows.where(F.size(F.split("body", " ")) >= size)
-    distinct = whole.select("shingle", "first", "last").distinct()
-    few = distinct.limit(broadcast_shingles + 1).collect()
-    known = spark.sparkContext.broadcast(({r[0] for r in few}, {r[1] for r in few}, {r[2] for r in few})) if len(few) <= broadcast_shingles else None
-    found = doc_shingles(docs, doc_key, text, known, run, size)
-    if known is None:
-        found = found.join(distinct.select("shingle").distinct(), "shingle", "left_semi")
+    # read for its hashes, for the rarity and for the join; it is as large as the items
+    windows = _kept(item_windows(items, item_key, text, run, size))
+    length = F.size(F.split("body", " "))
+    distinct = windows.select("shingle", "first", "last", F.least(F.lit(size), length).alias("size")).distinct()
+    sizes = sorted(r.size for r in distinct.select("size").distinct().collect()) or [size]
+    few = distinct.select("shingle", "first", "last").limit(broadcast_shingles + 1).toArrow()
+    if few.num_rows <= broadcast_shingles:
+        known = spark.sparkContext.broadcast(tuple(set(few.column(i).to_pylist()) for i in range(3)))
+        found = doc_shingles(docs, doc_key, text, known, sizes, run)
+    else:
+        hits = doc_hashes(docs, doc_key, text, sizes).join(distinct.select("shingle").distinct(), "shingle", "left_semi")
+        own = hits.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("shingle").alias("hashes"))
+        found = doc_shingles(docs.select(F.col(doc_key), F.col(text)).join(own, F.col(doc_key).eqNullSafe(F.col("__doc"))), doc_key, text, None, sizes, run)
     # used for the rarity and for the join; it holds only rows that match an item
     found = _kept(found)
     rarity = found.groupBy("shingle").agg(F.countDistinct("doc").alias("docs"))
-    ranked = whole.join(rarity, "shingle", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    ranked = windows.join(rarity, "shingle", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     # the window of an item is a group of at most run - size + 1 rows
     prefix = ranked.withColumn("r", F.row_number().over(W.partitionBy("item", "window").orderBy("docs", "offset"))).where((F.col("r") == 1) & (F.col("docs") > 0))
-    length = F.size(F.split("body", " "))
     room = (F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + length <= F.col("n"))
     pairs = found.join(prefix.select("item", "offset", "shingle", "body"), "shingle").where(room)
     stretch = F.array_join(F.slice(F.split("near", " "), F.col("near_at") - F.col("offset") + 1, length), " ")

@@ -303,6 +303,27 @@ def test_leaks_like_brute_force(spark):
     assert set(map(tuple, got.collect())) == want and want
 
 
+def test_short_items_leak(spark):
+    items = spark.createDataFrame([(1, "crooked brass teapot"), (2, "zinc"), (3, "one two three four five six seven")], "item_id long, text string")
+    docs = spark.createDataFrame([("a", "A Crooked, brass TEAPOT."), ("b", "crooked teapot of zinc"), ("c", "one two three four five six"), (None, "zinc")], "id string, text string")
+    want = [("a", 1), ("b", 2), (None, 2)]
+    for few in (10, 0):
+        assert sorted(map(tuple, leakage.leaks(docs, items, broadcast_shingles=few).collect()), key=str) == sorted(want, key=str)
+
+
+def test_items_on_one_passage(spark):
+    passage = "The quarry sold eleven slabs of grey slate to the bakery before the bridge was closed in the cold spring."
+    items = spark.createDataFrame([(i, f"{passage} What was sold in case {i}, and to whom did it go?") for i in range(3)], "item_id long, text string")
+    docs = spark.createDataFrame([("a", f"Then {passage.lower()} And so on.")], "id string, text string")
+    assert {r.item_id for r in leakage.leaks(docs, items).collect()} == {0, 1, 2}
+
+
+def test_leaks_agree_without_broadcast_on_all_docs(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("docs", "benchmark"))
+    one, other = (sorted(map(tuple, leakage.leaks(docs, items, broadcast_shingles=n).collect())) for n in (leakage.BROADCAST_SHINGLES, 10))
+    assert one == other and one
+
+
 # ---- tokens
 
 
