@@ -53,6 +53,16 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.reservoir_sample(table(spark, sf_dir, "docs").select("id", "text"), SAMPLE)
 
 
+def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of all pieces but the newest (meta.batch), kept until the newest comes, and then merged with it."""
+    docs = table(spark, sf_dir, "docs").select("id", "text", F.col("meta.batch").alias("piece"))
+    newest = docs.agg(F.max("piece")).first()[0]
+    late = F.coalesce(F.col("piece") == newest, F.lit(False))
+    old, new = docs.where(~late).select("id", "text"), docs.where(late).select("id", "text")
+    kept = checkpointed(reservoir.reservoir_sample(old, SAMPLE))
+    return reservoir.merge(kept, old.count(), reservoir.reservoir_sample(new, SAMPLE, 20_25), new.count(), SAMPLE, 20_26)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "docs"), table(spark, sf_dir, "benchmark"))
 
@@ -102,6 +112,23 @@ def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id")
 
 
+def p9_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with documents twice as likely where a field is known, and more so the longer they are."""
+    targets = table(spark, sf_dir, "mix_targets")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "field", "text")
+    sized = checkpointed(budget.count_tokens(docs, "doc_id"))
+    weight = F.when(F.col("field").isNull(), 1.0).otherwise(2.0) * F.sqrt("tokens")
+    mixed = mixing.mix(sized, targets, "doc_id", weight=weight)
+    return mixed.select("doc_id", "source", "tokens", "copies")
+
+
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the mix over characters, which SQL can count."""
+    sizes = table(spark, sf_dir, "documents").where("length(text) > 0").groupBy("source").agg(F.sum(F.length("text").cast("long")).alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    out = mixing.plan(sizes, table(spark, sf_dir, "mix_targets"))
+    return out.select("source", F.round("share", 6).alias("share"), "tokens", F.round("need", 2).alias("need"), F.col("copies").cast("long").alias("copies"), F.round("rest", 2).alias("rest"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id").distinct()
 
@@ -140,5 +167,14 @@ def _chars_sql() -> str:
     return f"WITH d AS (SELECT source, {_code_sql('meta.lang')} AS lang, meta.field AS field, coalesce(length(text), 0) AS n FROM docs) " + " UNION ALL ".join(parts)
 
 
+PLAN_SQL = """WITH t AS (SELECT source, sum(target_share) AS s, min(max_repeats) AS r FROM mix_targets GROUP BY source),
+    z AS (SELECT source, sum(length(text))::BIGINT AS tokens FROM documents WHERE length(text) > 0 GROUP BY source),
+    j AS (SELECT t.source, s, r, coalesce(tokens, 0) AS tokens FROM t LEFT JOIN z USING (source)),
+    h AS (SELECT *, CASE WHEN tokens > 0 AND s > 0 THEN s / (SELECT sum(s) FROM j WHERE tokens > 0 AND s > 0) ELSE 0 END AS share FROM j),
+    n AS (SELECT *, least(share * (SELECT min(r * tokens / share) FROM h WHERE share > 0), r * tokens) AS need FROM h),
+    c AS (SELECT *, floor(CASE WHEN tokens = 0 THEN 0 ELSE need / tokens END + 1e-9)::BIGINT AS copies FROM n)
+    SELECT source, round(share, 6) AS share, tokens, round(need, 2) AS need, copies, round(greatest(0, need - copies * tokens), 2) AS rest FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_stats": _stats_sql(), "p6_chars": _chars_sql()}
+    return {"p2_stats": _stats_sql(), "p6_chars": _chars_sql(), "p9_plan": PLAN_SQL}

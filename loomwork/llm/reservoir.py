@@ -7,8 +7,11 @@ reservoirs gives follows the sizes of the populations that they stand for, and t
 replacement. The merged reservoir is again uniform over both populations, so pieces can be added later (`merge`), and
 every record is equally likely whatever its piece.
 
-The draws use counts only: one number for each partition goes to the driver, no rows. Seeds depend on `seed` and the
-partition's number, so a task that runs again makes the same choices.
+The draws use counts only: one number for each partition goes to the driver, no rows; they are counted without reading
+the other columns. The draw is exact at any size: k different places among all rows are drawn and counted by population,
+which is the hypergeometric draw for many populations at once. Seeds depend on `seed` and the partition's number, so a
+task that runs again makes the same choices; `records` must give the same partitions when it is read again, as scans
+and checkpoints do, and a partition that does not have its counted rows fails the query.
 
 Defined cases: fewer than k rows give all rows; k = 0 gives none; null texts are records like others; repeated rows are
 separate records; an empty table gives an empty sample.
@@ -17,7 +20,10 @@ separate records; an empty table gives an empty sample.
 from __future__ import annotations
 
 import math
+import random
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,25 +54,28 @@ class Skips:
             self._jump()
 
 
-def split_draws(counts: list[int], k: int, rng: np.random.Generator) -> list[int]:
+def split_draws(counts: list[int], k: int, seed: int) -> list[int]:
     """How many of k rows come from each population, by draws without replacement from all of them."""
-    left, need, out = sum(counts), min(k, sum(counts)), []
-    for n in counts:
-        # numpy's hypergeometric takes populations under 10^9; beyond that the binomial differs by less than k/n
-        take = 0 if not need else need if left == n else int(rng.hypergeometric(n, left - n, need)) if left < 10**9 else min(n, int(rng.binomial(need, n / left)))
-        out.append(take)
-        left, need = left - n, need - take
+    ends = list(accumulate(counts))
+    out = [0] * len(counts)
+    if ends:
+        for place in random.Random(seed).sample(range(ends[-1]), min(k, ends[-1])):
+            out[bisect_right(ends, place)] += 1
     return out
 
 
-def reservoirs(records: DataFrame, k: int, seed: int) -> DataFrame:
-    """Up to k rows of each partition in random order (`__rank` from 0), with `__part` and the rows seen in `__seen`."""
+def reservoirs(records: DataFrame, k: int, seed: int, plan: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Up to k rows of each partition in random order (`__rank` from 0), with `__part` and the rows seen in `__seen`.
+
+    With a `plan` of (rows, rows to give) by partition only the first of them are given, and the rows are counted again.
+    """
     schema = T.StructType([*records.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__rank", T.LongType()), T.StructField("__seen", T.LongType())])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        counted, give = (None, k) if plan is None else plan.get(part, (0, 0))
         rng = np.random.default_rng([seed, part])
         skips, slots, seen, kept = Skips(k, rng), {}, 0, None
         for batch in batches:
@@ -78,11 +87,14 @@ def reservoirs(records: DataFrame, k: int, seed: int) -> DataFrame:
             old = [s for s in slots if s not in taken]
             kept = rows if kept is None else pa.concat_tables([kept.take(pa.array([slots[s] for s in old], pa.int64())), rows]).combine_chunks()
             slots = {s: i for i, s in enumerate([*old, *taken])}
-        if kept is None:
+        if counted is not None and seen != counted:
+            raise RuntimeError(f"partition {part} has {seen} rows, {counted} were counted: checkpoint the records first")
+        if kept is None or not give:
             return
-        n = kept.num_rows
-        order = rng.permutation(n)
-        out = kept.take(pa.array(order))
+        n = min(kept.num_rows, give)
+        # the order of slots is by the draws alone, however rows came in batches
+        places = [slots[s] for s in sorted(slots)]
+        out = kept.take(pa.array([places[i] for i in rng.permutation(len(places))[:n]], pa.int64()))
         for name, value in (("__part", pa.array([part] * n, pa.int32())), ("__rank", pa.array(range(n), pa.int64())), ("__seen", pa.array([seen] * n, pa.int64()))):
             out = out.append_column(name, value)
         yield from out.to_batches()
@@ -90,24 +102,32 @@ def reservoirs(records: DataFrame, k: int, seed: int) -> DataFrame:
     return records.mapInArrow(sample, schema)
 
 
+def counted(records: DataFrame) -> dict[int, int]:
+    """Rows of each partition; no column of a file is read for it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = sum(batch.num_rows for batch in batches)
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
+
+    return {r.part: r.n for r in records.select(F.lit(0).alias("x")).mapInArrow(count, "part int, n long").collect()}
+
+
 def reservoir_sample(records: DataFrame, k: int, seed: int = 20_24) -> DataFrame:
     """min(k, n) rows of `records`, each subset of that size equally likely."""
     if k <= 0:
         return records.limit(0)
-    kept = reservoirs(records, k, seed)
-    # the rows are read twice: for the counts only the row that says how many were seen is carried on
-    counts = {r["__part"]: r["__seen"] for r in kept.where("__rank = 0").select("__part", "__seen").collect()}
+    counts = counted(records)
     parts = sorted(counts)
-    draws = split_draws([counts[p] for p in parts], k, np.random.default_rng([seed, 1 << 20]))
-    spark = records.sparkSession
-    table = spark.createDataFrame([(p, d) for p, d in zip(parts, draws) if d] or [(-1, 0)], "__part int, __take long")
-    return kept.join(F.broadcast(table), "__part").where("__rank < __take").select(*records.columns)
+    draws = split_draws([counts[p] for p in parts], k, seed)
+    return reservoirs(records, k, seed, {p: (counts[p], d) for p, d in zip(parts, draws)}).select(*records.columns)
 
 
 def merge(left: DataFrame, n_left: int, right: DataFrame, n_right: int, k: int, seed: int) -> DataFrame:
     """The uniform sample of both populations from uniform samples of each: `n_left` and `n_right` are their sizes."""
-    rng = np.random.default_rng([seed, n_left, n_right])
-    a, b = split_draws([n_left, n_right], k, rng)
+    a, b = split_draws([n_left, n_right], k, seed)
 
     def drawn(df: DataFrame, n: int, salt: int) -> DataFrame:
         cols = F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -258,6 +258,28 @@ def test_skips_are_uniform():
     assert ((counts - 500) ** 2 / 500).sum() < 90
 
 
+def test_draws_are_hypergeometric():
+    counts = [5, 20, 75, 0]
+    got = np.array([reservoir.split_draws(counts, 30, seed) for seed in range(4000)])
+    assert (got.sum(axis=1) == 30).all() and (got <= counts).all()
+    n, share = 100, np.array(counts) / 100
+    assert np.allclose(got.mean(axis=0), 30 * share, atol=0.12)
+    # the variance is that of draws without replacement
+    assert np.allclose(got.var(axis=0), 30 * share * (1 - share) * (n - 30) / (n - 1), rtol=0.1, atol=0.01)
+
+
+def test_draws_from_many():
+    got = reservoir.split_draws([10**13, 3 * 10**13, 1], 1000, 5)
+    assert sum(got) == 1000 and abs(got[0] - 250) < 70
+
+
+def test_sample_needs_the_counted_rows(spark, monkeypatch):
+    docs = spark.range(0, 60, 1, 3)
+    monkeypatch.setattr(reservoir, "counted", lambda records: {0: 20, 1: 20, 2: 19})
+    with pytest.raises(Exception, match="checkpoint the records first"):
+        reservoir.reservoir_sample(docs, 10).collect()
+
+
 def test_merge(spark):
     a, b = spark.range(0, 100).withColumn("text", F.lit("a")), spark.range(100, 400).withColumn("text", F.lit("b"))
     out = reservoir.merge(reservoir.reservoir_sample(a, 20), 100, reservoir.reservoir_sample(b, 20), 300, 20, 3)
@@ -275,6 +297,29 @@ def test_mix_reaches_targets(spark):
     assert report["a"].repeats <= 1 and report["b"].repeats <= 3
 
 
+def test_mix_by_weight(spark):
+    random.seed(3)
+    rows = [(i, "a", 10, 1.0 + 9.0 * (i % 10 == 0)) for i in range(4000)] + [(9000 + i, "b", 10, 0.0 if i % 2 else 1.0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "id long, source string, tokens long, w double")
+    targets = spark.createDataFrame([("a", 0.5, 0.4), ("b", 0.5, 1.0)], "source string, target_share double, max_repeats double")
+    mixed = mixing.mix(docs, targets, "id", weight=F.col("w")).collect()
+    a, b = [r for r in mixed if r.source == "a"], [r for r in mixed if r.source == "b"]
+    assert len(a) == len(b) == 1600
+    # 400 heavy documents are certain; the 1200 others come from 3600 light ones, spread evenly
+    assert sum(r.w > 1 for r in a) == 400
+    assert all(r.w > 0 for r in b)
+    light = sorted(r.id for r in a if r.w == 1)
+    assert abs(sum(i < 2000 for i in light) - 600) < 90
+
+
+def test_mix_factors_converge(spark):
+    # each round makes some more documents certain
+    rows = [(i, "a", 1, 2.0**-i, 0, 9.5) for i in range(12)]
+    docs = spark.createDataFrame(rows, "id long, source string, tokens long, __w double, __copies long, __rest double")
+    c = mixing.inclusion_factors(docs, "tokens")["a"]
+    assert abs(sum(min(1.0, c * r[3]) for r in rows) - 9.5) < 1e-6
+
+
 # ---- leakage
 
 
