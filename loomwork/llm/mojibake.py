@@ -9,8 +9,10 @@ read as UTF-8, or in the encoding of another script; sequences that lost a byte
 its neighbours best. A mapping is taken if the pairs that it makes are more probable than those it takes away. This is
 repeated for text that was garbled several times, and numeric escapes of garbled characters are resolved first.
 
-Counting takes one pass and map-side aggregation by pair; the table of pairs is that of an alphabet, and pairs seen fewer
-than `min_pairs` times are left out (they score like unseen ones).
+Counting takes one pass and map-side aggregation by pair. Characters beyond the alphabets and signs that misread text
+consists of count as their block of 128, so that the table has at most about 3,300 characters (it has some ten thousand
+pairs in practice) however many ideographs the corpus uses. A pair's own place does not vouch for it: one is taken off
+its count, so that a pair that stands once scores like an unseen one and need not be sent anywhere.
 
 Defined cases: null, empty and blank texts are not affected and come out as they are; text with the replacement
 character is affected but its lost characters stay lost; rare right characters, other scripts and typographic signs fit
@@ -40,10 +42,12 @@ SWAPPED = [(a, b) for a in ("cp1252", "mac-roman", "cp437", "cp1251", "koi8-r")
 #: The marks that most three-byte sequences stand for.
 MARKS = "’“”–—…‘•€™„‚"
 LOST = "�"
-UNSEEN = -6.0
+UNSEEN = math.log2(0.02)
 #: Least gain in bits of a mapping to UTF-8, and of a swap, which has no check by structure.
 GAIN, SWAP_GAIN = 1.0, 12.0
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+#: Beyond Latin, Greek and Cyrillic letters, punctuation, arrows, mathematical signs and box drawing.
+_FAR = re.compile("[^\x00-\u052f\u2000-\u25ff]")
 _ESCAPE = re.compile(r"(?:&#(?:1[2-9]\d|[2-9]\d\d|\d{4,5}|x[0-9a-fA-F]{2,4});|\\u[0-9a-fA-F]{4})+")
 
 
@@ -58,6 +62,11 @@ def _images(encoding: str) -> dict[int, str]:
     return out
 
 
+def near(text: str) -> str:
+    """The text with each far character as the first of its block; of the same length."""
+    return _FAR.sub(lambda m: chr(ord(m.group()) & ~0x7F), text)
+
+
 class Inverse:
     """The way back from one misread encoding."""
 
@@ -119,8 +128,12 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     a, b = max(0, m.start() - 1), min(len(t), m.end() + 1)
                     if b - a > 2 and not doubtful.search(t, a, b):
                         pairs.update(zip(t[a : b - 1], t[a + 1 : b]))
-        rows = [(a, b, n) for (a, b), n in pairs.items()] + [(a, "", n) for a, n in single.items()]
-        yield pd.DataFrame(rows, columns=["a", "b", "n"])
+        rows: Counter = Counter()
+        for (a, b), n in pairs.items():
+            rows[near(a), near(b)] += n
+        for a, n in single.items():
+            rows[near(a), ""] += n
+        yield pd.DataFrame([(a, b, n) for (a, b), n in rows.items()], columns=["a", "b", "n"])
 
     return docs.select(F.col(text).alias("text")).where(F.length("text") > 0).mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -135,17 +148,19 @@ class Probable:
         for a, b, n in rows:
             if b != "":
                 expected = single.get(a, 1) * single.get(b, 1) / total
-                self.pmi[a + b] = max(UNSEEN, min(6.0, math.log2((n + 0.02 * expected) / expected)))
+                self.pmi[a + b] = min(6.0, math.log2((n - 1 + 0.02 * expected) / expected))
 
     def of(self, text: str) -> float:
         """The sum over pairs with a character beyond ASCII."""
         get = self.pmi.get
+        text = near(text)
         return sum(get(text[i : i + 2], UNSEEN) for i in range(len(text) - 1) if not text[i : i + 2].isascii())
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """The improbable runs, as spans with a character on either side."""
         out: list[tuple[int, int]] = []
         get = self.pmi.get
+        text = near(text)
         # stretches between long pure ASCII ones are looked at by themselves: there every score is negative
         spans: list[list[int]] = []
         for m in _HIGH.finditer(text):
@@ -260,9 +275,10 @@ def repair(text: str, probable: Probable, rounds: int = 5) -> tuple[str, list[st
     return text, taken
 
 
-def repaired(docs: DataFrame, key: str = "doc_id", text: str = "text", min_pairs: int = 2) -> DataFrame:
+def repaired(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The affected rows: key, the restored text and the mappings that were taken."""
-    rows = [tuple(r) for r in pair_counts(docs, text).where(F.col("n") >= min_pairs).collect()]
+    # pairs that stand once score as unseen; the rest is a table of an alphabet
+    rows = [tuple(r) for r in pair_counts(docs, text).where((F.col("n") > 1) | (F.col("b") == "")).collect()]
     shared = docs.sparkSession.sparkContext.broadcast(Probable(rows))
     kind = docs.schema[key].dataType.simpleString()
 

@@ -490,3 +490,17 @@ def test_garbled(spark):
     out = {r.doc_id: r.restored for r in mojibake.repaired(docs).collect()}
     assert set(out) == set(bad)
     assert sum(out[k] == v[1] for k, v in bad.items()) >= len(bad) - 1
+
+
+def test_pairs_of_far_characters_are_few(spark):
+    # every ideograph of a block is another character, but not another pair
+    text = "".join(chr(c) for c in range(0x4E00, 0x9FFF))
+    rows = mojibake.pair_counts(spark.createDataFrame([(1, text), (2, text[::-1])], "doc_id long, text string")).collect()
+    assert len(rows) < 1000 and sum(r.n for r in rows if r.b == "") == 2 * len(text)
+    assert mojibake.near("aé漢–字") == "aé" + chr(ord("漢") & ~0x7F) + "–" + chr(ord("字") & ~0x7F)
+
+
+def test_garbled_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, many = (sorted(map(tuple, mojibake.repaired(docs.repartition(n)).collect())) for n in (1, 16))
+    assert one == many and one
