@@ -6,7 +6,9 @@ right, until no pair has a rank. Ranks and ids come from one literal map, an arr
 does not depend on the vocabulary's size. Distinct pieces are folded once: pieces that the vocabulary holds whole are in
 the piece dictionary from the start, and the most frequent other pieces of the corpus are counted, folded and added to
 it, up to DICTIONARY_ROWS entries. A piece outside the dictionary is folded where it stands, so the bound changes the
-time, never the result. No Python runs on the executors and no text is shuffled.
+time, never the result. The fold's time grows with the square of a piece's length, so the rare texts that may hold a
+piece of LONG_PIECE characters or more (a blob without spaces) have their pieces merged by a heap over positions, in
+Arrow batches, with the same ids. No text is shuffled.
 
 Defined cases: a null, empty text gives an empty list of ids; a blank text is encoded like any other; strings that look
 like special tokens are ordinary text; repeated rows each give their row; an empty table gives an empty result.
@@ -15,9 +17,13 @@ like special tokens are ordinary text; repeated rows each give their row; an emp
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import os
+from collections.abc import Iterator
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,7 @@ TOKENIZER_DIR = os.environ.get("LOOMWORK_TOKENIZERS", "/opt/tokenizers")
 BUCKETS = 1 << 15
 #: Most entries of the piece dictionary that come from the corpus; about 100 bytes each.
 DICTIONARY_ROWS = 150_000
+LONG_PIECE = 500
 #: The pattern is the tokenizer's own; (?U) gives \s its Unicode meaning, as in the tokenizer.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OPEN, CLOSE = "Ā", "ā"  # outside of the byte characters
@@ -96,6 +103,49 @@ def _with(df: DataFrame, columns: dict[str, Column], **tables: DataFrame) -> Dat
     return df.select("*", *[t.scalar().alias(name) for name, t in tables.items()]).select(*kept, *[v.alias(k) for k, v in columns.items()])
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece: the pair of lowest rank first, from left to right. Parts are a linked list, pairs a heap."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a place
+    alive = [True] * n
+
+    def pair(i: int) -> tuple[int, int, int] | None:
+        j = end[i]
+        if j >= n:
+            return None
+        rank = ranks.get(piece[i : end[j]])
+        return None if rank is None else (rank, i, end[j])
+
+    heap = [x for i in range(n) if (x := pair(i))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        # a pair is stale if one of its parts was merged
+        if not alive[i] or end[i] >= n or end[end[i]] != stop:
+            continue
+        alive[end[i]] = False
+        end[i] = stop
+        if stop < n:
+            before[stop] = i
+        for k in (i, before[i]):
+            if k >= 0 and (x := pair(k)):
+                heapq.heappush(heap, x)
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def heaped(spark: SparkSession, ranks: dict[bytes, int]):
+    """A pandas UDF: the ids of texts, by `merged`; null for null."""
+    shared = spark.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pattern = regex.compile(PATTERN.removeprefix("(?U)"))
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else [i for p in pattern.findall(t) for i in merged(p.encode(), shared.value)])
+
+    return ids
+
+
 def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """(key, id): each token as a string of byte characters. Read from one JSON literal, on the executors."""
     literal = json.dumps([{"key": token.decode("latin-1"), "id": rank} for token, rank in ranks.items()])
@@ -107,9 +157,12 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), 0)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids", dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids", dictionary_rows: int = DICTIONARY_ROWS, long_piece: int = LONG_PIECE) -> DataFrame:
     """`docs` with a column `out` of token ids. Other columns pass through."""
     spark = docs.sparkSession
+    # more than a piece that long needs: any run without a change between white space and others
+    long = F.coalesce(F.col(text).rlike(rf"(?U)\S{{{long_piece}}}|\s{{{long_piece}}}"), F.lit(False))
+    docs = docs.withColumn("__heaped", heaped(spark, ranks)(F.when(long, F.col(text))))
     table = rank_table(spark, ranks)
     by_rank = _bucketed(table, "id")
     # tokens that are whole pieces of valid UTF-8 need no fold: a piece in the vocabulary is its own token
@@ -122,7 +175,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     literal = json.dumps([{"key": k, "ids": [v]} for k, v in readable.items()])
     whole = spark.createDataFrame([(literal,)], "j string").select(F.explode(F.from_json("j", "array<struct<key:string,ids:array<int>>>")).alias("e")).select("e.key", "e.ids")
     known = _bucketed(whole, "ids")
-    source = docs.select(F.col(text).alias("t")).where(F.col("t") != "")
+    source = docs.where(~long).select(F.col(text).alias("t")).where(F.col("t") != "")
     missing = _let(F.col("_known"), lambda k: F.array_distinct(F.filter(pieces(F.col("t")), lambda p: _find(k, p).isNull())))
     unknown = _with(source, {"keys": missing}, _known=known).select(F.explode("keys").alias("key"))
     frequent = unknown.groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(dictionary_rows)
@@ -130,8 +183,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     folded = _with(spread, {"ids": _let(F.col("_ranks"), lambda r: fold(F.col("key"), r))}, _ranks=by_rank)
     dictionary = _bucketed(whole.unionByName(folded), "ids")
     ids = _let(F.col("_pieces"), lambda d: _let(F.col("_ranks"), lambda r: F.flatten(F.transform(pieces(F.col(text)), lambda p: F.coalesce(_find(d, p), fold(p, r))))))
-    value = F.when(F.col(text).isNull() | (F.col(text) == ""), F.array().cast("array<int>")).otherwise(ids)
-    return _with(docs, {out: value}, _pieces=dictionary, _ranks=by_rank)
+    value = F.when(F.col(text).isNull() | (F.col(text) == ""), F.array().cast("array<int>")).when(F.col("__heaped").isNotNull(), F.col("__heaped")).otherwise(ids)
+    return _with(docs, {out: value}, _pieces=dictionary, _ranks=by_rank).drop("__heaped")
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "text") -> DataFrame:

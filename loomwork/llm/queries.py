@@ -97,6 +97,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(docs, encode.read_ranks(RANKS)).select("doc_id", "ids")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their ids; null texts come back empty."""
+    ranks = encode.read_ranks(RANKS)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode.decode(encode.encode(docs, ranks).drop("text"), ranks).select("doc_id", "text")
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # counts are used for sizes, bins and ranks; without the texts they are small
@@ -177,4 +184,4 @@ PLAN_SQL = """WITH t AS (SELECT source, sum(target_share) AS s, min(max_repeats)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_stats": _stats_sql(), "p6_chars": _chars_sql(), "p9_plan": PLAN_SQL}
+    return {"p2_stats": _stats_sql(), "p6_chars": _chars_sql(), "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents", "p9_plan": PLAN_SQL}

@@ -423,6 +423,25 @@ def test_encode_and_decode(spark):
     assert {r.id: r.ids for r in encode.encode(docs, RANKS, dictionary_rows=0).collect()} == {r.id: r.ids for r in out}
 
 
+@given(st.text(alphabet="abcdefghijklmnopqrstuvwxyzéß漢", max_size=400))
+@settings(max_examples=200, deadline=None)
+def test_heap_merges_like_the_tokenizer(text):
+    # letters are one piece
+    assert encode.merged(text.encode(), RANKS) == _reference().encode_ordinary(text)
+
+
+def test_long_pieces(spark):
+    random.seed(8)
+    blobs = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=16_000)), "ab" * 4000 + " and words", "=" * 1200, " " * 900 + "x", None, "", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(blobs)), "id long, text string")
+    enc = _reference()
+    out = {r.id: r.ids for r in encode.encode(docs, RANKS).collect()}
+    assert all(out[i] == (enc.encode_ordinary(t) if t else []) for i, t in enumerate(blobs))
+    # the fold gives the same for a piece of either length
+    short = spark.createDataFrame([(1, blobs[0][:300] + " " + "=" * 90)], "id long, text string")
+    assert encode.encode(short, RANKS, long_piece=50).first().ids == encode.encode(short, RANKS).first().ids
+
+
 # ---- languages
 
 SAY = {
