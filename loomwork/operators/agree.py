@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,6 +20,70 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s%.\-]", " "), r"\s+", " "))
 
 
+def plain(text: Column) -> Column:
+    """The canonical form without blanks and stops at its ends."""
+    return F.trim(canonical(text), F.lit(" ."))
+
+
+def supported(fact: Column, source: Column, least: float = 0.9) -> Column:
+    """Whether a fact stands in a source: its canonical form does, or enough of its key facts do."""
+    mine, theirs = key_facts(fact), key_facts(source)
+    covered = F.coalesce(F.try_divide(F.size(F.array_intersect(mine, theirs)), F.size(mine)), F.lit(0.0)) >= least
+    return F.coalesce(((plain(fact) != "") & F.contains(plain(source), plain(fact))) | ((F.size(mine) > 0) & covered), F.lit(False))
+
+
+def unknown_details(sentence: Column, source: Column) -> Column:
+    """Numbers and, behind the first word, capitalized names of a sentence that its source does not have."""
+    numbers = F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(r"[0-9][0-9.,]*"), 0), lambda n: F.rtrim(n, F.lit(".,"))), lambda n: ~F.contains(source, n))
+    names = F.filter(F.regexp_extract_all(sentence, F.lit(r"[\s(]([A-Z][A-Za-z]+)"), 1), lambda n: ~F.contains(F.lower(source), F.lower(n)))
+    return F.array_distinct(F.concat(numbers, names))
+
+
+def unsupported(stated: DataFrame, sources: DataFrame, key: str, body: str, source: str) -> DataFrame:
+    """(key, stated, unsupported): canonical statements of each key, and those that its source does not hold."""
+    both = stated.join(sources.select(key, source), key, "left")
+    bad = (F.col(body) != "") & ~F.contains(F.coalesce(source, F.lit("")), F.col(body))
+    return both.groupBy(key).agg(F.count(F.lit(1)).alias("stated"), F.count(F.when(bad, 1)).alias("unsupported"))
+
+
+def faults(rows: DataFrame, first: list[tuple[str, Column]], references: dict[str, tuple[str, DataFrame, str]], then: list[tuple[str, Column]] = ()) -> DataFrame:
+    """The rows that break a rule, with `fault`, the first broken one: conditions of `first`, then references
+    (name: column, table, its column) to rows that are not there, then conditions of `then`."""
+    out, tests = rows, list(first)
+    for i, (name, (column, other, its)) in enumerate(references.items()):
+        out = out.join(other.select(F.col(its).alias(column), F.lit(True).alias(f"__r{i}")).distinct(), column, "left")
+        tests.append((name, F.col(f"__r{i}").isNull()))
+    fault = F.coalesce(*[F.when(broken, name) for name, broken in [*tests, *then]])
+    return out.withColumn("fault", fault).where("fault IS NOT NULL").select(*rows.columns, "fault")
+
+
+def canonical_json(text: str) -> Column:
+    """JSON with sorted keys, canonical strings and numbers of four places; null where it is no JSON."""
+
+    def walk(x):
+        if isinstance(x, dict):
+            return {form(k): walk(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [walk(v) for v in x]
+        return form(x) if isinstance(x, str) else round(x, 4) if isinstance(x, float) else x
+
+    def form(s: str) -> str:
+        kept = re.sub(r"[^\w\s%.\-]", " ", unicodedata.normalize("NFKC", s).lower())
+        return " ".join(kept.split()).strip(" .")
+
+    def one(t: str | None) -> str | None:
+        try:
+            return json.dumps(walk(json.loads(t)), sort_keys=True, ensure_ascii=False) if t else None
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def formed(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return formed(F.col(text))
+
+
 def key_facts(text: Column) -> Column:
     return F.array_distinct(F.filter(retrieve.content(text), lambda w: F.length(w) > 1))
 
@@ -62,15 +128,17 @@ def soft_jaccard(a: str, b: str, least: float = 0.6) -> Column:
 
         out = []
         for xs, ys in zip(left, right):
-            xs, free = sorted({x for x in xs if x}) if xs is not None else [], sorted({y for y in ys if y}) if ys is not None else []
+            # the words of each item once
+            mine = [words(x) for x in sorted({x for x in xs if x})] if xs is not None else []
+            free = [words(y) for y in sorted({y for y in ys if y})] if ys is not None else []
             n = len(free)
             hits = 0
-            for x in xs:
-                best = max(((len(words(x) & words(y)) / len(words(x) | words(y)), i) for i, y in enumerate(free) if words(x) | words(y)), key=lambda t: (t[0], -t[1]), default=(0, 0))
+            for a in mine:
+                best = max(((len(a & b) / len(a | b), i) for i, b in enumerate(free) if a | b), key=lambda t: (t[0], -t[1]), default=(0, 0))
                 if best[0] >= least:
                     hits += 1
                     del free[best[1]]
-            out.append(1.0 if not xs and not n else hits / (len(xs) + n - hits))
+            out.append(1.0 if not mine and not n else hits / (len(mine) + n - hits))
         return pd.Series(out, dtype="float64")
 
     return soft(F.col(a), F.col(b))

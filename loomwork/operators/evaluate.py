@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ten equal bins of [0, 1]; the edges are those of a linear grid in binary floating point, so values at 0.3, 0.6 and 0.7
@@ -23,6 +23,17 @@ def errors(rows: DataFrame, conf: str = "conf", correct: str = "correct") -> Dat
     return ece.crossJoin(brier)  # one row each
 
 
+def summary(rows: DataFrame, by: str, means: dict[str, str] = {}, ratios: dict[str, tuple[str, str]] = {}, counts: dict[str, Column] = {}) -> DataFrame:
+    """(by, n, ...): means of columns, sums of one column over sums of another, and counts of rows, for each variant."""
+    total = lambda c: F.sum(F.col(c).cast("double"))
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(F.avg(F.col(c).cast("double")), 4).alias(k) for k, c in means.items()],
+        *[F.round(F.try_divide(total(a), total(b)), 6).alias(k) for k, (a, b) in ratios.items()],
+        *[F.count(F.when(c, 1)).alias(k) for k, c in counts.items()],
+    )
+
+
 def set_scores(rows: DataFrame, key: str, found: str, truth: str) -> DataFrame:
     """(key, precision, recall, f1) of two arrays as sets; 0 where a measure has no base."""
     a, b = F.array_distinct(found), F.array_distinct(truth)

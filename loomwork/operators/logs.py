@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,21 @@ def matching(log: DataFrame, channel: str | None = None, status: str | None = No
     return out
 
 
+def tail(log: DataFrame, newest: int, dropped_steps: tuple[str, ...] = ()) -> DataFrame:
+    """The newest rows of each channel, without the channel of repeated errors and without `dropped_steps`.
+
+    Each task keeps its own newest rows of a channel before any are ranked together.
+    """
+    kept = log.where((F.col("channel") != "errors") & ~F.coalesce("step", F.lit("")).isin(*dropped_steps))
+    order = W.partitionBy("channel").orderBy(F.desc("logged_at"), F.desc("log_id"))
+    return kept.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= newest).drop("__r")
+
+
+def shortened_list(values: Column, most: int = 2000, items: int = 200) -> Column:
+    """At most `items` values of an array of texts, each shortened."""
+    return F.slice(F.transform(values, lambda x: shortened(x, most)), 1, items)
+
+
 def shortened(text: Column, most: int = 2000) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("...[+"), (F.length(text) - most).cast("string"), F.lit(" chars]"))).otherwise(text)
 

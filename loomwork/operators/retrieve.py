@@ -11,6 +11,8 @@ from ..functions import text as T
 #: Words left out of content tokens (fixed values).
 COMMON = "a an and are as at be by for from in is it its of on or that the this to was were with".split()
 K1, B = 1.2, 0.75
+#: Words of sentences about something missing (fixed values).
+GAP = r"\b(few|still|limited|bottleneck|barrier|remains|lack|manual|spreadsheets|whiteboards)\b"
 
 
 def content(text: Column) -> Column:

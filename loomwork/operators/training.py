@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import checkpointed
 
 
@@ -112,3 +113,33 @@ def truncated(prompt: Column, target: Column, room: int, head: int = 256) -> Col
     tail = left - keep
     cut = F.when(F.size(prompt) <= left, prompt).otherwise(F.concat(F.slice(prompt, F.lit(1), keep), F.slice(prompt, F.greatest(F.lit(1), F.size(prompt) - tail + 1), tail)))
     return F.struct(F.concat(cut, goal).alias("ids"), F.concat(F.array_repeat(F.lit(0), F.size(cut)), F.array_repeat(F.lit(1), F.size(goal))).alias("mask"))
+
+
+def section_examples(docs: DataFrame, key: str, text: str = "text", most: int = 3) -> DataFrame:
+    """(key, prompt, target): the first sentences of each text as cited facts, and as the section that is written of them."""
+    first = F.transform(F.slice(T.sentences(F.col(text)), 1, most), lambda s: F.rtrim(s, F.lit(".")))
+    label = lambda i: F.concat(F.lit("[S"), (i + 1).cast("string"), F.lit("]"))
+    facts = F.array_join(F.transform("__s", lambda s, i: F.concat(s, F.lit(". "), label(i))), "\n")
+    target = F.array_join(F.transform("__s", lambda s, i: F.concat(s, F.lit(" "), label(i), F.lit("."))), " ")
+    return docs.select(key, first.alias("__s")).where(F.size("__s") > 0).select(key, F.concat(F.lit("Write a section from these facts:\n"), facts).alias("prompt"), target.alias("target"))
+
+
+def distractors(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key): for each group one row of another group, chosen by the hash of the group's name.
+
+    Rows are numbered in the order of their keys once; the n-th row outside a group is found from its own group's
+    numbers, so groups do not meet all rows.
+    """
+    from .records import numbered
+
+    known = rows.where(F.col(group).isNotNull()).select(group, key)
+    placed = checkpointed(numbered(known, [key], "n"))
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("own"))
+    # one row for each group: which row outside of it
+    wanted = sizes.crossJoin(F.broadcast(total)).where("total > own").select(group, (F.pmod(T.hash32(F.col(group)), F.col("total") - F.col("own")) + 1).alias("at"))
+    # its number is `at` and the own rows before it: own row i stands before it if its number less i is under `at`
+    rank = F.row_number().over(W.partitionBy(group).orderBy("n"))
+    before = placed.withColumn("i", rank).join(wanted, group).where(F.col("n") - F.col("i") < F.col("at")).groupBy(group).agg(F.count(F.lit(1)).alias("before"))
+    number = wanted.join(before, group, "left").select(group, (F.col("at") + F.coalesce("before", F.lit(0))).alias("n"))
+    return number.join(placed.select("n", key), "n").select(group, key)

@@ -1,7 +1,7 @@
 """Every query of the engine on the test tables, by operator group."""
 
 from ..registry import QUERIES, SQL
-from . import agreement, curation, decisions, duplicates, language_model, records, retrieval, websites  # noqa: F401
+from . import agreement, curation, decisions, duplicates, language_model, lists, records, retrieval, websites  # noqa: F401
 
 
 def queries():
