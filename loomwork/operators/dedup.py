@@ -1,9 +1,13 @@
 """Exact and near duplicates: normalized keys, MinHash signatures, banding, and the ordered keep rule.
 
 The keep rule follows input order: a text is dropped if it is near an earlier text that was kept. That is the first
-maximal independent set of the similarity graph in that order, not its connected components, and it is found in rounds:
-every undecided text without an undecided or kept earlier neighbour is kept, every one with a kept earlier neighbour is
-dropped, until none is undecided. Only representatives of exact copies take part, so large groups of copies never meet in a band.
+maximal independent set of the similarity graph in that order, not its connected components. Only representatives of
+exact copies take part, so large groups of copies never meet in a band.
+
+Groups of near copies are not expanded into pairs. In each round a text that is the first undecided one in all of its
+bands is kept, and only those firsts are compared with the other members of their bands, which are dropped if they are
+near: as many comparisons as there are band entries. When the pairs that are left are no more than PAIRS_PER_ENTRY for
+each entry, they are compared, and the rest is decided over these links, again in rounds.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from ..session import checkpointed
 
 PRIME = (1 << 61) - 1
 MASK = (1 << 32) - 1
+#: Pairs of undecided texts for each band entry up to which they are all compared.
+PAIRS_PER_ENTRY = 8
 #: Open edges that the driver walks in order instead of further rounds.
 WALKED = 100_000
 
@@ -81,23 +87,66 @@ def signatures(docs: DataFrame, order: str, text: str = "text", count: int = 128
     return key.select(order, shingle_hashes(F.col("k"), size).alias("h")).mapInPandas(sign, f"{order} {kind}, sig array<bigint>")
 
 
-def near_pairs(signed: DataFrame, order: str, bands: int = 32, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity) with a < b: pairs that share a band and agree in at least `threshold` of their rows.
-
-    Bands are joined on their hash with only the keys; signatures come in for the distinct pairs. With 128 rows, 32 bands
-    and 0.8 no pair is missed: at most 25 rows differ, so at least 7 bands are whole. A hot band is split by AQE.
-    """
+def band_entries(signed: DataFrame, order: str, bands: int = 32) -> DataFrame:
+    """(d, band): a hash for each band of each signature."""
     n = F.size("sig")
     hashed = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", (i * (n / bands)).cast("int") + 1, (n / bands).cast("int"))))
-    buckets = signed.select(F.col(order).alias("d"), F.explode(hashed).alias("band"))
-    left, right = buckets.withColumnRenamed("d", "a"), buckets.withColumnRenamed("d", "b")
-    candidates = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    return signed.select(F.col(order).alias("d"), F.explode(hashed).alias("band"))
+
+
+def verified(candidates: DataFrame, signed: DataFrame, order: str, threshold: float) -> DataFrame:
+    """(a, b, similarity): the candidate pairs that agree in at least `threshold` of their rows."""
     sig = signed.select(F.col(order).alias("__d"), "sig")
     both = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return both.select("a", "b", (same / F.size("sa")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def near_pairs(signed: DataFrame, order: str, bands: int = 32, threshold: float = 0.8, other: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity): pairs that share a band and agree in at least `threshold` of their rows: a < b within `signed`,
+    or a of `other` and b of `signed`.
+
+    Bands are joined on their hash with only the keys; signatures come in for the distinct pairs. With 128 rows, 32 bands
+    and 0.8 no pair is missed: at most 25 rows differ, so at least 7 bands are whole. A hot band is split by AQE. The
+    result has a row for every link; `keep_near` decides without them.
+    """
+    entries = band_entries(signed, order, bands)
+    left = (entries if other is None else band_entries(other, order, bands)).withColumnRenamed("d", "a")
+    candidates = left.join(entries.withColumnRenamed("d", "b"), "band").select("a", "b").distinct()
+    if other is None:
+        return verified(candidates.where("a < b"), signed, order, threshold)
+    return verified(candidates, signed.select(order, "sig").unionByName(other.select(order, "sig")), order, threshold)
+
+
+def keep_near(signed: DataFrame, order: str, bands: int = 32, threshold: float = 0.8, pairs_per_entry: float = PAIRS_PER_ENTRY) -> DataFrame:
+    """(d, near): the dropped side of the ordered keep rule, with its smallest kept neighbour."""
+    entries = band_entries(signed, order, bands)
+    shared = entries.join(entries.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band"), "band", "left_semi")
+    live = all_entries = checkpointed(shared)
+    kept: DataFrame | None = None
+    while True:
+        sizes = live.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("d").alias("first"))
+        entries_left, pairs_left = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
+        if pairs_left <= pairs_per_entry * entries_left:
+            break
+        firsts = live.join(sizes.select("band", "first"), "band")
+        heads = checkpointed(firsts.groupBy("d").agg(F.min(F.col("d") == F.col("first")).alias("is")).where("is").select("d"))
+        of_heads = firsts.where("d <> first").join(heads.withColumnRenamed("d", "first"), "first", "left_semi")
+        gone = verified(of_heads.select(F.col("first").alias("a"), F.col("d").alias("b")).distinct(), signed, order, threshold).select(F.col("b").alias("d")).distinct()
+        kept = heads if kept is None else checkpointed(kept.unionByName(heads))
+        live = checkpointed(live.join(heads.unionByName(gone), "d", "left_anti"))
+    open_ids = live.select("d").distinct()
+    rest = keep_first(near_pairs(signed.join(open_ids.withColumnRenamed("d", order), order, "left_semi"), order, bands, threshold))
+    if kept is None:
+        return rest
+    # what was never dropped is kept; a dropped text's neighbours are its kept band members
+    kept = checkpointed(kept.unionByName(open_ids.join(rest, "d", "left_anti")))
+    dropped = all_entries.join(kept, "d", "left_anti")
+    holders = all_entries.join(kept, "d", "left_semi").withColumnRenamed("d", "a")
+    candidates = holders.join(dropped.withColumnRenamed("d", "b"), "band").where("a < b").select("a", "b").distinct()
+    return verified(candidates, signed, order, threshold).groupBy(F.col("b").alias("d")).agg(F.min("a").alias("near"))
+
+
 def _walk(open_edges: DataFrame) -> list:
     """The texts with later neighbours that the ordered keep rule keeps, by a walk in key order on the driver."""
     rows = open_edges.orderBy("b").collect()
@@ -144,8 +193,8 @@ def near(docs: DataFrame, order: str, text: str = "text", source: str = "source"
     """(order, label, first): kept, exact_dup(_cross) or near_dup(_cross) for every row, with the row it repeats."""
     labels = exact(docs, order, text, source)
     firsts = docs.join(labels.where("label = 'kept'").select(order), order, "left_semi")
-    pairs = near_pairs(signatures(firsts, order, text, settings.get("count", 128), settings.get("size", 5), settings.get("seed", 1234)), order, settings.get("bands", 32), settings.get("threshold", 0.8))
-    dropped = keep_first(pairs).withColumnRenamed("d", order)
+    signed = checkpointed(signatures(firsts, order, text, settings.get("count", 128), settings.get("size", 5), settings.get("seed", 1234)))
+    dropped = keep_near(signed, order, settings.get("bands", 32), settings.get("threshold", 0.8)).withColumnRenamed("d", order)
     mine = docs.select(order, source).join(labels, order).join(dropped, order, "left")
     theirs = docs.select(F.col(order).alias("near"), F.col(source).alias("__s"))
     both = mine.join(theirs, "near", "left")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import decontam, dedup
 from ..registry import query
-from ..session import spread, table
+from ..session import checkpointed, spread, table
 
 _KEY = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"
 _EXACT = rf"""keyed AS (SELECT id, source, text, md5({_KEY}) AS key FROM docs),
@@ -50,28 +50,32 @@ cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.ban
 pairs AS (SELECT a, b, count(*) FILTER (s.v = t.v) / 128 AS similarity FROM cand JOIN sig s ON s.id = a JOIN sig t ON t.id = b AND t.i = s.i GROUP BY a, b HAVING count(*) FILTER (s.v = t.v) / 128 >= 0.8)"""
 
 
-def _pairs(spark, sf_dir):
+def _signed(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "docs").select("id", "text", "source"))
     firsts = docs.join(dedup.exact(docs, "id").where("label = 'kept'").select("id"), "id", "left_semi")
-    return dedup.near_pairs(dedup.signatures(firsts, "id"), "id")
+    return checkpointed(dedup.signatures(firsts, "id"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def near_pairs(spark, sf_dir):
     """Pairs between representatives of exact copies; exact_dedup has the membership."""
-    return _pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+    return dedup.near_pairs(_signed(spark, sf_dir), "id").withColumn("similarity", F.round("similarity", 6))
 
 
 # the walk in input order, which the rounds must agree with
-@query(f"""WITH RECURSIVE {_PAIRS}, nodes AS (SELECT d, row_number() OVER (ORDER BY d) AS n, list_filter(list(nb), lambda x: x IS NOT NULL) AS nbs FROM (SELECT b AS d, a AS nb FROM pairs UNION ALL SELECT a, NULL FROM pairs) GROUP BY d),
+_WALK = f"""WITH RECURSIVE {_PAIRS}, nodes AS (SELECT d, row_number() OVER (ORDER BY d) AS n, list_filter(list(nb), lambda x: x IS NOT NULL) AS nbs FROM (SELECT b AS d, a AS nb FROM pairs UNION ALL SELECT a, NULL FROM pairs) GROUP BY d),
 walk(n, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT w.n + 1, CASE WHEN list_has_any(w.kept, x.nbs) THEN w.kept ELSE list_append(w.kept, x.d) END FROM walk w JOIN nodes x ON x.n = w.n + 1),
-last AS (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)
-SELECT d AS id, list_min(list_intersect(nbs, kept)) AS near FROM nodes, last WHERE NOT list_contains(kept, d)""")
+last AS (SELECT kept FROM walk ORDER BY n DESC LIMIT 1),
+gone AS (SELECT d AS id, list_min(list_intersect(nbs, kept)) AS near FROM nodes, last WHERE NOT list_contains(kept, d))"""
+
+
+@query(f"{_WALK} SELECT id, near FROM gone")
 def near_dup_dropped(spark, sf_dir):
-    return dedup.keep_first(_pairs(spark, sf_dir)).select(F.col("d").alias("id"), "near")
+    return dedup.keep_near(_signed(spark, sf_dir), "id").select(F.col("d").alias("id"), "near")
 
 
-@query()
+@query(f"""{_WALK} SELECT l.id, CASE WHEN g.near IS NULL THEN l.label WHEN n.source IS NOT DISTINCT FROM l.source THEN 'near_dup' ELSE 'near_dup_cross' END AS label, coalesce(g.near, l.first) AS first
+FROM labels l LEFT JOIN gone g ON g.id = l.id LEFT JOIN docs n ON n.id = g.near""")
 def near_dedup(spark, sf_dir):
     return dedup.near(spread(table(spark, sf_dir, "docs").select("id", "text", "source")), "id")
 

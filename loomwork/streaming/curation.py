@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Curation
 from ..operators import curate, dedup
+from ..session import checkpointed
 
 
 def cleaned(stream: DataFrame, key: str, c: Curation = Curation()) -> DataFrame:
@@ -30,15 +31,16 @@ def event_counts(stream: DataFrame, time: str = "logged_at", delay: str = "2 hou
 def near_duplicates(batch: DataFrame, index_path: str, order: str, threshold: float = 0.8) -> DataFrame:
     """For foreachBatch: rows of a batch that are near no row of the stored index or each other; they are then added to it."""
     spark = batch.sparkSession
-    signed = dedup.signatures(batch, order)
+    signed = checkpointed(dedup.signatures(batch, order))
     try:
         stored = spark.read.parquet(index_path)
     except Exception as error:  # the first batch has no index yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
         stored = signed.limit(0)
-    pairs = dedup.near_pairs(stored.unionByName(signed), order, threshold=threshold)
-    dropped = dedup.keep_first(pairs).select(F.col("d").alias(order))
-    fresh = signed.join(dropped, order, "left_anti")
-    fresh.write.mode("append").parquet(index_path)
+    # what is stored came earlier, whatever its key; only the batch is paired with itself
+    known = dedup.near_pairs(signed, order, threshold=threshold, other=stored).select(F.col("b").alias(order)).distinct()
+    new = checkpointed(signed.join(known, order, "left_anti"))
+    dropped = checkpointed(known.unionByName(dedup.keep_near(new, order, threshold=threshold).select(F.col("d").alias(order))))
+    new.join(dropped, order, "left_anti").write.mode("append").parquet(index_path)
     return batch.join(dropped, order, "left_anti")

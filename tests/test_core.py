@@ -264,3 +264,53 @@ def test_funnel_repairs_tells_languages_and_rates_perplexity(spark):
         step = dict(funnel.curate_steps(texts, texts.limit(0), config.Curation(max_perplexity=most, max_ngram_ratio=1.0)))["quality"]
         out = {r.doc_id: r.reason for r in step(texts).collect()}
         assert out["odd"] == reason and out["k1"] == "kept"
+
+
+def _edges(signed, order):
+    rows = {r[order]: r.sig for r in signed.collect()}
+    return {(a, b) for a in rows for b in rows if a < b and sum(x == y for x, y in zip(rows[a], rows[b])) / len(rows[a]) >= 0.8}
+
+
+def test_keep_near_like_the_walk(spark):
+    import random
+
+    random.seed(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(60):
+        base = random.Random(i // 12).choices(words, k=60)
+        for _ in range(random.choice([0, 1, 2, 6])):
+            base[random.randrange(60)] = random.choice(words)
+        texts.append((i, " ".join(base)))
+    signed = dedup.signatures(spark.createDataFrame(texts, "id long, text string"), "id")
+    edges = _edges(signed, "id")
+    kept, near = [], {}
+    for i in range(60):
+        mine = [a for a in kept if (a, i) in edges]
+        if mine:
+            near[i] = min(mine)
+        else:
+            kept.append(i)
+    assert near
+    for most in (0.0, 0.5, 1e9):
+        assert {r.d: r.near for r in dedup.keep_near(signed, "id", pairs_per_entry=most).collect()} == near
+
+
+def test_many_near_copies_stay_linear(spark, monkeypatch):
+    base = " ".join(f"word{i}" for i in range(300))
+    docs = spark.range(0, 5000, 1, 8).selectExpr("id", f"concat('{base} tail', id) AS text")
+    compared = []
+    real = dedup.verified
+    monkeypatch.setattr(dedup, "verified", lambda candidates, *rest: (compared.append(candidates.count()), real(candidates, *rest))[1])
+    dropped = dedup.keep_near(dedup.signatures(docs, "id"), "id").collect()
+    assert len(dropped) > 4900 and sum(compared) < 20 * 5000
+
+
+def test_stream_keeps_what_came_first(spark, tmp_path):
+    a = "the quick brown fox jumps over the lazy dog and runs away from the old farm house in the evening rain"
+    index = str(tmp_path / "index")
+    one = stream.near_duplicates(spark.createDataFrame([(5, a)], "id long, text string"), index, "id")
+    assert [r.id for r in one.collect()] == [5]
+    # a smaller key that comes later is the copy
+    two = stream.near_duplicates(spark.createDataFrame([(1, a + " again"), (2, "some quite different words stand in this other text of the batch")], "id long, text string"), index, "id")
+    assert [r.id for r in two.collect()] == [2]
