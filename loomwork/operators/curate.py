@@ -133,6 +133,9 @@ def reread(text: str) -> Column:
 
 # ---- quality rules
 
+#: One symbol (a fixed value).
+SYMBOLS = r"[#$%&*@^~<>{}\[\]|\\_=+]"
+
 
 def measures(docs: DataFrame, text: str = "text", stop_words: list[str] = T.STOP_WORDS) -> DataFrame:
     """`docs` with one struct `m` of all measures of the quality rules but the n-gram shares."""
@@ -144,7 +147,7 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] = T.STOP
     letters = F.aggregate("__w", F.lit(0), lambda a, w: a + F.length(w))
     measured = F.struct(
         F.length(t).alias("chars"),
-        T.share(t, r"[#$%&*@^~<>{}\[\]|\\_=+]").alias("symbol_ratio"),
+        T.share(t, SYMBOLS).alias("symbol_ratio"),
         T.share(t, r"[0-9]").alias("digit_ratio"),
         T.share(t, r"\p{L}").alias("alpha_ratio"),
         F.size("__l").alias("lines"),
@@ -170,34 +173,53 @@ def top_ngrams(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFra
     return grams.select(key, "words", F.aggregate("g", start, step)["top"].cast("long").alias("top")).where("top > 2")
 
 
-def quality_reason(docs: DataFrame, key: str, text: str = "text", c: Curation = Curation()) -> DataFrame:
-    """(key, reason): the first failing rule, or "kept". The dear n-gram rules run only on rows that pass the cheap ones."""
-    m = measures(docs.select(key, text), text)
-    early = (
-        F.when(F.col("m.chars") < c.min_chars, "too_short")
-        .when(F.col("m.chars") > c.max_chars, "too_long")
-        .when(F.col("m.symbol_ratio") > c.max_symbol_ratio, "symbol_ratio")
-        .when(F.col("m.digit_ratio") > c.max_digit_ratio, "digit_ratio")
-        .when(F.col("m.alpha_ratio") < c.min_alpha_ratio, "low_alpha")
-        .when((F.col("m.lines") >= 3) & (F.col("m.dup_lines") > c.max_dup_line_ratio), "dup_lines")
-        .when(F.col("m.words") < c.min_words, "too_few_words")
-    )
-    late = F.when(F.col("m.stop_share") < c.min_stop_share, "no_stopwords").when((F.col("m.word_length") < c.min_word_length) | (F.col("m.word_length") > c.max_word_length), "word_length").otherwise("kept")
-    t = F.col(text)
+def reason_of(text: Column, c: Curation = Curation()) -> Column:
+    """The first failing rule of a text, or "kept"; row-local. The dear n-gram rules run only on rows that pass the cheap
+    ones, and measures are computed when a rule asks for them."""
+    t = F.coalesce(text, F.lit(""))
 
-    def repeats(n: int) -> Column:
-        grams = F.sort_array(T.ngrams(T.tokens(t), n))
+    def top(words: Column, n: int) -> Column:
+        """The largest count of an n-gram."""
         start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
 
         def step(a: Column, g: Column) -> Column:
             run = F.when(a["last"] == g, a["run"] + 1).otherwise(F.lit(1))
             return F.struct(g.alias("last"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
 
-        top = F.aggregate(grams, start, step)["top"]
-        return (top > 2) & (top * n / F.col("m.words") > c.max_ngram_ratio)
+        return F.aggregate(F.sort_array(T.ngrams(words, n)), start, step)["top"]
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        repeats = lambda k: T.let(top(w, k), lambda x: (x > 2) & (x * k / n > c.max_ngram_ratio))
+        stops = F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: x.isin(*T.STOP_WORDS))), n), F.lit(0.0))
+        length = F.coalesce(F.try_divide(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), n), F.lit(0.0))
+        return (
+            F.when(n < c.min_words, "too_few_words")
+            .when(repeats(2), "top_2gram")
+            .when(repeats(3), "top_3gram")
+            .when(stops < c.min_stop_share, "no_stopwords")
+            .when((length < c.min_word_length) | (length > c.max_word_length), "word_length")
+            .otherwise("kept")
+        )
+
+    def repeated_lines(lines: Column) -> Column:
+        return (F.size(lines) >= 3) & (1 - F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)) > c.max_dup_line_ratio)
+
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return (
+        F.when(F.length(t) < c.min_chars, "too_short")
+        .when(F.length(t) > c.max_chars, "too_long")
+        .when(T.share(t, SYMBOLS) > c.max_symbol_ratio, "symbol_ratio")
+        .when(T.share(t, r"[0-9]") > c.max_digit_ratio, "digit_ratio")
+        .when(T.share(t, r"\p{L}") < c.min_alpha_ratio, "low_alpha")
+        .when(T.let(lines, repeated_lines), "dup_lines")
+        .otherwise(T.let(T.tokens(t), of_words))
+    )
 
-    reason = F.coalesce(early, F.when(repeats(2), "top_2gram").when(repeats(3), "top_3gram"), late)
-    return m.select(key, reason.alias("reason"))
+
+def quality_reason(docs: DataFrame, key: str, text: str = "text", c: Curation = Curation()) -> DataFrame:
+    """(key, reason) of every row."""
+    return docs.select(key, reason_of(F.col(text), c).alias("reason"))
 
 
 # ---- masking by pattern

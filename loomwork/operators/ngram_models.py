@@ -6,8 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,29 +26,49 @@ def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_languages(docs: DataFrame, model: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, lang, score): log-likelihood of each text under each language.
+STOP_BONUS = 3.0
+#: The language of a text in which nothing tells one.
+PREFERRED = "en"
 
-    A text's trigrams are counted before they meet the model. Unseen trigrams add the same constant per language, so the
-    join is by trigram only, with seen ones as differences from that constant.
+
+def score_languages(docs: DataFrame, model: DataFrame, key: str, text: str = "text", stops: DataFrame | None = None) -> DataFrame:
+    """(key, scores): each language of the model with the log-likelihood of the text, and STOP_BONUS for each of its words
+    in `stops` (lang, word; a table of settings).
+
+    The model becomes one row for a trigram with the gains of all languages over unseen trigrams, so the join does not
+    multiply rows, and a text's sums are combined before they are shuffled.
     """
-    totals = model.groupBy("lang").agg(F.sum("n").alias("total"))
-    size = model.select("gram").distinct().agg((F.count(F.lit(1)) + 1).alias("v"))
-    # one row for each language
-    base = totals.crossJoin(size).withColumn("floor", F.ln(F.lit(ALPHA)) - F.ln(F.col("total") + ALPHA * F.col("v")))
-    gain = model.select("lang", "gram", (F.ln(F.col("n") + ALPHA) - math.log(ALPHA)).alias("gain"))
-    grams = docs.select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    gains = grams.join(gain, "gram").groupBy(key, "lang").agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
-    lengths = docs.select(key, F.coalesce(F.size(trigrams(F.col(text))), F.lit(0)).alias("len"))
-    every = lengths.crossJoin(F.broadcast(base))
-    return every.join(gains, [key, "lang"], "left").select(key, "lang", (F.col("len") * F.col("floor") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    totals = model.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()
+    size = model.select("gram").distinct().count() + 1
+    if not totals:
+        return docs.select(key, F.array().cast("array<struct<lang:string,score:double>>").alias("scores"))
+    langs = [r.lang for r in totals]
+    floors = [math.log(ALPHA) - math.log(r.total + ALPHA * size) for r in totals]
+    gains = model.groupBy("gram").pivot("lang", langs).agg(F.first(F.ln(F.col("n") + ALPHA) - math.log(ALPHA)))
+    names = [f"__g{i}" for i in range(len(langs))]
+    grams = docs.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
+    sums = grams.join(gains.toDF("gram", *names), "gram").groupBy(key).agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0), F.array().cast("array<string>"))
+    counted = docs.select(key, words.alias("__w")).select(key, "__w", F.aggregate("__w", F.lit(0), lambda n, w: n + F.length(w)).alias("__len"))
+    if stops is not None:
+        lists: dict[str, list[str]] = {}
+        for r in stops.where(F.col("lang").isin(*langs)).select("lang", "word").distinct().collect():
+            lists.setdefault(r.lang, []).append(r.word)
+        hits = lambda ws: F.size(F.filter("__w", lambda w: w.isin(*ws)))
+        bonus = [STOP_BONUS * hits(sorted(lists[x])) if x in lists else F.lit(0.0) for x in langs]
+    else:
+        bonus = [F.lit(0.0)] * len(langs)
+    lengths = counted.select(key, "__len", *[b.alias(f"__b{i}") for i, b in enumerate(bonus)])
+    score = lambda i: F.col("__len") * floors[i] + F.coalesce(F.col(names[i]), F.lit(0.0)) + F.col(f"__b{i}")
+    return lengths.join(sums, key, "left").select(key, F.array(*[F.struct(F.lit(x).alias("lang"), score(i).alias("score")) for i, x in enumerate(langs)]).alias("scores"))
 
 
 def predict_languages(scores: DataFrame, key: str) -> DataFrame:
-    """(key, lang, p): the best language, ties by name, and its posterior."""
-    best = scores.groupBy(key).agg(F.max("score").alias("top"), F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("b"))
-    both = scores.join(best, key).groupBy(key).agg(F.first("b.lang").alias("lang"), F.sum(F.exp(F.greatest(F.lit(-50.0), F.col("score") - F.col("top")))).alias("z"))
-    return both.select(key, "lang", (1 / F.col("z")).alias("p"))
+    """(key, lang, p): the best language, ties to PREFERRED and then by name, and its posterior."""
+    best = F.array_min(F.transform("scores", lambda x: F.struct((-x["score"]).alias("s"), (x["lang"] != PREFERRED).alias("o"), x["lang"].alias("lang"))))
+    top = scores.select(key, "scores", best.alias("__b"))
+    z = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(F.greatest(F.lit(-50.0), x["score"] + F.col("__b.s"))))
+    return top.where(F.col("__b").isNotNull()).select(key, F.col("__b.lang").alias("lang"), (1 / z).alias("p"))
 
 
 # ---- trigram model
@@ -65,19 +84,45 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = 50_000) -> DataF
 
 
 def windows(docs: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, u, v, w): every token with the two before it; words outside of the vocabulary are <unk>."""
-    toks = docs.where(F.length(text) > 0).select(key, F.posexplode(F.concat(model_tokens(F.col(text)), F.array(F.lit("</s>")))).alias("i", "raw"))
-    known = toks.join(vocab.select(F.col("w").alias("raw"), F.lit(True).alias("in")), "raw", "left").select(key, "i", F.when(F.col("in") | (F.col("raw") == "</s>"), F.col("raw")).otherwise("<unk>").alias("w"))
-    order = W.partitionBy(key).orderBy("i")
-    return known.select(key, F.coalesce(F.lag("w", 2).over(order), F.lit("<s>")).alias("u"), F.coalesce(F.lag("w", 1).over(order), F.lit("<s>")).alias("v"), "w")
+    """(key, u, v, w): every token with the two before it; words outside of the vocabulary are <unk>.
+
+    Windows are made within the row. The vocabulary has at most the rows of its `size`, so it is sent to the workers, and
+    nothing is shuffled.
+    """
+    padded = F.concat(F.array(F.lit("<s>"), F.lit("<s>")), model_tokens(F.col(text)), F.array(F.lit("</s>")))
+    raw = docs.where(F.length(text) > 0).select(key, padded.alias("t"))
+    each = raw.select(key, F.inline(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.struct(F.get("t", i - 1).alias("u"), F.get("t", i).alias("v"), F.get("t", i + 1).alias("w")))))
+    known = F.broadcast(vocab.select(F.col("w").alias("__k")).unionByName(docs.sparkSession.createDataFrame([("<s>",), ("</s>",)], "__k string")).distinct())
+    for name in ("u", "v", "w"):
+        each = each.join(known, F.col(name) == F.col("__k"), "left").withColumn(name, F.coalesce("__k", F.lit("<unk>"))).drop("__k")
+    return each
+
+
+def reference_slice(passing: DataFrame, sources: tuple[str, ...], source: str = "source") -> DataFrame:
+    """The passing texts of reference sources; all passing texts if there are none of these."""
+    there = passing.where(F.col(source).isin(*sources)) if sources else passing.limit(0)
+    return there if not there.isEmpty() else passing
 
 
 class Trigrams:
-    """The count tables of the model. `hold` may store the two that all others come from."""
+    """The count tables of the model. `hold` may store the two that all others come from; `save` and `load` keep them."""
 
     def __init__(self, docs: DataFrame, key: str, text: str = "text", size: int = 50_000, hold: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.vocab = hold(vocabulary(docs, text, size))
-        self.tri = hold(windows(docs, self.vocab, key, text).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
+        vocab = hold(vocabulary(docs, text, size))
+        self._from(vocab, hold(windows(docs, vocab, key, text).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c"))))
+
+    def save(self, path: str) -> None:
+        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        self.tri.write.mode("overwrite").parquet(f"{path}/tri")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Trigrams:
+        self = cls.__new__(cls)
+        self._from(spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/tri"))
+        return self
+
+    def _from(self, vocab: DataFrame, tri: DataFrame) -> None:
+        self.vocab, self.tri = vocab, tri
         self.context = self.tri.groupBy("u", "v").agg(F.sum("c").alias("ctx"), F.count(F.lit(1)).alias("fol"))
         self.pair = self.tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("cont_vw"))
         self.middle = self.pair.groupBy("v").agg(F.sum("cont_vw").alias("cont_v"), F.count(F.lit(1)).alias("foll_v"))
@@ -87,7 +132,8 @@ class Trigrams:
         """(key, tokens, perplexity) over all tokens of the text and the end."""
         grams = windows(docs, self.vocab, key, text).groupBy(key, "u", "v", "w").agg(F.count(F.lit(1)).alias("k"))
         sizes = self.single.agg(F.sum("cont_w").alias("total")).crossJoin(self.vocab.agg((F.count(F.lit(1)) + 2).alias("vsize")))
-        joined = grams.join(self.tri, ["u", "v", "w"], "left").join(self.context, ["u", "v"], "left").join(self.pair, ["v", "w"], "left").join(self.middle, "v", "left").join(self.single, "w", "left").crossJoin(F.broadcast(sizes))
+        # these have at most a row for each word of the vocabulary, and their keys are the hot ones
+        joined = grams.join(self.tri, ["u", "v", "w"], "left").join(self.context, ["u", "v"], "left").join(self.pair, ["v", "w"], "left").join(F.broadcast(self.middle), "v", "left").join(F.broadcast(self.single), "w", "left").crossJoin(F.broadcast(sizes))
         z = lambda c: F.coalesce(F.col(c), F.lit(0))
         uni = 0.9 * z("cont_w") / F.greatest(F.col("total"), F.lit(1)) + 0.1 / F.col("vsize")
         bi = F.when(z("cont_v") == 0, uni).otherwise(F.try_divide(F.greatest(z("cont_vw") - DISCOUNT, F.lit(0.0)), z("cont_v")) + F.try_divide(DISCOUNT * z("foll_v"), z("cont_v")) * uni)
