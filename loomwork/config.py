@@ -23,6 +23,7 @@ class Curation:
     min_word_length: float = 2.5
     max_word_length: float = 12.0
     max_perplexity: float = 3000.0
+    reference_sources: tuple[str, ...] = ()
     permutations: int = 128
     bands: int = 32
     near_dup: float = 0.8

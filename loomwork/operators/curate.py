@@ -44,8 +44,8 @@ def without_furniture(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """The pattern form of the whole normalization step."""
-    plain = F.when(html_like(text), strip_tags(text)).otherwise(text)
-    return T.tidy(without_furniture(T.tidy(plain)))
+    plain = F.when(F.contains(text, F.lit("<")) & html_like(text), strip_tags(text)).otherwise(text)
+    return T.let(T.tidy(plain), lambda t: T.tidy(without_furniture(t)))
 
 
 class _Main(html.parser.HTMLParser):
@@ -109,28 +109,50 @@ def compatible(text: str) -> Column:
     return formed(F.col(text))
 
 
-def _fix_run(run: str) -> str:
+_GARBLED = re.compile("[ÂÃÅâãð][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
+
+
+def _read_again(text: str) -> str | None:
     for encoding in ("cp1252", "latin-1"):
         try:
-            return run.encode(encoding).decode("utf-8")
+            return text.encode(encoding).decode("utf-8")
         except UnicodeError:
             pass
-    return run
+    return None
 
 
-_GARBLED = re.compile("[ÂÃÅâãð][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
+def reread_text(text: str) -> str:
+    """A text whose UTF-8 bytes were read in a Windows or Latin alphabet, read again: as a whole if that leaves fewer
+    garbled runs, else run by run; runs that do not fit stay."""
+    found = len(_GARBLED.findall(text))
+    if not found:
+        return text
+    whole = _read_again(text)
+    if whole is not None and len(_GARBLED.findall(whole)) < found:
+        return whole
+    return _GARBLED.sub(lambda m: _read_again(m.group()) or m.group(), text)
 
 
 def reread(text: str) -> Column:
-    """Text whose UTF-8 bytes were read in a Windows or Latin alphabet, read again; runs that do not fit stay."""
-
     @F.pandas_udf("string")
     def fixed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _GARBLED.sub(lambda m: _fix_run(m.group()), t))
+        return texts.map(lambda t: None if t is None else reread_text(t))
 
     return fixed(F.col(text))
 
 
+def readable(text: str) -> Column:
+    """The text read again and in compatibility form, in one pass over the texts that are not plain ASCII."""
+
+    @F.pandas_udf("string")
+    def formed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", reread_text(t)))
+
+    t = F.col(text)
+    odd = t.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, formed(F.when(odd, t))).otherwise(t)
+
+
 # ---- quality rules
 
 #: One symbol (a fixed value).

@@ -45,7 +45,11 @@ def exact(docs: DataFrame, order: str, text: str = "text", source: str = "source
     The holder is an aggregate by key that is combined before the shuffle, so a key that many rows share is not sorted in
     one task. Rows with a null text have no key and are kept.
     """
-    keyed = docs.select(order, source, F.md5(text_key(F.col(text))).alias("key"))
+    return exact_keyed(docs.select(order, source, F.md5(text_key(F.col(text))).alias("key")), order, source)
+
+
+def exact_keyed(keyed: DataFrame, order: str, source: str = "source") -> DataFrame:
+    """As exact, for rows (order, source, key)."""
     firsts = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct(order, source)).alias("f"))
     both = keyed.join(firsts, "key", "left")
     label = F.when(F.col("f").isNull() | (F.col(f"f.{order}") == F.col(order)), "kept").when(F.col(f"f.{source}").eqNullSafe(F.col(source)), "exact_dup").otherwise("exact_dup_cross")
@@ -194,9 +198,14 @@ def near(docs: DataFrame, order: str, text: str = "text", source: str = "source"
     labels = exact(docs, order, text, source)
     firsts = docs.join(labels.where("label = 'kept'").select(order), order, "left_semi")
     signed = checkpointed(signatures(firsts, order, text, settings.get("count", 128), settings.get("size", 5), settings.get("seed", 1234)))
-    dropped = keep_near(signed, order, settings.get("bands", 32), settings.get("threshold", 0.8)).withColumnRenamed("d", order)
-    mine = docs.select(order, source).join(labels, order).join(dropped, order, "left")
-    theirs = docs.select(F.col(order).alias("near"), F.col(source).alias("__s"))
+    return labelled(docs.select(order, source), labels, signed, order, source, settings.get("bands", 32), settings.get("threshold", 0.8))
+
+
+def labelled(keys: DataFrame, labels: DataFrame, signed: DataFrame, order: str, source: str, bands: int, threshold: float) -> DataFrame:
+    """As near, from the labels of exact copies and the signatures of the rows that they keep; no texts take part."""
+    dropped = keep_near(signed, order, bands, threshold).withColumnRenamed("d", order)
+    mine = keys.select(order, source).join(labels.select(order, "label", "first"), order).join(dropped, order, "left")
+    theirs = keys.select(F.col(order).alias("near"), F.col(source).alias("__s"))
     both = mine.join(theirs, "near", "left")
     near_label = F.when(F.col("__s").eqNullSafe(F.col(source)), "near_dup").otherwise("near_dup_cross")
     return both.select(order, F.when((F.col("label") == "kept") & F.col("near").isNotNull(), near_label).otherwise(F.col("label")).alias("label"), F.coalesce("near", "first").alias("first"))

@@ -4,8 +4,11 @@ smoothing. Training and scoring are joins and aggregations, so models of any siz
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from ..functions import text as T
 
 ALPHA = 0.5
 DISCOUNT = 0.75
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def trigrams(text: Column) -> Column:
@@ -71,6 +75,64 @@ def predict_languages(scores: DataFrame, key: str) -> DataFrame:
     return top.where(F.col("__b").isNotNull()).select(key, F.col("__b.lang").alias("lang"), (1 / z).alias("p"))
 
 
+#: Trigrams of a model that is sent to the workers, at most; larger ones are joined.
+SENT_GRAMS = 2_000_000
+
+
+class RowScorer:
+    """The language model as tables in memory: a word's gains are summed once and kept."""
+
+    def __init__(self, grams: dict[str, int], gains: np.ndarray, langs: list[str], floors: list[float]):
+        self.grams, self.gains, self.langs, self.floors = grams, gains, langs, np.array(floors)
+        self.order = sorted(range(len(langs)), key=lambda i: (langs[i] != PREFERRED, langs[i]))
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((4096, len(langs)))
+
+    def at(self, word: str) -> int:
+        found = self.index.get(word)
+        if found is None:
+            if len(self.index) > 300_000:
+                self.index.clear()
+            found = self.index[word] = len(self.index)
+            if found >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            padded = f" {word} "
+            known = [g for i in range(len(word)) if (g := self.grams.get(padded[i : i + 3])) is not None]
+            self.rows[found] = self.gains[known].sum(axis=0) + len(word) * self.floors
+        return found
+
+    def language(self, text: str) -> str:
+        words = _LETTERS.findall(text.lower())
+        total = np.zeros(len(self.langs))
+        for start in range(0, len(words), 100_000):
+            total += self.rows[[self.at(w) for w in words[start : start + 100_000]]].sum(axis=0)
+        return self.langs[max(self.order, key=lambda i: total[i])]
+
+
+def language_in_row(model: DataFrame, text: str = "text") -> Column | None:
+    """An expression for the best language of a text, in one pass and without a shuffle; null for a null text. None if the
+    model is empty or has more than SENT_GRAMS trigrams."""
+    totals = model.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()
+    size = model.select("gram").distinct().count()
+    if not totals or size > SENT_GRAMS:
+        return None
+    langs = [r.lang for r in totals]
+    table = model.select("gram", "lang", "n").toPandas()
+    grams = {g: i for i, g in enumerate(sorted(table["gram"].unique()))}
+    gains = np.zeros((len(grams), len(langs)))
+    gains[table["gram"].map(grams).to_numpy(), table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = np.log(table["n"].to_numpy() + ALPHA) - math.log(ALPHA)
+    floors = [math.log(ALPHA) - math.log(r.total + ALPHA * (size + 1)) for r in totals]
+    shared = model.sparkSession.sparkContext.broadcast((grams, gains, langs, floors))
+
+    @F.pandas_udf("string")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = RowScorer(*shared.value)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else scorer.language(t))
+
+    return told(F.col(text))
+
+
 # ---- trigram model
 
 

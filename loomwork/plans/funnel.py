@@ -81,11 +81,54 @@ def curate_steps(docs: DataFrame, items: DataFrame, c: Curation):
 
 
 def curate_all(docs: DataFrame, items: DataFrame, c: Curation = Curation(languages=("en", "de", "fr", "es", "it", "pt", "nl"))) -> Result:
-    now, rows = docs, None
-    for stage, step in curate_steps(docs, items, c):
-        out = checkpointed(step(now.select(*docs.columns)))
-        mine = out.select(F.lit(stage).alias("stage"), "source", "reason", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-        rows = mine if rows is None else rows.unionByName(mine)
-        now = out.where(F.col("reason").startswith("kept"))
-    return Result(now.select(*docs.columns), rows)
-
+    """All stages. Keys (`doc_id`) must be unique and there.
+
+    What a row tells by itself (normalized and masked text, language, quality rule, abusive words) is one projection over
+    the normalized texts. Perplexity, duplicates and overlaps are found from tokens, hashes and signatures and come back as
+    small tables of keys; texts meet the kept keys once, at the end.
+    """
+    t = F.col("text")
+    plain = checkpointed(docs.withColumn("text", curate.readable("text")).withColumn("text", F.coalesce(curate.normalized(t), F.lit(""))))
+    model = checkpointed(ngram_models.train_languages(plain.where("text <> ''")))
+    told = ngram_models.language_in_row(model)
+    if told is None:
+        scored = ngram_models.predict_languages(ngram_models.score_languages(plain, model, "doc_id"), "doc_id").select("doc_id", F.col("lang").alias("__told"))
+        rowed = plain.join(scored, "doc_id", "left")
+    else:
+        rowed = plain.withColumn("__told", F.when(t != "", told))
+    lang = F.coalesce("__told", "lang")
+    right = lang.isNull() | lang.isin(*c.languages)
+    rule = F.when((t != "") & right, curate.reason_of(t, c))
+    rowed = rowed.withColumn("lang", lang).withColumn("__rule", rule).withColumn("__masked", F.when(F.col("__rule") == "kept", curate.masked(t)))
+    rowed = rowed.withColumn("__toxic", F.col("__rule").isNotNull() & (curate.abusive_share(t) > c.max_toxic_share)).withColumn("__key", F.when(F.col("__rule") == "kept", F.md5(dedup.text_key(t))))
+    rowed = checkpointed(rowed)
+
+    passing = rowed.where("__rule = 'kept'")
+    fitted = ngram_models.Trigrams(ngram_models.reference_slice(passing, c.reference_sources), "doc_id", hold=checkpointed)
+    odd = checkpointed(fitted.perplexity(passing, "doc_id").where(F.col("perplexity") > c.max_perplexity).select("doc_id", F.lit(True).alias("__odd")))
+    keys = passing.select("doc_id", "source", F.col("__key").alias("key")).join(odd, "doc_id", "left_anti")
+    labels = checkpointed(dedup.exact_keyed(keys, "doc_id"))
+    signed = dedup.signatures(passing.select("doc_id", "text"), "doc_id", count=c.permutations, size=c.shingle, seed=c.seed)
+    signed = checkpointed(signed.join(labels.where("label = 'kept'").select("doc_id"), "doc_id", "left_semi"))
+    repeated = dedup.labelled(keys, labels, signed, "doc_id", "source", c.bands, c.near_dup).select("doc_id", F.col("label").alias("__label"))
+    hit = decontam.hits(passing.where("NOT __toxic").select("doc_id", F.col("__masked").alias("text")), items, "doc_id", c.decontam_ngram).select("doc_id", F.lit(True).alias("__hit"))
+
+    small = rowed.select("doc_id", "source", "lang", "__rule", "__toxic", F.length("text").alias("__n"), F.length("__masked").alias("__m"), (F.col("__masked") != t).alias("__changed"))
+    verdict = checkpointed(small.join(odd, "doc_id", "left").join(repeated, "doc_id", "left").join(hit, "doc_id", "left"))
+    foreign = F.col("lang").isNotNull() & ~F.col("lang").isin(*c.languages)
+    reasons = {
+        "normalize": F.when(F.col("__n") == 0, "empty_after_normalize").otherwise("kept"),
+        "language": F.when(foreign, F.concat(F.lit("lang_"), "lang")).otherwise("kept"),
+        "quality": F.when(F.col("__odd"), "perplexity").otherwise(F.col("__rule")),
+        "dedup": F.col("__label"),
+        "mask": F.when(F.col("__toxic"), "toxic").when(F.col("__changed"), "kept_scrubbed").otherwise("kept"),
+        "decontaminate": F.when(F.col("__hit"), "benchmark_overlap").otherwise("kept"),
+    }
+    entries, there = [], F.lit(True)
+    for stage, reason in reasons.items():
+        chars = F.col("__m") if stage in ("mask", "decontaminate") else F.col("__n")
+        entries.append(F.when(there, F.struct(F.lit(stage).alias("stage"), "source", reason.alias("reason"), F.coalesce(chars, F.lit(0)).alias("chars"))))
+        there = there & F.coalesce(reason.startswith("kept"), F.lit(False))
+    rows = verdict.select(F.inline(F.array_compact(F.array(*entries))))
+    kept = rowed.where("__rule = 'kept' AND NOT __toxic").withColumn("text", F.col("__masked")).join(verdict.where(there).select("doc_id"), "doc_id", "left_semi")
+    return Result(kept.select(*docs.columns), rows)
