@@ -67,6 +67,14 @@ def score_languages(docs: DataFrame, model: DataFrame, key: str, text: str = "te
     return lengths.join(sums, key, "left").select(key, F.array(*[F.struct(F.lit(x).alias("lang"), score(i).alias("score")) for i, x in enumerate(langs)]).alias("scores"))
 
 
+def told_languages(docs: DataFrame, model: DataFrame, key: str, text: str = "text", stops: DataFrame | None = None) -> DataFrame:
+    """(key, lang, p) of each row: in the row if the model is small enough, else by joins; the same either way."""
+    told = language_in_row(model, text, stops)
+    if told is None:
+        return predict_languages(score_languages(docs, model, key, text, stops), key)
+    return docs.select(key, told.alias("__t")).select(key, "__t.lang", "__t.p")
+
+
 def predict_languages(scores: DataFrame, key: str) -> DataFrame:
     """(key, lang, p): the best language, ties to PREFERRED and then by name, and its posterior."""
     best = F.array_min(F.transform("scores", lambda x: F.struct((-x["score"]).alias("s"), (x["lang"] != PREFERRED).alias("o"), x["lang"].alias("lang"))))
@@ -82,8 +90,8 @@ SENT_GRAMS = 2_000_000
 class RowScorer:
     """The language model as tables in memory: a word's gains are summed once and kept."""
 
-    def __init__(self, grams: dict[str, int], gains: np.ndarray, langs: list[str], floors: list[float]):
-        self.grams, self.gains, self.langs, self.floors = grams, gains, langs, np.array(floors)
+    def __init__(self, grams: dict[str, int], gains: np.ndarray, langs: list[str], floors: list[float], stops: dict[str, list[int]]):
+        self.grams, self.gains, self.langs, self.floors, self.stops = grams, gains, langs, np.array(floors), stops
         self.order = sorted(range(len(langs)), key=lambda i: (langs[i] != PREFERRED, langs[i]))
         self.index: dict[str, int] = {}
         self.rows = np.zeros((4096, len(langs)))
@@ -99,19 +107,21 @@ class RowScorer:
             padded = f" {word} "
             known = [g for i in range(len(word)) if (g := self.grams.get(padded[i : i + 3])) is not None]
             self.rows[found] = self.gains[known].sum(axis=0) + len(word) * self.floors
+            self.rows[found, self.stops.get(word, [])] += STOP_BONUS
         return found
 
-    def language(self, text: str) -> str:
+    def language(self, text: str) -> tuple[str, float]:
         words = _LETTERS.findall(text.lower())
         total = np.zeros(len(self.langs))
         for start in range(0, len(words), 100_000):
             total += self.rows[[self.at(w) for w in words[start : start + 100_000]]].sum(axis=0)
-        return self.langs[max(self.order, key=lambda i: total[i])]
+        best = max(self.order, key=lambda i: total[i])
+        return self.langs[best], float(1 / np.exp(np.maximum(-50.0, total - total[best])).sum())
 
 
-def language_in_row(model: DataFrame, text: str = "text") -> Column | None:
-    """An expression for the best language of a text, in one pass and without a shuffle; null for a null text. None if the
-    model is empty or has more than SENT_GRAMS trigrams."""
+def language_in_row(model: DataFrame, text: str = "text", stops: DataFrame | None = None) -> Column | None:
+    """An expression for (lang, p) as score_languages and predict_languages give them, in one pass and without a shuffle;
+    a null text counts as an empty one. None if the model is empty or has more than SENT_GRAMS trigrams."""
     totals = model.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()
     size = model.select("gram").distinct().count()
     if not totals or size > SENT_GRAMS:
@@ -122,13 +132,17 @@ def language_in_row(model: DataFrame, text: str = "text") -> Column | None:
     gains = np.zeros((len(grams), len(langs)))
     gains[table["gram"].map(grams).to_numpy(), table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = np.log(table["n"].to_numpy() + ALPHA) - math.log(ALPHA)
     floors = [math.log(ALPHA) - math.log(r.total + ALPHA * (size + 1)) for r in totals]
-    shared = model.sparkSession.sparkContext.broadcast((grams, gains, langs, floors))
+    lists: dict[str, list[int]] = {}
+    if stops is not None:
+        for r in stops.where(F.col("lang").isin(*langs) & F.col("word").isNotNull()).select("lang", "word").distinct().collect():
+            lists.setdefault(r.word, []).append(langs.index(r.lang))
+    shared = model.sparkSession.sparkContext.broadcast((grams, gains, langs, floors, lists))
 
-    @F.pandas_udf("string")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("lang string, p double")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = RowScorer(*shared.value)
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else scorer.language(t))
+            yield pd.DataFrame([scorer.language(t or "") for t in texts], columns=["lang", "p"])
 
     return told(F.col(text))
 

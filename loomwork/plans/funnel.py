@@ -95,7 +95,7 @@ def curate_all(docs: DataFrame, items: DataFrame, c: Curation = Curation(languag
         scored = ngram_models.predict_languages(ngram_models.score_languages(plain, model, "doc_id"), "doc_id").select("doc_id", F.col("lang").alias("__told"))
         rowed = plain.join(scored, "doc_id", "left")
     else:
-        rowed = plain.withColumn("__told", F.when(t != "", told))
+        rowed = plain.withColumn("__told", F.when(t != "", told["lang"]))
     lang = F.coalesce("__told", "lang")
     right = lang.isNull() | lang.isin(*c.languages)
     rule = F.when((t != "") & right, curate.reason_of(t, c))

@@ -6,7 +6,7 @@ from ..functions import text as T
 from ..operators import curate as C
 from ..plans import funnel
 from ..registry import query
-from ..session import spread, table
+from ..session import table, texts
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 BAD = ", ".join(f"'{w}'" for w in C.ABUSIVE)
@@ -37,22 +37,22 @@ def _furniture(x: str) -> str:
 
 @query(f"SELECT doc_id, {_tidy('text')} AS text FROM documents")
 def tidy_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.tidy(F.col("text")).alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.tidy(F.col("text")).alias("text"))
 
 
 @query(rf"SELECT id, coalesce(regexp_matches(lower(text), '{C.TAGS}'), false) AS html FROM docs")
 def html_detect(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", F.coalesce(C.html_like(F.col("text")), F.lit(False)).alias("html"))
+    return texts(spark, sf_dir, "docs").select("id", F.coalesce(C.html_like(F.col("text")), F.lit(False)).alias("html"))
 
 
 @query(rf"SELECT id, {_strip('text')} AS text FROM docs WHERE regexp_matches(lower(text), '{C.TAGS}')")
 def html_strip(spark, sf_dir):
-    return table(spark, sf_dir, "docs").where(C.html_like(F.col("text"))).select("id", C.strip_tags(F.col("text")).alias("text"))
+    return texts(spark, sf_dir, "docs").where(C.html_like(F.col("text"))).select("id", C.strip_tags(F.col("text")).alias("text"))
 
 
 @query(f"SELECT id, {_furniture('text')} AS text FROM docs")
 def boilerplate_lines(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.without_furniture(F.col("text")).alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.without_furniture(F.col("text")).alias("text"))
 
 
 _PLAIN = rf"CASE WHEN regexp_matches(lower(text), '{C.TAGS}') THEN {_strip('text')} ELSE text END"
@@ -60,22 +60,22 @@ _PLAIN = rf"CASE WHEN regexp_matches(lower(text), '{C.TAGS}') THEN {_strip('text
 
 @query(f"SELECT id, {_tidy(_furniture(_tidy(_PLAIN)))} AS text FROM docs")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.normalized(F.col("text")).alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.normalized(F.col("text")).alias("text"))
 
 
 @query()
 def normalize_nfkc(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.compatible("text").alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", C.compatible("text").alias("text"))
 
 
 @query()
 def reread_runs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.reread("text").alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", C.reread("text").alias("text"))
 
 
 @query()
 def html_main_text(spark, sf_dir):
-    return table(spark, sf_dir, "docs").where(C.html_like(F.col("text"))).select("id", C.main_text_of("text").alias("text"))
+    return texts(spark, sf_dir, "docs").where(C.html_like(F.col("text"))).select("id", C.main_text_of("text").alias("text"))
 
 
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r]+'), lambda x: x <> '')"
@@ -102,23 +102,23 @@ reasons AS (SELECT doc_id, source, chars, CASE WHEN chars < 200 THEN 'too_short'
 
 @query(f"WITH {_MEASURES} SELECT doc_id, chars, round(symbol_ratio, 6) AS symbol_ratio, round(digit_ratio, 6) AS digit_ratio, round(alpha_ratio, 6) AS alpha_ratio, lines, round(dup_lines, 6) AS dup_lines, words, round(stop_share, 6) AS stop_share, round(word_length, 6) AS word_length FROM q")
 def quality_measures(spark, sf_dir):
-    m = C.measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "m.*")
+    m = C.measures(texts(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "m.*")
     return m.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in m.dtypes[1:]])
 
 
 @query(_REASON + "SELECT doc_id, reason FROM reasons")
 def quality_rule(spark, sf_dir):
-    return C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return C.quality_reason(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(_REASON + "SELECT reason, count(*) AS docs FROM reasons GROUP BY reason")
 def quality_reason(spark, sf_dir):
-    return C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").groupBy("reason").agg(F.count(F.lit(1)).alias("docs"))
+    return C.quality_reason(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").groupBy("reason").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"WITH m AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id, words, max(n) AS top FROM (SELECT doc_id, len(w) AS words, w[i]||' '||w[i+1] AS g, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM m) GROUP BY doc_id, len(w), g) GROUP BY doc_id, words HAVING max(n) > 2")
 def top_ngram_count(spark, sf_dir):
-    return C.top_ngrams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", 2).select("doc_id", F.col("words").cast("long").alias("words"), "top")
+    return C.top_ngrams(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2).select("doc_id", F.col("words").cast("long").alias("words"), "top")
 
 
 def _masking(kind: str) -> str:
@@ -128,27 +128,27 @@ def _masking(kind: str) -> str:
 
 @query(_masking("email"))
 def mask_email(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "email").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "email").alias("text"))
 
 
 @query(_masking("social"))
 def mask_social(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "social").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "social").alias("text"))
 
 
 @query(_masking("iban"))
 def mask_iban(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "iban").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "iban").alias("text"))
 
 
 @query(_masking("ip"))
 def mask_ip(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "ip").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "ip").alias("text"))
 
 
 @query(_masking("address"))
 def mask_address(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "address").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "address").alias("text"))
 
 
 _LUHN = "(list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0)"
@@ -160,7 +160,7 @@ d AS (SELECT id, i, a, b, regexp_replace(b, '[ -]', '', 'g') AS d FROM p),
 r AS (SELECT id, string_agg(a || CASE WHEN b = '' THEN '' WHEN length(d) BETWEEN 13 AND 19 AND {_LUHN} THEN '<CARD>' ELSE b END, '' ORDER BY i) AS text FROM d GROUP BY id)
 SELECT id, text FROM r UNION ALL SELECT id, text FROM docs WHERE text IS NULL""")
 def mask_card(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "card").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "card").alias("text"))
 
 
 @query(f"""WITH s AS (SELECT id, string_split_regex(text, '{C.PHONE}') AS parts, list_append(regexp_extract_all(text, '{C.PHONE}', 0), '') AS found FROM docs WHERE text IS NOT NULL),
@@ -168,36 +168,36 @@ p AS (SELECT id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS a, unne
 r AS (SELECT id, string_agg(a || CASE WHEN length(regexp_replace(b, '[^0-9]', '', 'g')) < 9 THEN b ELSE '<PHONE>' END, '' ORDER BY i) AS text FROM p GROUP BY id)
 SELECT id, text FROM r UNION ALL SELECT id, text FROM docs WHERE text IS NULL""")
 def mask_phone(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "phone").alias("text"))
+    return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "phone").alias("text"))
 
 
 @query()
 def mask_all(spark, sf_dir):
-    return spread(table(spark, sf_dir, "docs").select("id", "text")).select("id", C.masked(F.col("text")).alias("text")).withColumn("counts", C.mask_counts(F.col("text")))
+    return texts(spark, sf_dir, "docs").select("id", "text").select("id", C.masked(F.col("text")).alias("text")).withColumn("counts", C.mask_counts(F.col("text")))
 
 
 @query(f"WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+', 0) AS w FROM documents) SELECT doc_id, round(CASE WHEN w IS NULL OR len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: x IN ({BAD}))) / len(w) END, 6) AS share FROM w")
 def abusive_density(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(C.abusive_share(F.col("text")), 6).alias("share"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.round(C.abusive_share(F.col("text")), 6).alias("share"))
 
 
 @query("SELECT doc_id, (('0x'||substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967295) < 0.02 AS validation FROM documents")
 def hash_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", funnel.in_validation(F.col("doc_id"), 0.02).alias("validation"))
+    return texts(spark, sf_dir, "documents").select("doc_id", funnel.in_validation(F.col("doc_id"), 0.02).alias("validation"))
 
 
 @query(_REASON + """, f AS (SELECT 'quality' AS stage, source, reason, chars FROM reasons)
 SELECT stage, source, count(*) AS docs_in, count(*) FILTER (reason = 'kept') AS docs_out, sum(chars)::BIGINT AS chars_in, coalesce(sum(chars) FILTER (reason = 'kept'), 0)::BIGINT AS chars_out FROM f GROUP BY stage, source""")
 def stage_report(spark, sf_dir):
-    return funnel.report(funnel.tagged(table(spark, sf_dir, "documents"), "quality", C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"), "doc_id"))
+    return funnel.report(funnel.tagged(texts(spark, sf_dir, "documents"), "quality", C.quality_reason(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id"))
 
 
 @query(_REASON + "SELECT doc_id, reason FROM reasons QUALIFY row_number() OVER (PARTITION BY reason = 'kept' ORDER BY md5('1234:'||doc_id::VARCHAR)) <= 100")
 def review_sample(spark, sf_dir):
-    reasons = C.quality_reason(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    reasons = C.quality_reason(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return funnel.review(reasons, "doc_id", k=100, seed=1234)
 
 
 @query()
 def curation_funnel(spark, sf_dir):
-    return funnel.curate_all(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).report()
+    return funnel.curate_all(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).report()

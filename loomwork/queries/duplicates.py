@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import decontam, dedup
 from ..registry import query
-from ..session import checkpointed, spread, table
+from ..session import checkpointed, table, texts
 
 _KEY = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"
 _EXACT = rf"""keyed AS (SELECT id, source, text, md5({_KEY}) AS key FROM docs),
@@ -16,7 +16,7 @@ labels AS (SELECT k.id, k.source, k.text, coalesce(f.first, k.id) AS first, CASE
 
 @query(f"WITH {_EXACT} SELECT id, first, label FROM labels")
 def exact_dedup(spark, sf_dir):
-    return dedup.exact(table(spark, sf_dir, "docs"), "id")
+    return dedup.exact(texts(spark, sf_dir, "docs"), "id")
 
 
 _SHINGLES = rf"""w AS (SELECT id, list_filter(string_split({_KEY}, ' '), lambda x: x <> '') AS w FROM KEPT WHERE length({_KEY}) > 0),
@@ -25,7 +25,7 @@ sh AS (SELECT id, list_distinct(list_transform(CASE WHEN len(w) >= 5 THEN list_t
 
 @query(f"WITH {_SHINGLES.replace('KEPT', 'docs')} SELECT id, len(h) AS shingles, list_sum(h)::BIGINT AS hash_sum FROM sh")
 def shingle_hashes(spark, sf_dir):
-    docs = table(spark, sf_dir, "docs").select("id", dedup.text_key(F.col("text")).alias("k")).where(F.length("k") > 0)
+    docs = texts(spark, sf_dir, "docs").select("id", dedup.text_key(F.col("text")).alias("k")).where(F.length("k") > 0)
     hashed = docs.select("id", dedup.shingle_hashes(F.col("k")).alias("h"))
     return hashed.select("id", F.size("h").cast("long").alias("shingles"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x).alias("hash_sum"))
 
@@ -39,7 +39,7 @@ sig AS (SELECT id, i, min((x * a + b) % {dedup.PRIME} & {dedup.MASK}) AS v FROM
 
 @query(f"WITH {_SIGNED.replace('KEPT', 'docs')} SELECT id, sum(v)::BIGINT AS sig_sum, min(v) AS sig_min, sum(v * (i + 1) % 1000003)::BIGINT AS sig_check FROM sig GROUP BY id")
 def minhash_signature(spark, sf_dir):
-    s = dedup.signatures(spread(table(spark, sf_dir, "docs").select("id", "text")), "id")
+    s = dedup.signatures(texts(spark, sf_dir, "docs").select("id", "text"), "id")
     total = lambda f: F.aggregate(F.transform("sig", f), F.lit(0).cast("long"), lambda a, x: a + x)
     return s.select("id", total(lambda x, i: x).alias("sig_sum"), F.array_min("sig").alias("sig_min"), total(lambda x, i: x * (i + 1) % 1000003).alias("sig_check"))
 
@@ -51,7 +51,7 @@ pairs AS (SELECT a, b, count(*) FILTER (s.v = t.v) / 128 AS similarity FROM cand
 
 
 def _signed(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "docs").select("id", "text", "source"))
+    docs = texts(spark, sf_dir, "docs").select("id", "text", "source")
     firsts = docs.join(dedup.exact(docs, "id").where("label = 'kept'").select("id"), "id", "left_semi")
     return checkpointed(dedup.signatures(firsts, "id"))
 
@@ -77,7 +77,7 @@ def near_dup_dropped(spark, sf_dir):
 @query(f"""{_WALK} SELECT l.id, CASE WHEN g.near IS NULL THEN l.label WHEN n.source IS NOT DISTINCT FROM l.source THEN 'near_dup' ELSE 'near_dup_cross' END AS label, coalesce(g.near, l.first) AS first
 FROM labels l LEFT JOIN gone g ON g.id = l.id LEFT JOIN docs n ON n.id = g.near""")
 def near_dedup(spark, sf_dir):
-    return dedup.near(spread(table(spark, sf_dir, "docs").select("id", "text", "source")), "id")
+    return dedup.near(texts(spark, sf_dir, "docs").select("id", "text", "source"), "id")
 
 
 _GRAMS = """iw AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+', 0) AS w FROM benchmark),
@@ -90,12 +90,12 @@ hits AS (SELECT id, count(*) AS shared_grams FROM dg SEMI JOIN ig ON dg.g = ig.g
 
 @query(f"WITH {_GRAMS} SELECT id, shared_grams FROM hits")
 def decontam_hits(spark, sf_dir):
-    return decontam.hits(spread(table(spark, sf_dir, "docs").select("id", "text")), table(spark, sf_dir, "benchmark"), "id")
+    return decontam.hits(texts(spark, sf_dir, "docs").select("id", "text"), table(spark, sf_dir, "benchmark"), "id")
 
 
 @query(f"WITH {_GRAMS} SELECT id, source FROM docs ANTI JOIN hits USING (id)")
 def decontam_keep(spark, sf_dir):
-    return decontam.clean(table(spark, sf_dir, "docs"), table(spark, sf_dir, "benchmark"), "id").select("id", "source")
+    return decontam.clean(texts(spark, sf_dir, "docs"), table(spark, sf_dir, "benchmark"), "id").select("id", "source")
 
 
 @query(f"WITH {_GRAMS} SELECT count(*) AS grams, count(*) FILTER (len(string_split(g, ' ')) < 13) AS short_items FROM ig")

@@ -20,7 +20,7 @@ def _docs(spark, sf_dir):
 def _predicted(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     model = checkpointed(M.train_languages(docs))
-    return M.predict_languages(M.score_languages(docs, model, "doc_id", stops=table(spark, sf_dir, "common_words")), "doc_id")
+    return M.told_languages(docs, model, "doc_id", stops=table(spark, sf_dir, "common_words"))
 
 
 @query(f"WITH {_NB} SELECT lang, gram, n FROM model")
@@ -72,7 +72,7 @@ def _passing(spark, sf_dir):
     from ..operators import curate
 
     docs = _docs(spark, sf_dir)
-    return docs.where(curate.reason_of(F.col("text")) == "kept")
+    return checkpointed(docs.where(curate.reason_of(F.col("text")) == "kept"))
 
 
 @query(f"WITH {_SLICE} SELECT doc_id, source FROM slice")

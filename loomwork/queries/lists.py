@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import agree, logs, records, retrieve
 from ..functions import text as T
 from ..registry import query
-from ..session import table
+from ..session import table, texts
 from .retrieval import _content
 
 
@@ -127,7 +127,7 @@ def unsupported_rate(spark, sf_dir):
 SELECT id, s AS sentence FROM s WHERE regexp_matches(lower(s), '\b(few|still|limited|bottleneck|barrier|remains|lack|manual|spreadsheets|whiteboards)\b')""")
 def gap_sentences(spark, sf_dir):
     """Sentences that speak of something missing."""
-    s = table(spark, sf_dir, "docs").select("id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    s = texts(spark, sf_dir, "docs").select("id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
     return s.where(F.lower("sentence").rlike(retrieve.GAP))
 
 
@@ -137,7 +137,7 @@ SELECT id, 'Write a section from these facts:' || chr(10) || array_to_string(lis
 def section_examples(spark, sf_dir):
     from ..operators import training
 
-    return training.section_examples(table(spark, sf_dir, "docs").select("id", "text"), "id")
+    return training.section_examples(texts(spark, sf_dir, "docs").select("id", "text"), "id")
 
 
 @query("""WITH f AS (SELECT DISTINCT field FROM companies WHERE field IS NOT NULL),

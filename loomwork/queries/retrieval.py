@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import agree, retrieve
 from ..registry import query
-from ..session import table
+from ..session import table, texts
 
 _COMMON = ", ".join(f"'{w}'" for w in retrieve.COMMON)
 
@@ -23,7 +23,7 @@ sc AS (SELECT company_id, id, round(sum(weight * qtf), 3) AS score FROM wt JOIN
 SELECT company_id, id, score, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 5""")
 def bm25_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "companies").select("company_id", F.col("clients").alias("query"))
-    return retrieve.bm25(table(spark, sf_dir, "docs").select("id", "text"), asked, "id", "company_id", 5).withColumn("rank", F.col("rank").cast("long"))
+    return retrieve.bm25(texts(spark, sf_dir, "docs").select("id", "text"), asked, "id", "company_id", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH w AS (SELECT example_id, list_distinct({_content('prompt')}) AS a, list_distinct({_content('target_text')}) AS b FROM sft_examples) SELECT example_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS overlap FROM w")
@@ -60,18 +60,18 @@ _SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(text
 
 @query(f"SELECT id, i - 1 AS n, s[i] AS sentence FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {_SENTENCES} AS s FROM docs WHERE text IS NOT NULL))")
 def sentence_split(spark, sf_dir):
-    s = table(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+    s = texts(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
     return s.withColumn("n", F.col("n").cast("long"))
 
 
 @query()
 def passage_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.posexplode(retrieve.passages(F.col("text"))).alias("n", "passage"))
+    return texts(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.posexplode(retrieve.passages(F.col("text"))).alias("n", "passage"))
 
 
 @query("SELECT id, hit FROM (SELECT id, unnest(list_slice(regexp_extract_all(text, '.{0,150}(?:[0-9]+ (?:days|weeks|months)).{0,150}', 0), 1, 20)) AS hit FROM docs)")
 def search_in_context(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", F.explode(retrieve.in_context(F.col("text"), "[0-9]+ (?:days|weeks|months)")).alias("hit"))
+    return texts(spark, sf_dir, "docs").select("id", F.explode(retrieve.in_context(F.col("text"), "[0-9]+ (?:days|weeks|months)")).alias("hit"))
 
 
 _CURRENT = r"length(s) BETWEEN 40 AND 320 AND NOT regexp_matches(lower(s), '(^|[^a-z])(history|historical|founded|formerly|originally|century|ancient|decades ago)([^a-z]|$)') AND len(regexp_extract_all(lower(s), '[a-z]{3,}ed([^a-z]|$)', 0)) <= 1 AND 2 * len(regexp_extract_all(s, '(^| )[A-Z]', 0)) < len(regexp_extract_all(s, '[^ ]+', 0))"
@@ -83,7 +83,7 @@ def current_statements(spark, sf_dir):
     keep = F.length(s).between(40, 320) & ~F.lower(s).rlike(r"(^|[^a-z])(history|historical|founded|formerly|originally|century|ancient|decades ago)([^a-z]|$)")
     keep &= F.regexp_count(F.lower(s), F.lit(r"[a-z]{3,}ed([^a-z]|$)")) <= 1
     keep &= 2 * F.regexp_count(s, F.lit("(^| )[A-Z]")) < F.regexp_count(s, F.lit("[^ ]+"))
-    return table(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.explode(T.sentences(F.col("text"))).alias("sentence")).where(keep)
+    return texts(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.explode(T.sentences(F.col("text"))).alias("sentence")).where(keep)
 
 
 @query(f"WITH f AS (SELECT example_id, list_distinct(list_filter({_content('target_text')}, lambda w: length(w) > 1)) AS facts, list_distinct({_content('prompt')}) AS src FROM sft_examples) SELECT example_id, len(facts) = 0 OR len(list_intersect(facts, src)) >= 0.9 * len(facts) AS grounded FROM f")

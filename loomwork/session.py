@@ -7,10 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Size above which no side of a join is broadcast by this library's own hints (rows, not bytes).
-BROADCAST_ROWS = 2_000_000
-
-
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -35,16 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, over as many partitions as there are cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, with its lineage cut.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary
+    The cluster names the folder in spark.checkpoint.dir; only where that is unset on one machine (in tests) a temporary
     folder is taken.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-"))
     return df.checkpoint(eager=True)
 
 
