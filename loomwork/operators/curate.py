@@ -246,13 +246,19 @@ def quality_reason(docs: DataFrame, key: str, text: str = "text", c: Curation =
 
 # ---- masking by pattern
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
-CARD = r"[0-9]([ -]?[0-9]){12,18}"
-IPV4 = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
-STREET = r"[0-9]{1,5} ([A-Z][a-z']+ ){1,3}(Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Way|Close|Terrace|Court|Square|Boulevard|Blvd)"
-PHONE = r"[+(]?[0-9][0-9 ().\-]{6,}[0-9]"
+# Every pattern is bounded, so that nothing inside of a longer word or number is masked. The bounds are written as \\b and
+# \\B, which other engines have, too.
+EMAIL = r"\b[\w.+-]+@[\w-]+(\.[\w-]+)+\b"
+SOCIAL = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+IBAN = r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,3})?\b"
+CARD = r"\b[0-9]([ -]?[0-9]){12,18}\b"
+IPV4 = r"\b(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}\b"
+#: Street words (fixed values).
+STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd".split()
+STREET = r"\b[0-9]{1,5}[ \t\n]+([A-Z][a-z]+[ \t\n]){1,3}(" + "|".join(STREETS) + r")\b\.?"
+_GROUP = r"(\(?[0-9]{2,4}\)?[ \t\n.\-]?)"
+#: Groups of digits behind an international prefix or not, by what the number begins with.
+PHONE = "(" + "|".join([r"\B\+[0-9]{1,3}[ \t\n.\-]?" + _GROUP + "{2,4}", r"\b[0-9]{1,3}[ \t\n.\-]?" + _GROUP + "{2,4}", r"\b[0-9]{2,4}\)?[ \t\n.\-]?" + _GROUP + "{1,3}", r"\B\([0-9]{2,4}\)?[ \t\n.\-]?" + _GROUP + "{1,3}"]) + r")[0-9]{3,4}\b"
 #: In the order in which they run; each works on what the one before left.
 MASKS = (("email", EMAIL, "<EMAIL>"), ("social", SOCIAL, "<ID>"), ("iban", IBAN, "<IBAN>"), ("card", CARD, "<CARD>"), ("ip", IPV4, "<IP>"), ("address", STREET, "<ADDRESS>"), ("phone", PHONE, "<PHONE>"))
 

@@ -154,26 +154,40 @@ def mask_address(spark, sf_dir):
 _LUHN = "(list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0)"
 
 
-@query(f"""WITH s AS (SELECT id, string_split_regex(text, '{C.CARD}') AS parts, list_append(regexp_extract_all(text, '{C.CARD}', 0), '') AS found FROM docs WHERE text IS NOT NULL),
-p AS (SELECT id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS a, unnest(found) AS b FROM s),
-d AS (SELECT id, i, a, b, regexp_replace(b, '[ -]', '', 'g') AS d FROM p),
-r AS (SELECT id, string_agg(a || CASE WHEN b = '' THEN '' WHEN length(d) BETWEEN 13 AND 19 AND {_LUHN} THEN '<CARD>' ELSE b END, '' ORDER BY i) AS text FROM d GROUP BY id)
-SELECT id, text FROM r UNION ALL SELECT id, text FROM docs WHERE text IS NULL""")
+def _checked(name: str, source: str, pattern: str, keep: str, put: str, d: str) -> str:
+    """CTEs up to `name`, with the matches of `pattern` in `source` that do not keep(b, d) replaced."""
+    return f"""{name}_s AS (SELECT id, string_split_regex(text, '{pattern}') AS parts, list_append(regexp_extract_all(text, '{pattern}', 0), '') AS found FROM {source} WHERE text IS NOT NULL),
+{name}_p AS (SELECT id, i, a, b, {d} AS d FROM (SELECT id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS a, unnest(found) AS b FROM {name}_s)),
+{name} AS (SELECT id, string_agg(a || CASE WHEN b = '' THEN '' WHEN {keep} THEN b ELSE '{put}' END, '' ORDER BY i) AS text FROM {name}_p GROUP BY id UNION ALL SELECT id, text FROM {source} WHERE text IS NULL)"""
+
+
+def _card(name: str, source: str) -> str:
+    return _checked(name, source, C.CARD, f"NOT (length(d) BETWEEN 13 AND 19 AND {_LUHN})", "<CARD>", "regexp_replace(b, '[ -]', '', 'g')")
+
+
+def _phone(name: str, source: str) -> str:
+    return _checked(name, source, C.PHONE, "length(d) < 9", "<PHONE>", "regexp_replace(b, '[^0-9]', '', 'g')")
+
+
+@query(f"WITH {_card('m', 'docs')} SELECT id, text FROM m")
 def mask_card(spark, sf_dir):
     return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "card").alias("text"))
 
 
-@query(f"""WITH s AS (SELECT id, string_split_regex(text, '{C.PHONE}') AS parts, list_append(regexp_extract_all(text, '{C.PHONE}', 0), '') AS found FROM docs WHERE text IS NOT NULL),
-p AS (SELECT id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS a, unnest(found) AS b FROM s),
-r AS (SELECT id, string_agg(a || CASE WHEN length(regexp_replace(b, '[^0-9]', '', 'g')) < 9 THEN b ELSE '<PHONE>' END, '' ORDER BY i) AS text FROM p GROUP BY id)
-SELECT id, text FROM r UNION ALL SELECT id, text FROM docs WHERE text IS NULL""")
+@query(f"WITH {_phone('m', 'docs')} SELECT id, text FROM m")
 def mask_phone(spark, sf_dir):
     return texts(spark, sf_dir, "docs").select("id", C.mask_one(F.col("text"), "phone").alias("text"))
 
 
-@query()
+_replace = lambda x, kind: f"regexp_replace({x}, '{_quote(next(m[1] for m in C.MASKS if m[0] == kind))}', '{next(m[2] for m in C.MASKS if m[0] == kind)}', 'g')"
+_COUNTS = " || ' ' || ".join(f"'{kind}:' || ((length(text) - length(replace(text, '{put}', ''))) / {len(put)})::INT::VARCHAR" for kind, _, put in C.MASKS)
+
+
+@query(f"""WITH a AS (SELECT id, {_replace(_replace(_replace('text', 'email'), 'social'), 'iban')} AS text FROM docs), {_card('b', 'a')},
+c AS (SELECT id, {_replace(_replace('text', 'ip'), 'address')} AS text FROM b), {_phone('e', 'c')} SELECT id, text, {_COUNTS} AS counts FROM e""")
 def mask_all(spark, sf_dir):
-    return texts(spark, sf_dir, "docs").select("id", "text").select("id", C.masked(F.col("text")).alias("text")).withColumn("counts", C.mask_counts(F.col("text")))
+    masked = texts(spark, sf_dir, "docs").select("id", C.masked(F.col("text")).alias("text"))
+    return masked.withColumn("counts", F.concat_ws(" ", *[F.concat(F.lit(f"{kind}:"), F.regexp_count("text", F.lit(put)).cast("string")) for kind, _, put in C.MASKS])).withColumn("counts", F.when(F.col("text").isNotNull(), F.col("counts")))
 
 
 @query(f"WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+', 0) AS w FROM documents) SELECT doc_id, round(CASE WHEN w IS NULL OR len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: x IN ({BAD}))) / len(w) END, 6) AS share FROM w")

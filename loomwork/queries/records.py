@@ -1,6 +1,5 @@
 """Event log, records from other formats, and merged evidence."""
 
-import os
 
 from pyspark.sql import functions as F
 
@@ -70,4 +69,4 @@ def status_counts(spark, sf_dir):
 def parquet_checksum(spark, sf_dir):
     from ..sources.readers import checksums
 
-    return checksums(spark, os.path.join(sf_dir, "companies.parquet"))
+    return checksums(spark, sf_dir)

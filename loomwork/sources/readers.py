@@ -83,6 +83,34 @@ def to_documents(records: DataFrame, fields: list[str], key: Column, source: str
     return made.where("text <> ''").withColumn("source", F.lit(source) if source else F.substring_index("id", ":", 1))
 
 
+def ordered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of all files of a pattern with `ord`, their place when the files stand one behind the other by name."""
+    from ..operators.records import numbered
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), F.from_json("value", schema).alias("__r"))
+    placed = numbered(lines.where(F.col("__r").isNotNull() & (F.to_json("__r") != "{}")), ["__f", "__b", "__m"], "ord")
+    return placed.select("ord", "__r.*")
+
+
+def indexed_documents(records: DataFrame, fields: list[str], name: str, file: str, order: list[str], most: int | None = None) -> DataFrame:
+    """(id, text, source) with ids `name:file:i`, where i counts all records from 0, those without text included; the first
+    `most` documents if that is given."""
+    from ..operators.records import numbered
+
+    placed = numbered(records, order, "__i")
+    made = to_documents(placed.withColumn("__key", F.concat(F.lit(f"{name}:{file}:"), (F.col("__i") - 1).cast("string"))), [*fields], F.col("__key"))
+    number = F.substring_index("id", ":", -1).cast("long")
+    return made if most is None else made.orderBy(number).limit(most)
+
+
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, expected, ok) of each file with a checksum file beside it (`.sha256`, the sum first)."""
+    sums = checksums(spark, path).where(~F.col("name").endswith(".sha256"))
+    beside = spark.read.format("binaryFile").option("pathGlobFilter", "*.sha256").load(path)
+    expected = beside.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.sha256$", "").alias("name"), F.lower(F.substring_index(F.trim(F.decode("content", "UTF-8")), " ", 1)).alias("expected"))
+    return sums.join(expected, "name").select("name", "sha256", "expected", (F.col("sha256") == F.trim("expected", F.lit("\n\r "))).alias("ok"))
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of each file."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

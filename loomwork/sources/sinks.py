@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,44 @@ def markdown(report: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def token_shards(docs: DataFrame, path: str, bos: int, eos: int, vocab: int, ids: str = "ids") -> DataFrame:
+def stage_output(report: DataFrame, samples: DataFrame, path: str) -> None:
+    """Counts and review samples of a plan's stages, by stage."""
+    report.write.mode("overwrite").partitionBy("stage").json(f"{path}/stats")
+    samples.write.mode("overwrite").partitionBy("stage").json(f"{path}/samples")
+
+
+def before_and_after(report: DataFrame) -> DataFrame:
+    """(source, docs_in, docs_out, chars_in, chars_out) from the first stage's input to the last one's output; a report has
+    a row for each stage and source."""
+    total = lambda c: F.max(c) if c.endswith("_in") else F.min(c)
+    return report.groupBy("source").agg(*[total(c).alias(c) for c in ("docs_in", "docs_out", "chars_in", "chars_out")])
+
+
+def combined_report(report: DataFrame) -> tuple[str, str]:
+    """The report as JSON and as Markdown, with sources before and after; as many rows as stages and sources."""
+    sources = before_and_after(report)
+    stages = report.orderBy("stage", "source")
+    both = {"stages": [r.asDict() for r in stages.collect()], "sources": [r.asDict() for r in sources.orderBy("source").collect()]}
+    return json.dumps(both, sort_keys=True), markdown(stages) + "\n\n" + markdown(sources.orderBy("source"))
+
+
+def event_log(events: DataFrame, path: str, time: str = "logged_at") -> None:
+    """Appends events by day and channel; those with an error are written under the channel of errors, too."""
+    failed = events.where((F.lower("status") == "error") & (F.col("channel") != "errors")).withColumn("channel", F.lit("errors"))
+    dated = events.unionByName(failed).withColumn("day", F.to_date(time))
+    dated.write.mode("append").partitionBy("day", "channel").json(path)
+
+
+def state(values: dict, path: str) -> None:
+    """A small state as JSON; the old one stays until the new one is whole."""
+    with open(f"{path}.new", "w") as file:
+        json.dump(values, file)
+        file.flush()
+        os.fsync(file.fileno())
+    os.replace(f"{path}.new", path)
+
+
+def token_shards(docs: DataFrame, path: str, bos: int, eos: int, vocab: int, ids: str = "ids", order: str = "doc_id") -> DataFrame:
     """Binary shards, a row for each written: split, shard, docs, tokens, content. `docs` has split, shard, an order and ids.
 
     Numbers take two bytes if the vocabulary allows it. A shard is bounded by its cap, so it is one group.
@@ -30,7 +69,7 @@ def token_shards(docs: DataFrame, path: str, bos: int, eos: int, vocab: int, ids
     kind = np.uint16 if vocab < 1 << 16 else np.uint32
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
+        pdf = pdf.sort_values(order)
         flat = np.concatenate([np.array([bos, *x, eos], kind) for x in pdf[ids]])
         return pd.DataFrame([(pdf["split"].iloc[0], int(pdf["shard"].iloc[0]), len(pdf), len(flat), flat.tobytes())], columns=["split", "shard", "docs", "tokens", "content"])
 

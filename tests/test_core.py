@@ -314,3 +314,74 @@ def test_stream_keeps_what_came_first(spark, tmp_path):
     # a smaller key that comes later is the copy
     two = stream.near_duplicates(spark.createDataFrame([(1, a + " again"), (2, "some quite different words stand in this other text of the batch")], "id long, text string"), index, "id")
     assert [r.id for r in two.collect()] == [2]
+
+
+def test_masks_are_bounded(spark):
+    for text in ("x123-45-67890", "ab12345-67-8901", "1.2.3.4.5.6.77777", "A12 Old Mill Roads", "GB82WEST1234569876543211234567890123456789"):
+        out = _one(spark, text, curate.masked(F.col("text")))
+        assert "<ID>" not in out and "<ADDRESS>" not in out and "<IBAN>" not in out, out
+    out = _one(spark, "IBAN GB82 WEST 1234 5698 7654 32, tel. (0123) 456 78901 or +49 221 4710 788, 12 Old Mill Rd.", curate.masked(F.col("text")))
+    assert out == "IBAN <IBAN>, tel. <PHONE> or <PHONE>, <ADDRESS>"
+
+
+def test_reread_whole_or_runs():
+    assert curate.reread_text("CafÃ© â€“ dÃ©jÃ\xa0 vu") == "Café – déjà vu"
+    # what cannot be read as a whole is read run by run
+    assert curate.reread_text("CafÃ© 東京") == "Café 東京" and curate.reread_text("plain") == "plain"
+
+
+def test_links_and_crawl(spark):
+    base = "https://firm.example/en/index.html"
+    page = '<meta name="description" content="We build."><a href="/about#x">a</a><a href="services/">b</a><a href="//firm.example/p.pdf">c</a><a href="https://other.example/">d</a><a href="/about">e</a><a href="mailto:a@b">f</a>'
+    got = _one(spark, page, web.site_links(F.col("text"), F.lit(base)))
+    assert got == ["https://firm.example/about", "https://firm.example/en/services/"]
+    assert _one(spark, page, web.description(F.col("text"))) == "We build."
+    pages = spark.createDataFrame([(base, page + "<p>Home page text.</p>"), ("https://firm.example/about", "<p>" + "We have been here for a long time. " * 3 + "</p>"), ("https://firm.example/en/services/", "<p>short</p>")], "url string, html string")
+    homes = spark.createDataFrame([(base,), ("https://gone.example/",)], "url string")
+    assert {r.url for r in web.crawled(pages, homes).collect()} == {base, "https://firm.example/about"}
+
+
+def test_canonical_json_and_grounding(spark):
+    assert _one(spark, '{"B": [1.23456, "X  y!"], "a": null}', agree.canonical_json("text")) == '{"a": null, "b": [1.2346, "x y"]}'
+    assert _one(spark, "{broken", agree.canonical_json("text")) is None
+    source = F.lit("The plant in Velmere employs 120 people and sells pumps.")
+    assert _one(spark, "the PLANT in Velmere", agree.supported(F.col("text"), source)) and not _one(spark, "A bridge in Ostrand", agree.supported(F.col("text"), source))
+    assert _one(spark, "It employs 130 people in Ostrand.", agree.unknown_details(F.col("text"), source)) == ["130", "Ostrand"]
+
+
+def test_files_and_logs(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b" / "docs.jsonl").write_text('{"t": "3"}\n')
+    (tmp_path / "a" / "docs.jsonl").write_text('{"t": "1"}\nbroken\n{"t": "2"}\n')
+    assert [(r.ord, r.t) for r in readers.ordered_lines(spark, str(tmp_path / "*" / "docs.jsonl"), "t string").orderBy("ord").collect()] == [(1, "1"), (2, "2"), (3, "3")]
+    records_ = spark.createDataFrame([(1, "x"), (2, ""), (3, "y"), (4, "z")], "n long, t string")
+    assert [r.id for r in readers.indexed_documents(records_, ["t"], "set", "f", ["n"], 2).collect()] == ["set:f:0", "set:f:2"]
+    import hashlib
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.bin").write_bytes(b"abc")
+    (tmp_path / "c" / "x.bin.sha256").write_text(hashlib.sha256(b"abc").hexdigest() + "  x.bin\n")
+    assert [r.ok for r in readers.verified(spark, str(tmp_path / "c")).collect()] == [True]
+    log = spark.read.parquet(f"{SF}/run_log.parquet")
+    sinks.event_log(log, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() >= log.count()
+    sinks.state({"a": 1}, str(tmp_path / "state.json"))
+    assert json.loads((tmp_path / "state.json").read_text()) == {"a": 1}
+
+
+def test_language_model_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "one two five")], "doc_id string, text string")
+    model = ngram_models.Trigrams(docs, "doc_id")
+    model.save(str(tmp_path / "lm"))
+    again = ngram_models.Trigrams.load(spark, str(tmp_path / "lm"))
+    score = lambda m: sorted((r.doc_id, round(r.perplexity, 6)) for r in m.perplexity(docs, "doc_id").collect())
+    assert score(again) == score(model)
+
+
+def test_report_before_and_after(spark, tmp_path):
+    rows = spark.createDataFrame([("normalize", "s", "kept", 10), ("normalize", "s", "kept", 5), ("language", "s", "lang_de", 10), ("language", "s", "kept", 5)], "stage string, source string, reason string, chars int")
+    as_json, as_text = sinks.combined_report(funnel.report(rows))
+    assert json.loads(as_json)["sources"] == [{"source": "s", "docs_in": 2, "docs_out": 1, "chars_in": 15, "chars_out": 5}] and "| s |" in as_text
+    sinks.stage_output(funnel.report(rows), rows, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "stats")).count() == 2
