@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpointed
 
 #: Words left out of content tokens (fixed values).
 COMMON = "a an and are as at be by for from in is it its of on or that the this to was were with".split()
@@ -19,11 +20,17 @@ def content(text: Column) -> Column:
     return F.filter(T.words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(*COMMON))
 
 
+#: A query's terms whose passages give the first bound.
+FIRST_TERMS = 2
+
+
 def bm25(passages: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, text: str = "text", query_text: str = "query") -> DataFrame:
     """(query_key, key, score, rank): the k best passages of each query; ties go to the smaller key.
 
-    A query's terms count as often as they stand in it. Terms are counted within each passage before they are shuffled,
-    only terms of some query go on, and the best k are cut per partition before the final ranking.
+    A query's terms count as often as they stand in it. No passage gets more from a term than an upper bound that follows
+    from how rare the term is. The passages of a query's strongest terms give a score that the k-th best reaches at least;
+    terms whose bounds together stay under it cannot bring a passage in by themselves, so only passages with one of the
+    other terms meet the query, and the weak terms, which are the common ones, are added to these only. Scores are exact.
     """
     words = content(F.col(text))
     terms = queries.select(query_key, F.explode(content(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -31,16 +38,43 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str, query_key: str, k: i
     # the length is taken before the words are spread: behind that it would be computed for each of them
     spread = passages.select(key, words.alias("w")).select(key, "w", F.size("w").alias("len")).select(key, "len", F.explode("w").alias("term"))
     index = spread.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    index = checkpointed(index)
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of corpus statistics
-    weighted = index.join(df, "term").crossJoin(F.broadcast(sizes))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = weighted.select("term", key, weight.alias("weight")).join(terms, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 3).alias("score")).where("score > 0")
+    idf = df.crossJoin(F.broadcast(sizes)).select("term", "mean", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    weighted = index.join(idf, "term").select("term", key, weight.alias("weight"))
+    bound = terms.join(idf.select("term", "idf"), "term").withColumn("most", F.col("qtf") * F.col("idf") * (K1 + 1))
+    by_query = W.partitionBy(query_key)
+    bound = checkpointed(bound.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("most"), "term"))))
+
+    def summed(some: DataFrame, name: str) -> DataFrame:
+        return weighted.join(some.select(query_key, "term", "qtf"), "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qtf")).alias(name))
+
+    first = summed(bound.where(F.col("place") <= FIRST_TERMS), "score")
+    reached = first.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("r") == k).select(query_key, F.col("score").alias("reached"))
+    weak = F.sum("most").over(by_query.orderBy("most", F.desc("term")).rowsBetween(W.unboundedPreceding, 0))
+    # scores are compared in thousandths
+    told = bound.join(reached, query_key, "left").withColumn("weak", weak < F.coalesce("reached", F.lit(0.0)) - 0.002)
+    told = checkpointed(told)
+    pairs = summed(told.where(~F.col("weak")), "strong")
+    rest = told.where("weak").groupBy(query_key).agg(F.sum("most").alias("rest"), F.first("reached").alias("reached"))
+    pairs = checkpointed(pairs.join(rest, query_key, "left").where(F.col("reached").isNull() | (F.col("strong") + F.col("rest") >= F.col("reached") - 0.002)).select(query_key, key, "strong"))
+    added = pairs.select(query_key, key).join(told.where("weak").select(query_key, "term", "qtf"), query_key).join(weighted, [key, "term"]).groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qtf")).alias("added"))
+    scored = pairs.join(added, [query_key, key], "left").select(query_key, key, F.round(F.col("strong") + F.coalesce("added", F.lit(0.0)), 3).alias("score")).where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= k)
 
 
+def is_current(sentence: Column) -> Column:
+    """Whether a sentence states something of today: no fragment, no words of history, at most one past form, and not
+    mostly names."""
+    past = r"(^|[^a-z])(history|historical|founded|formerly|originally|century|ancient|decades ago)([^a-z]|$)"
+    forms = F.regexp_count(F.lower(sentence), F.lit(r"[a-z]{3,}ed([^a-z]|$)"))
+    names = 2 * F.regexp_count(sentence, F.lit("(^| )[A-Z]")) < F.regexp_count(sentence, F.lit("[^ ]+"))
+    return F.length(sentence).between(40, 320) & ~F.lower(sentence).rlike(past) & (forms <= 1) & names
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays as sets; 1 if both are empty."""
     union = F.size(F.array_union(a, b))

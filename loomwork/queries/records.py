@@ -32,9 +32,14 @@ def log_shorten(spark, sf_dir):
     return table(spark, sf_dir, "run_log").select("log_id", logs.shortened(F.col("details"), 200).alias("details")).distinct()
 
 
-@query()
+_LINES = "flatten(list_transform(string_split(details, chr(10)), lambda x: CASE WHEN length(x) <= 400 THEN [x] ELSE regexp_extract_all(x, '(?s).{1,400}', 0) END))"
+
+
+@query(f"""WITH p AS (SELECT log_id, {_LINES} AS p FROM run_log WHERE details IS NOT NULL),
+m AS (SELECT log_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= 400 THEN list_append(list_slice(a, 1, len(a) - 1), a[-1] || chr(10) || x[1]) ELSE list_concat(a, x) END) AS m FROM p WHERE len(p) > 0)
+SELECT log_id, i - 1 AS n, m[i] AS message FROM (SELECT log_id, m, unnest(range(1, len(m) + 1)) AS i FROM m)""")
 def log_messages(spark, sf_dir):
-    return table(spark, sf_dir, "run_log").where("details IS NOT NULL").select("log_id", F.posexplode(logs.message_chunks(F.col("details"), 400)).alias("n", "message"))
+    return table(spark, sf_dir, "run_log").where("details IS NOT NULL").select("log_id", F.posexplode(logs.message_chunks(F.col("details"), 400)).alias("n", "message")).withColumn("n", F.col("n").cast("long"))
 
 
 @query("SELECT concat_ws(chr(10)||chr(10), nullif(trim(company_name, ' '), ''), nullif(trim(about, ' '), ''), nullif(trim(clients, ' '), '')) AS text, 'companies:truth:'||company_id::VARCHAR AS id FROM companies WHERE concat_ws('', trim(company_name, ' '), trim(about, ' '), trim(clients, ' ')) <> ''")

@@ -64,9 +64,14 @@ def sentence_split(spark, sf_dir):
     return s.withColumn("n", F.col("n").cast("long"))
 
 
-@query()
+_PIECES = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?]) +([A-Z])', '\1' || chr(10) || chr(10) || '\2', 'g'), '\n[ \t]*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+@query(f"""WITH p AS (SELECT id, {_PIECES} AS p FROM docs WHERE text IS NOT NULL),
+m AS (SELECT id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= 600 THEN list_append(list_slice(a, 1, len(a) - 1), a[-1] || ' ' || x[1]) ELSE list_concat(a, x) END) AS m FROM p WHERE len(p) > 0)
+SELECT id, i - 1 AS n, m[i] AS passage FROM (SELECT id, m, unnest(range(1, len(m) + 1)) AS i FROM m)""")
 def passage_chunks(spark, sf_dir):
-    return texts(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.posexplode(retrieve.passages(F.col("text"))).alias("n", "passage"))
+    return texts(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.posexplode(retrieve.passages(F.col("text"))).alias("n", "passage")).withColumn("n", F.col("n").cast("long"))
 
 
 @query("SELECT id, hit FROM (SELECT id, unnest(list_slice(regexp_extract_all(text, '.{0,150}(?:[0-9]+ (?:days|weeks|months)).{0,150}', 0), 1, 20)) AS hit FROM docs)")
@@ -79,10 +84,7 @@ _CURRENT = r"length(s) BETWEEN 40 AND 320 AND NOT regexp_matches(lower(s), '(^|[
 
 @query(f"SELECT id, s AS sentence FROM (SELECT id, unnest({_SENTENCES}) AS s FROM docs WHERE text IS NOT NULL) WHERE {_CURRENT}")
 def current_statements(spark, sf_dir):
-    s = F.col("sentence")
-    keep = F.length(s).between(40, 320) & ~F.lower(s).rlike(r"(^|[^a-z])(history|historical|founded|formerly|originally|century|ancient|decades ago)([^a-z]|$)")
-    keep &= F.regexp_count(F.lower(s), F.lit(r"[a-z]{3,}ed([^a-z]|$)")) <= 1
-    keep &= 2 * F.regexp_count(s, F.lit("(^| )[A-Z]")) < F.regexp_count(s, F.lit("[^ ]+"))
+    keep = retrieve.is_current(F.col("sentence"))
     return texts(spark, sf_dir, "docs").where("text IS NOT NULL").select("id", F.explode(T.sentences(F.col("text"))).alias("sentence")).where(keep)
 
 
@@ -90,3 +92,12 @@ def current_statements(spark, sf_dir):
 def grounding_check(spark, sf_dir):
     facts, src = agree.key_facts(F.col("target_text")), F.array_distinct(retrieve.content(F.col("prompt")))
     return table(spark, sf_dir, "sft_examples").select("example_id", ((F.size(facts) == 0) | (F.size(F.array_intersect(facts, src)) >= 0.9 * F.size(facts))).alias("grounded"))
+
+
+@query(r"""WITH f AS (SELECT example_id, target_text AS s, coalesce(prompt, '') AS src FROM sft_examples WHERE target_text IS NOT NULL),
+d AS (SELECT example_id, list_filter(list_transform(regexp_extract_all(s, '[0-9][0-9.,]*', 0), lambda n: rtrim(n, '.,')), lambda n: NOT contains(src, n)) AS numbers, list_filter(regexp_extract_all(s, '[\s(]([A-Z][A-Za-z]+)', 1), lambda n: NOT contains(lower(src), lower(n))) AS names FROM f)
+SELECT example_id, len(list_distinct(list_concat(numbers, names)))::BIGINT AS unknown FROM d""")
+def unknown_details(spark, sf_dir):
+    """How many numbers and names of a text its source does not have."""
+    e = table(spark, sf_dir, "sft_examples").where("target_text IS NOT NULL")
+    return e.select("example_id", F.size(agree.unknown_details(F.col("target_text"), F.coalesce("prompt", F.lit("")))).cast("long").alias("unknown"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, web
 from ..registry import query
-from ..session import table
+from ..session import table, texts
 
 _INNER = r"regexp_extract(url, '[?&](?:u|uddg)=([^&#]+)', 1)"
 _URL = rf"CASE WHEN {_INNER} <> '' THEN replace(replace(replace(replace(replace({_INNER}, '%3A', ':'), '%2F', '/'), '%3F', '?'), '%3D', '='), '%26', '&') ELSE url END"
@@ -63,13 +63,16 @@ _PAGES = "regexp_matches(lower(text), '<html')"
 
 @query(rf"SELECT id, {_TITLE} AS title, lower(regexp_extract(text, '(?i)<html[^<>]* lang=[\"'']?([A-Za-z-]+)', 1)) AS lang, len({_LINKS})::BIGINT AS links FROM docs WHERE {_PAGES}")
 def page_metadata(spark, sf_dir):
-    pages = table(spark, sf_dir, "docs").where(F.lower("text").rlike("<html"))
+    pages = texts(spark, sf_dir, "docs").where(F.lower("text").rlike("<html"))
     return pages.select("id", web.title(F.col("text")).alias("title"), web.page_lang(F.col("text")).alias("lang"), F.size(web.links(F.col("text"))).cast("long").alias("links"))
 
 
-@query()
+_KEYS = ", ".join(f"list_filter({_LINKS.replace('list_distinct(', '(')}, lambda u: regexp_matches(lower(u), '{p}'))[1] AS {kind}" for kind, p in web.KEY_PAGES)
+
+
+@query(f"SELECT id, {_KEYS} FROM docs WHERE {_PAGES}")
 def page_key_links(spark, sf_dir):
-    return table(spark, sf_dir, "docs").where(F.lower("text").rlike("<html")).select("id", web.key_pages(web.links(F.col("text"))).alias("k")).select("id", "k.*")
+    return texts(spark, sf_dir, "docs").where(F.lower("text").rlike("<html")).select("id", web.key_pages(web.links(F.col("text"))).alias("k")).select("id", "k.*")
 
 
 def _best(scores, other):
@@ -84,23 +87,23 @@ _COUNTRY = _best([(n, " + ".join(f"len(regexp_extract_all(t, '{w}', 0))" for w i
 
 @query(f"SELECT id, {_FIELD} AS field FROM (SELECT id, lower(coalesce(text, '')) AS t FROM docs)")
 def classify_field(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", extract.field(F.col("text")).alias("field"))
+    return texts(spark, sf_dir, "docs").select("id", extract.field(F.col("text")).alias("field"))
 
 
 @query(f"SELECT id, {_COUNTRY} AS country FROM (SELECT id, coalesce(text, '') AS t FROM docs)")
 def find_country(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", extract.country(F.col("text")).alias("country"))
+    return texts(spark, sf_dir, "docs").select("id", extract.country(F.col("text")).alias("country"))
 
 
 @query(rf"""WITH f AS (SELECT id, unnest(regexp_extract_all(text, '(?:[A-Z][a-z]+ ){{1,3}}{extract.LEGAL}', 0)) AS name FROM docs), c AS (SELECT id, name, count(*) AS n FROM f GROUP BY ALL),
 b AS (SELECT id, name FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, name) = 1) SELECT d.id, b.name FROM docs d LEFT JOIN b ON b.id = d.id""")
 def find_company(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", extract.company_name(F.col("text")).alias("name"))
+    return texts(spark, sf_dir, "docs").select("id", extract.company_name(F.col("text")).alias("name"))
 
 
 @query(r"SELECT id, nullif(regexp_extract(text, '([0-9][0-9,.]*) (?:employees|staff|people|team members)', 1), '') AS size FROM docs")
 def find_size(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", extract.size(F.col("text")).alias("size"))
+    return texts(spark, sf_dir, "docs").select("id", extract.size(F.col("text")).alias("size"))
 
 
 _ITEMS = r"flatten(list_transform(regexp_extract_all(text, '(?:offers|provides|builds and maintains|services include) ([^.\n]{3,200})', 1), lambda x: string_split_regex(lower(x), '[;,]| and ')))"
@@ -110,10 +113,15 @@ _ITEMS = r"flatten(list_transform(regexp_extract_all(text, '(?:offers|provides|b
 p AS (SELECT id, x, min(i) AS i FROM (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM s) GROUP BY id, x)
 SELECT id, x AS service FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 8""")
 def find_services(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("id", F.explode(extract.services(F.col("text"))).alias("service"))
+    return texts(spark, sf_dir, "docs").select("id", F.explode(extract.services(F.col("text"))).alias("service"))
 
 
-@query()
+@query(rf"""WITH f AS (SELECT id, unnest(regexp_extract_all(text, '(?:[A-Z][a-z]+ ){{1,3}}{extract.LEGAL}', 0)) AS name FROM docs), c AS (SELECT id, name, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT id, name FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, name) = 1),
+p AS (SELECT id, list_filter(list_transform({_ITEMS}, lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 3 AND 80) AS a FROM docs WHERE text IS NOT NULL),
+s AS (SELECT id, list_slice(list(x ORDER BY i), 1, 8) AS services FROM (SELECT id, x, min(i) AS i FROM (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM p) GROUP BY id, x) GROUP BY id)
+SELECT d.id, b.name, k.country, g.field, coalesce(array_to_string(s.services, '|'), '') AS services, nullif(regexp_extract(d.text, '([0-9][0-9,.]*) (?:employees|staff|people|team members)', 1), '') AS size
+FROM docs d LEFT JOIN b USING (id) LEFT JOIN s USING (id) LEFT JOIN (SELECT id, {_COUNTRY} AS country FROM (SELECT id, coalesce(text, '') AS t FROM docs)) k USING (id) LEFT JOIN (SELECT id, {_FIELD} AS field FROM (SELECT id, lower(coalesce(text, '')) AS t FROM docs)) g USING (id)""")
 def extract_profile(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "docs").select("id", extract.company_name(t).alias("name"), extract.country(t).alias("country"), extract.field(t).alias("field"), extract.services(t).alias("services"), extract.size(t).alias("size"))
+    return texts(spark, sf_dir, "docs").select("id", extract.company_name(t).alias("name"), extract.country(t).alias("country"), extract.field(t).alias("field"), F.coalesce(F.array_join(extract.services(t), "|"), F.lit("")).alias("services"), extract.size(t).alias("size"))
