@@ -161,8 +161,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     """`docs` with a column `out` of token ids. Other columns pass through."""
     spark = docs.sparkSession
     # more than a piece that long needs: any run without a change between white space and others
-    long = F.coalesce(F.col(text).rlike(rf"(?U)\S{{{long_piece}}}|\s{{{long_piece}}}"), F.lit(False))
-    docs = docs.withColumn("__heaped", heaped(spark, ranks)(F.when(long, F.col(text))))
+    long = F.coalesce((F.length(text) >= long_piece) & F.col(text).rlike(rf"(?U)\S{{{long_piece}}}|\s{{{long_piece}}}"), F.lit(False))
+    kept = [c for c in docs.columns if c != out]
+    blobs = docs.where(long).select(*kept, heaped(spark, ranks)(F.col(text)).alias(out))
+    docs = docs.where(~long)
     table = rank_table(spark, ranks)
     by_rank = _bucketed(table, "id")
     # tokens that are whole pieces of valid UTF-8 need no fold: a piece in the vocabulary is its own token
@@ -175,7 +177,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     literal = json.dumps([{"key": k, "ids": [v]} for k, v in readable.items()])
     whole = spark.createDataFrame([(literal,)], "j string").select(F.explode(F.from_json("j", "array<struct<key:string,ids:array<int>>>")).alias("e")).select("e.key", "e.ids")
     known = _bucketed(whole, "ids")
-    source = docs.where(~long).select(F.col(text).alias("t")).where(F.col("t") != "")
+    source = docs.select(F.col(text).alias("t")).where(F.col("t") != "")
     missing = _let(F.col("_known"), lambda k: F.array_distinct(F.filter(pieces(F.col("t")), lambda p: _find(k, p).isNull())))
     unknown = _with(source, {"keys": missing}, _known=known).select(F.explode("keys").alias("key"))
     frequent = unknown.groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(dictionary_rows)
@@ -183,8 +185,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     folded = _with(spread, {"ids": _let(F.col("_ranks"), lambda r: fold(F.col("key"), r))}, _ranks=by_rank)
     dictionary = _bucketed(whole.unionByName(folded), "ids")
     ids = _let(F.col("_pieces"), lambda d: _let(F.col("_ranks"), lambda r: F.flatten(F.transform(pieces(F.col(text)), lambda p: F.coalesce(_find(d, p), fold(p, r))))))
-    value = F.when(F.col(text).isNull() | (F.col(text) == ""), F.array().cast("array<int>")).when(F.col("__heaped").isNotNull(), F.col("__heaped")).otherwise(ids)
-    return _with(docs, {out: value}, _pieces=dictionary, _ranks=by_rank).drop("__heaped")
+    value = F.when(F.col(text).isNull() | (F.col(text) == ""), F.array().cast("array<int>")).otherwise(ids)
+    return _with(docs, {out: value}, _pieces=dictionary, _ranks=by_rank).unionByName(blobs)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "text") -> DataFrame:
