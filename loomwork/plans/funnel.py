@@ -18,9 +18,9 @@ def in_validation(key: Column, share: float) -> Column:
     return T.hash32(key.cast("string")) / 4294967295.0 < share
 
 
-def tagged(docs: DataFrame, stage: str, reasons: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(stage, source, reason, chars) of each row of a stage."""
-    return docs.select(key, "source", F.coalesce(F.length(text), F.lit(0)).alias("chars")).join(reasons, key).select(F.lit(stage).alias("stage"), "source", "reason", "chars")
+def tagged(docs: DataFrame, stage: str, reason: Column, text: str = "text") -> DataFrame:
+    """(stage, source, reason, chars) of each row of a stage; nothing is joined."""
+    return docs.select(F.lit(stage).alias("stage"), "source", reason.alias("reason"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -38,10 +38,15 @@ def reasons_report(rows: DataFrame) -> DataFrame:
 
 
 def review(rows: DataFrame, key: str, k: int = 100, seed: int = 1234) -> DataFrame:
-    """k rows of the kept and k of the removed, chosen by hash: the same for any order and partitioning."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    w = W.partitionBy(F.col("reason").startswith("kept")).orderBy(order)
-    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    """k rows of the kept and k of the removed, chosen by hash: the same for any order and partitioning.
+
+    Only rows below a threshold on the hash, of which 16 k are expected, are ranked: neither side meets in one task.
+    """
+    seeded, kept = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), F.col("reason").startswith("kept")
+    sizes = {r.kept: r.n for r in rows.groupBy(kept.alias("kept")).agg(F.count(F.lit(1)).alias("n")).collect() if r.kept is not None}
+    below = F.when(kept, min(1.0, 16.0 * k / max(1, sizes.get(True, 1)))).otherwise(min(1.0, 16.0 * k / max(1, sizes.get(False, 1))))
+    few = rows.where(T.hash32(seeded) / 4294967295.0 <= below)
+    return few.withColumn("__r", F.row_number().over(W.partitionBy(kept).orderBy(F.md5(seeded)))).where(F.col("__r") <= k).drop("__r")
 
 
 @dataclasses.dataclass

@@ -203,7 +203,7 @@ def hash_split(spark, sf_dir):
 @query(_REASON + """, f AS (SELECT 'quality' AS stage, source, reason, chars FROM reasons)
 SELECT stage, source, count(*) AS docs_in, count(*) FILTER (reason = 'kept') AS docs_out, sum(chars)::BIGINT AS chars_in, coalesce(sum(chars) FILTER (reason = 'kept'), 0)::BIGINT AS chars_out FROM f GROUP BY stage, source""")
 def stage_report(spark, sf_dir):
-    return funnel.report(funnel.tagged(texts(spark, sf_dir, "documents"), "quality", C.quality_reason(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id"))
+    return funnel.report(funnel.tagged(texts(spark, sf_dir, "documents"), "quality", C.reason_of(F.col("text"))))
 
 
 @query(_REASON + "SELECT doc_id, reason FROM reasons QUALIFY row_number() OVER (PARTITION BY reason = 'kept' ORDER BY md5('1234:'||doc_id::VARCHAR)) <= 100")

@@ -23,9 +23,14 @@ def first_seen(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFrame
     return stream.withColumn("__key", F.md5(dedup.text_key(F.col("text")))).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
-def event_counts(stream: DataFrame, time: str = "logged_at", delay: str = "2 hours", size: str = "1 hour") -> DataFrame:
-    """Rows for each window and status; late rows beyond `delay` are left out."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, size), F.lower("status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+def event_counts(stream: DataFrame, time: str = "logged_at", delay: str = "2 hours", size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Rows for each window and status, windows side by side or every `slide`; late rows beyond `delay` are left out."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, size, slide), F.lower("status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sessions(stream: DataFrame, by: str = "run_id", time: str = "logged_at", delay: str = "2 hours", gap: str = "10 minutes") -> DataFrame:
+    """Rows of each stretch of events of a key with no pause of `gap`; late rows beyond `delay` are left out."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def near_duplicates(batch: DataFrame, index_path: str, order: str, threshold: float = 0.8) -> DataFrame:

@@ -385,3 +385,9 @@ def test_report_before_and_after(spark, tmp_path):
     assert json.loads(as_json)["sources"] == [{"source": "s", "docs_in": 2, "docs_out": 1, "chars_in": 15, "chars_out": 5}] and "| s |" in as_text
     sinks.stage_output(funnel.report(rows), rows, str(tmp_path))
     assert spark.read.json(str(tmp_path / "stats")).count() == 2
+
+
+def test_stream_windows(spark):
+    log = spark.createDataFrame([("r", "ok", "2025-01-01 00:05:00"), ("r", "ok", "2025-01-01 00:12:00"), ("r", "OK", "2025-01-01 01:30:00"), ("q", "ok", "2025-01-01 00:06:00")], "run_id string, status string, logged_at string")
+    assert sorted(r.n for r in stream.sessions(log).collect()) == [1, 1, 2]
+    assert sum(r.n for r in stream.event_counts(log, size="1 hour", slide="30 minutes").collect()) == 2 * log.count()
