@@ -59,7 +59,8 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str, query_key: str, k: i
     told = checkpointed(told)
     pairs = summed(told.where(~F.col("weak")), "strong")
     rest = told.where("weak").groupBy(query_key).agg(F.sum("most").alias("rest"), F.first("reached").alias("reached"))
-    pairs = pairs.join(rest, query_key, "left").where(F.col("reached").isNull() | (F.col("strong") + F.col("rest") >= F.col("reached") - 0.002)).select(query_key, key, "strong")
+    # read for the weak terms and for the sum
+    pairs = checkpointed(pairs.join(rest, query_key, "left").where(F.col("reached").isNull() | (F.col("strong") + F.col("rest") >= F.col("reached") - 0.002)).select(query_key, key, "strong"))
     added = pairs.select(query_key, key).join(told.where("weak").select(query_key, "term", "qtf"), query_key).join(weighted, [key, "term"]).groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qtf")).alias("added"))
     scored = pairs.join(added, [query_key, key], "left").select(query_key, key, F.round(F.col("strong") + F.coalesce("added", F.lit(0.0)), 3).alias("score")).where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key)))
