@@ -246,7 +246,7 @@ def quality_reason(docs: DataFrame, key: str, text: str = "text", c: Curation =
 
 # ---- masking by pattern
 
-# Every pattern is bounded, so that nothing inside of a longer word or number is masked. The bounds are written as \\b and
+# Patterns of personal information (fixed values). Every one is bounded, so that nothing inside of a longer word or number is masked. The bounds are written as \\b and
 # \\B, which other engines have, too.
 EMAIL = r"\b[\w.+-]+@[\w-]+(\.[\w-]+)+\b"
 SOCIAL = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
