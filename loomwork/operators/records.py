@@ -57,28 +57,35 @@ def band_of(value: Column, bands: Sequence[tuple[float, float, float]], default:
     return F.when(value.isNull(), pair(bands[default])).otherwise(found)
 
 
+#: Distinct values whose bands are sent to the workers, at most; more are joined.
+SENT_VALUES = 100_000
+
+
 def range_joined(rows: DataFrame, value: str, bands: DataFrame, most: str) -> DataFrame:
     """`rows` with the columns of the band of the least `most` that is not under `value`; null where there is none.
 
-    For bands of any number: both sides are put in order by range, and each range takes the first band behind it from
-    the next ranges that have one. Rows stay spread over the ranges.
+    For bands of any number: the distinct values and the bands are put in order by range, and each range takes the first
+    band behind it from the next ranges that have one. Rows then meet the band of their value, so they are neither sorted
+    nor do many of one value meet in one task.
     """
     extra = [c for c in bands.columns if c != most]
-    kept = [c for c in rows.columns]
+    number = F.col(value).cast("double")
     struct = F.struct(F.col(most).alias("__most"), *extra)
-    left = rows.select(F.col(value).cast("double").alias("__v"), F.lit(0).alias("__side"), F.struct(*kept).alias("__row"), F.lit(None).cast(bands.select(struct.alias("s")).schema["s"].dataType).alias("__band"))
-    right = bands.select(F.col(most).cast("double").alias("__v"), F.lit(1).alias("__side"), F.lit(None).cast(rows.select(F.struct(*kept).alias("s")).schema["s"].dataType).alias("__row"), struct.alias("__band"))
+    left = rows.select(number.alias("__v")).distinct().select("__v", F.lit(0).alias("__side"), F.lit(None).cast(bands.select(struct.alias("s")).schema["s"].dataType).alias("__band"))
+    right = bands.select(F.col(most).cast("double").alias("__v"), F.lit(1).alias("__side"), struct.alias("__band"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # bounds are sampled again if the plan runs again, so the ranges are written
-    ranged = checkpointed(left.where("__v IS NOT NULL").unionByName(right).repartitionByRange(n, "__v").withColumn("__part", F.spark_partition_id()))
-    inside = F.first("__band", ignorenulls=True).over(W.partitionBy("__part").orderBy("__v", "__side").rowsBetween(W.currentRow, W.unboundedFollowing))
+    ranged = checkpointed(left.unionByName(right).where("__v IS NOT NULL").repartitionByRange(n, "__v").withColumn("__part", F.spark_partition_id()))
+    # from the end to the start: a frame that starts at the current row would be gone through again for each row
+    inside = F.last("__band", ignorenulls=True).over(W.partitionBy("__part").orderBy(F.desc("__v"), F.desc("__side")).rowsBetween(W.unboundedPreceding, W.currentRow))
     # one row for each range: the first band of any range behind it
     firsts = ranged.where("__side = 1").groupBy("__part").agg(F.min_by("__band", "__v").alias("__b"))
     parts = ranged.select("__part").distinct().join(firsts, "__part", "left")
-    later = parts.select("__part", F.first("__b", ignorenulls=True).over(W.orderBy("__part").rowsBetween(1, W.unboundedFollowing)).alias("__later"))
-    found = ranged.withColumn("__in", inside).where("__side = 0").join(F.broadcast(later), "__part").withColumn("__hit", F.coalesce("__in", "__later"))
-    none = rows.where(F.col(value).isNull()).select("*", *[F.lit(None).cast(dict(bands.dtypes)[c]).alias(c) for c in extra])
-    return found.select("__row.*", *[F.col(f"__hit.{c}").alias(c) for c in extra]).unionByName(none)
+    later = parts.select("__part", F.last("__b", ignorenulls=True).over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__later"))
+    found = ranged.withColumn("__in", inside).where("__side = 0").join(F.broadcast(later), "__part").select("__v", F.coalesce("__in", "__later").alias("__hit"))
+    if ranged.where("__side = 0").count() <= SENT_VALUES:
+        found = F.broadcast(found)
+    return rows.withColumn("__v", number).join(found, "__v", "left").select(*rows.columns, *[F.col(f"__hit.{c}").alias(c) for c in extra])
 
 
 def as_of(rows: DataFrame, other: DataFrame, by: Sequence[str], time: str, take: Sequence[str]) -> DataFrame:

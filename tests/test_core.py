@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from loomwork import config
 from loomwork.functions import text as T
-from loomwork.operators import agree, curate, decontam, dedup, evaluate, logs, ngram_models, retrieve, training, web
+from loomwork.operators import agree, curate, decontam, dedup, evaluate, logs, ngram_models, records, retrieve, training, web
 from loomwork.plans import funnel
 from loomwork.queries import oracle_sql, queries
+from loomwork.session import checkpointed
 from loomwork.sources import readers, sinks
 from loomwork.streaming import curation as stream
 
@@ -391,3 +392,24 @@ def test_stream_windows(spark):
     log = spark.createDataFrame([("r", "ok", "2025-01-01 00:05:00"), ("r", "ok", "2025-01-01 00:12:00"), ("r", "OK", "2025-01-01 01:30:00"), ("q", "ok", "2025-01-01 00:06:00")], "run_id string, status string, logged_at string")
     assert sorted(r.n for r in stream.sessions(log).collect()) == [1, 1, 2]
     assert sum(r.n for r in stream.event_counts(log, size="1 hour", slide="30 minutes").collect()) == 2 * log.count()
+
+
+def test_range_join_has_a_row_for_each_value_and_no_frame_to_the_end(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(records, "checkpointed", lambda df: sizes.append((held := checkpointed(df)).count()) or held)
+    values = [None, -1.0, 0.0, 5.0, 5.5, 6.0, 7.0, 40.0, 41.0, float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(i, 5.0) for i in range(10, 3000)], "id long, v double")
+    limits = [(0, "a"), (6, "b"), (40, "c"), (None, "d")]
+    bands = spark.createDataFrame(limits, "most int, band string")
+    expected = {i: min(((m, b) for m, b in limits if m is not None and v is not None and m >= v), default=(0, None))[1] for i, v in enumerate(values)}
+    for most in (100_000, 0):
+        monkeypatch.setattr(records, "SENT_VALUES", most)
+        joined = records.range_joined(rows, "v", bands, "most")
+        assert sizes.pop() == 12
+        assert joined.columns == ["id", "v", "band"]
+        out = joined.collect()
+        assert len(out) == 3000 and {r.id: r.band for r in out} == expected | {i: "b" for i in range(10, 3000)}
+        assert "unboundedfollowing" not in joined._jdf.queryExecution().toString().lower()
+    apart = spark.range(2000).select((F.col("id") % 997 + 0.5).alias("v"), "id")
+    every = spark.range(0, 900, 7).select(F.col("id").alias("most"), F.col("id").alias("band"))
+    assert {(r.v, r.band) for r in records.range_joined(apart, "v", every, "most").collect()} == {(i + 0.5, b if (b := -(-(i + 1) // 7) * 7) < 900 else None) for i in range(997)}
