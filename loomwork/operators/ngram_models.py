@@ -90,6 +90,9 @@ SENT_GRAMS = 2_000_000
 class RowScorer:
     """The language model as tables in memory: a word's gains are summed once and kept."""
 
+    #: Words whose gains are kept from one piece of text to the next, at most.
+    most = 300_000
+
     def __init__(self, grams: dict[str, int], gains: np.ndarray, langs: list[str], floors: list[float], stops: dict[str, list[int]]):
         self.grams, self.gains, self.langs, self.floors, self.stops = grams, gains, langs, np.array(floors), stops
         self.order = sorted(range(len(langs)), key=lambda i: (langs[i] != PREFERRED, langs[i]))
@@ -99,8 +102,6 @@ class RowScorer:
     def at(self, word: str) -> int:
         found = self.index.get(word)
         if found is None:
-            if len(self.index) > 300_000:
-                self.index.clear()
             found = self.index[word] = len(self.index)
             if found >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -114,7 +115,11 @@ class RowScorer:
         words = _LETTERS.findall(text.lower())
         total = np.zeros(len(self.langs))
         for start in range(0, len(words), 100_000):
-            total += self.rows[[self.at(w) for w in words[start : start + 100_000]]].sum(axis=0)
+            # rows are forgotten only between pieces, and looked up once all words of a piece have theirs
+            if len(self.index) > self.most:
+                self.index.clear()
+            at = [self.at(w) for w in words[start : start + 100_000]]
+            total += self.rows[at].sum(axis=0)
         best = max(self.order, key=lambda i: total[i])
         return self.langs[best], float(1 / np.exp(np.maximum(-50.0, total - total[best])).sum())
 

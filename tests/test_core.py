@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,3 +414,54 @@ def test_range_join_has_a_row_for_each_value_and_no_frame_to_the_end(spark, monk
     apart = spark.range(2000).select((F.col("id") % 997 + 0.5).alias("v"), "id")
     every = spark.range(0, 900, 7).select(F.col("id").alias("most"), F.col("id").alias("band"))
     assert {(r.v, r.band) for r in records.range_joined(apart, "v", every, "most").collect()} == {(i + 0.5, b if (b := -(-(i + 1) // 7) * 7) < 900 else None) for i in range(997)}
+
+
+def _many_words(n, ends):
+    """n different words of letters with one of the endings."""
+    return [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{ends[i % len(ends)]}" for i in range(n)]
+
+
+def test_language_scorer_with_more_words_than_it_keeps():
+    grams = {g: i for i, g in enumerate(sorted({f" {w} "[i : i + 3] for w in _many_words(9000, ("ing", "ung")) for i in range(len(w))}))}
+    gains = np.array([[i % 7 / 7, i % 5 / 5] for i in range(len(grams))])
+    made = lambda: ngram_models.RowScorer(grams, gains, ["de", "en"], [-9.0, -9.0], {})
+    words = _many_words(9000, ("ing", "ung"))
+    texts = [" ".join(words), " ".join(words[:50]), " ".join(words[6000:]), " ".join(words[:50]), ""]
+
+    def plain(text):
+        total = np.zeros(2)
+        for w in text.split():
+            total += sum(gains[grams[f" {w} "[i : i + 3]]] for i in range(len(w))) - 9.0 * len(w)
+        return total
+
+    for most in (300_000, 100):
+        scorer = made()
+        scorer.most = most
+        for text in texts:
+            total = plain(text)
+            lang, p = scorer.language(text)
+            assert lang == ("de" if total[0] > total[1] else "en")
+            assert p == pytest.approx(1 / np.exp(np.maximum(-50.0, total - total.max())).sum())
+
+
+def _many_word_tables(spark, folder):
+    """A scale folder whose documents hold more different words than the scorer has places at first, in one text."""
+    de, en = " ".join(_many_words(6000, ("ung", "heit"))), " ".join(_many_words(6000, ("ing", "ness")))
+    rows = [(1, de, "de", "s", "a"), (2, en, "en", "s", "b"), (3, de[:3000], None, "s", "c"), (4, en[:3000], None, "s", "d"), (5, None, None, "s", "e")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, site string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([("de", "und"), ("en", "and")], "lang string, word string").write.parquet(f"{folder}/common_words.parquet")
+    return str(folder)
+
+
+def _like_sql(spark, folder, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}/*.parquet'")
+    df = queries()[name](spark, folder)
+    rel = con.sql(oracle_sql()[name])
+    at = [rel.columns.index(c) for c in sorted(df.columns)]
+    assert sorted(repr([_value(r[c]) for c in sorted(df.columns)]) for r in df.collect()) == sorted(repr([_value(r[i]) for i in at]) for r in rel.fetchall())
+
+
+def test_langid_predict_with_many_words(spark, tmp_path):
+    _like_sql(spark, _many_word_tables(spark, tmp_path), "langid_predict")
