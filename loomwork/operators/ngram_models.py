@@ -19,15 +19,26 @@ DISCOUNT = 0.75
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letter_words(text: Column) -> Column:
+    """Runs of letters, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
+
+
+def word_trigrams(word: Column) -> Column:
+    """Character trigrams of a word, padded with a space on each side."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.concat(F.lit(" "), word, F.lit(" ")), i, F.lit(3)))
+
+
 def trigrams(text: Column) -> Column:
-    """Character trigrams of all words (letters only) of the text, padded with a space on each side."""
-    ws = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
-    return F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3)))))
+    """Character trigrams of all words (letters only) of the text."""
+    return F.flatten(F.transform(letter_words(text), word_trigrams))
 
 
 def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n)."""
-    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, gram, n). Words are counted first, so trigrams are made once for each word of a language."""
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    words = labelled.select(F.col(lang).alias("lang"), F.explode(letter_words(F.col(text))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("lang", "n", F.explode(word_trigrams(F.col("w"))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 STOP_BONUS = 3.0
@@ -87,6 +98,17 @@ def predict_languages(scores: DataFrame, key: str) -> DataFrame:
 SENT_GRAMS = 2_000_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """As letter_words: what Python's class holds besides letters (such as fractions and raised digits) parts words."""
+    runs = []
+    for word in _LETTERS.findall(text):
+        if word.isalpha():
+            runs.append(word)
+        else:
+            runs += "".join(c if c.isalpha() else " " for c in word).split()
+    return runs
+
+
 class RowScorer:
     """The language model as tables in memory: a word's gains are summed once and kept."""
 
@@ -112,7 +134,7 @@ class RowScorer:
         return found
 
     def language(self, text: str) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower())
+        words = letter_runs(text.lower())
         total = np.zeros(len(self.langs))
         for start in range(0, len(words), 100_000):
             # rows are forgotten only between pieces, and looked up once all words of a piece have theirs

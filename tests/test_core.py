@@ -465,3 +465,10 @@ def _like_sql(spark, folder, name):
 
 def test_langid_predict_with_many_words(spark, tmp_path):
     _like_sql(spark, _many_word_tables(spark, tmp_path), "langid_predict")
+
+
+
+
+def test_letters_in_python_like_in_sql(spark):
+    text = "5m² fã¼r ⅷ½ 一二三 a_b c3d o'neill été"
+    assert ngram_models.letter_runs(text) == _one(spark, text, ngram_models.letter_words(F.col("text"))) == ["m", "fã", "r", "一二三", "a", "b", "c", "d", "o", "neill", "été"]
