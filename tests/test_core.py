@@ -472,3 +472,10 @@ def test_langid_predict_with_many_words(spark, tmp_path):
 def test_letters_in_python_like_in_sql(spark):
     text = "5m² fã¼r ⅷ½ 一二三 a_b c3d o'neill été"
     assert ngram_models.letter_runs(text) == _one(spark, text, ngram_models.letter_words(F.col("text"))) == ["m", "fã", "r", "一二三", "a", "b", "c", "d", "o", "neill", "été"]
+
+
+def test_funnel_with_many_words(spark, tmp_path):
+    docs = spark.read.parquet(f"{_many_word_tables(spark, tmp_path)}/documents.parquet").withColumn("source", F.lit("s"))
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    rows = {r.stage: r for r in funnel.curate_all(docs, items, config.Curation(languages=("en",))).report().collect()}
+    assert (rows["normalize"].docs_in, rows["language"].docs_in, rows["language"].docs_out) == (5, 4, 2)
