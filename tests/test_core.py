@@ -467,6 +467,9 @@ def test_langid_predict_with_many_words(spark, tmp_path):
     _like_sql(spark, _many_word_tables(spark, tmp_path), "langid_predict")
 
 
+def test_lang_filter_with_many_words(spark, tmp_path):
+    _like_sql(spark, _many_word_tables(spark, tmp_path), "lang_filter")
+
 
 
 def test_letters_in_python_like_in_sql(spark):
