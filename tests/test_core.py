@@ -471,6 +471,9 @@ def test_lang_filter_with_many_words(spark, tmp_path):
     _like_sql(spark, _many_word_tables(spark, tmp_path), "lang_filter")
 
 
+def test_langid_confusion_with_many_words(spark, tmp_path):
+    _like_sql(spark, _many_word_tables(spark, tmp_path), "langid_confusion")
+
 
 def test_letters_in_python_like_in_sql(spark):
     text = "5m² fã¼r ⅷ½ 一二三 a_b c3d o'neill été"
