@@ -231,15 +231,25 @@ class Trigrams:
         self.middle = self.pair.groupBy("v").agg(F.sum("cont_vw").alias("cont_v"), F.count(F.lit(1)).alias("foll_v"))
         self.single = self.pair.groupBy("w").agg(F.count(F.lit(1)).alias("cont_w"))
 
-    def perplexity(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """(key, tokens, perplexity) over all tokens of the text and the end."""
-        grams = windows(docs, self.vocab, key, text).groupBy(key, "u", "v", "w").agg(F.count(F.lit(1)).alias("k"))
+    def _rated(self, grams: DataFrame) -> DataFrame:
+        """`grams` (u, v, w, their count c in the model, and others) with `nll`, the negative logarithm of w after u and v."""
         sizes = self.single.agg(F.sum("cont_w").alias("total")).crossJoin(self.vocab.agg((F.count(F.lit(1)) + 2).alias("vsize")))
         # these have at most a row for each word of the vocabulary, and their keys are the hot ones
-        joined = grams.join(self.tri, ["u", "v", "w"], "left").join(self.context, ["u", "v"], "left").join(self.pair, ["v", "w"], "left").join(F.broadcast(self.middle), "v", "left").join(F.broadcast(self.single), "w", "left").crossJoin(F.broadcast(sizes))
+        joined = grams.join(self.context, ["u", "v"], "left").join(self.pair, ["v", "w"], "left").join(F.broadcast(self.middle), "v", "left").join(F.broadcast(self.single), "w", "left").crossJoin(F.broadcast(sizes))
         z = lambda c: F.coalesce(F.col(c), F.lit(0))
         uni = 0.9 * z("cont_w") / F.greatest(F.col("total"), F.lit(1)) + 0.1 / F.col("vsize")
         bi = F.when(z("cont_v") == 0, uni).otherwise(F.try_divide(F.greatest(z("cont_vw") - DISCOUNT, F.lit(0.0)), z("cont_v")) + F.try_divide(DISCOUNT * z("foll_v"), z("cont_v")) * uni)
         tri = F.when(z("ctx") == 0, bi).otherwise(F.try_divide(F.greatest(z("c") - DISCOUNT, F.lit(0.0)), z("ctx")) + F.try_divide(DISCOUNT * z("fol"), z("ctx")) * bi)
-        nll = -F.ln(F.greatest(tri, F.lit(1e-12)))
-        return joined.groupBy(key).agg(F.sum("k").alias("tokens"), F.exp(F.sum(F.col("k") * nll) / F.sum("k")).alias("perplexity"))
+        return joined.withColumn("nll", -F.ln(F.greatest(tri, F.lit(1e-12))))
+
+    def perplexity(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """(key, tokens, perplexity) over all tokens of the text and the end.
+
+        The model's trigrams are rated once each, and windows meet them in one join. Only windows that the model has not
+        seen are joined further; both branches read the same shuffled windows.
+        """
+        each, names = windows(docs, self.vocab, key, text), ["u", "v", "w"]
+        seen = each.join(self._rated(self.tri).select(*names, "nll"), names)
+        unseen = self._rated(each.join(self.tri.select(*names), names, "left_anti").withColumn("c", F.lit(0)))
+        sums = [part.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sum("nll").alias("nll")) for part in (seen, unseen)]
+        return sums[0].unionByName(sums[1]).groupBy(key).agg(F.sum("k").alias("tokens"), F.exp(F.sum("nll") / F.sum("k")).alias("perplexity"))

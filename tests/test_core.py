@@ -485,3 +485,35 @@ def test_funnel_with_many_words(spark, tmp_path):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     rows = {r.stage: r for r in funnel.curate_all(docs, items, config.Curation(languages=("en",))).report().collect()}
     assert (rows["normalize"].docs_in, rows["language"].docs_in, rows["language"].docs_out) == (5, 4, 2)
+
+
+def _shuffled_rows(spark, run):
+    """Rows that are written to shuffles while `run` runs."""
+    sc = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_perplexity_shuffles_its_windows_once(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a model that is too large to be sent
+    rows = [(i, " ".join(f"w{(7 * i + j) % 500}" for j in range(200)) + (" w1 w3 new" if i % 10 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    model = ngram_models.Trigrams(docs.where("doc_id % 10 <> 0"), "doc_id", hold=lambda df: df.checkpoint())
+    scored = []
+    try:
+        written = _shuffled_rows(spark, lambda: scored.extend(model.perplexity(docs, "doc_id").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert written < 2 * 300 * 201
+    assert {r.doc_id: r.tokens for r in scored} == {i: len(t.split()) + 1 for i, t in rows}
+    worst = sorted(scored, key=lambda r: -r.perplexity)[:30]
+    assert {r.doc_id % 10 for r in worst} == {0}
